@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +63,11 @@ class Stash:
                 where.getFileSystem(conf).delete(where, True)
 
     def release(self) -> None:
-        """Shuffle files go only once the driver has collected the objects that stand for them."""
-        self.spark._jvm.System.gc()
+        """Shuffle files go only once the driver has collected the objects that stand for them; the second call follows what the first has queued."""
+        gc.collect()
+        for _ in range(2):
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def components(stash: Stash, edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:

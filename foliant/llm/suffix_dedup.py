@@ -8,7 +8,9 @@ and equality is all that removal asks of a rank. Spark sorts (rank, document, po
    one in thirty positions; strings of neighbouring starts with one anchor form a segment.
 2. Segments are ranked by all their bytes; those sorted below the same anchor rank are compared. All but the first of equal
    segments go whole. A segment whose anchor is unique, or whose anchor has equal segments alone, is done.
-3. The rest, at the edges of copies, are ranked position by position: pairs of the ranks at offsets 0 and HALF give
+3. Offset HALF: the ranks of the anchor with the HALF bytes before it, and with those after it. A string of LENGTH bytes holds one of the two; the
+   starts for which it is unique are done.
+4. The rest, at the edges of copies, are ranked position by position: pairs of the ranks at offsets 0 and HALF give
    that of 2 * HALF bytes, and pairs at 0 and LENGTH - 2 * HALF that of LENGTH bytes, past which no rank is asked for.
 Every string of LENGTH bytes is in one segment, so nothing is missed. Each task keeps one of the equal rows of a batch and marks the others
 itself, so a passage in a third of all documents gives a row a batch.
@@ -77,7 +79,7 @@ def _blocks(ids, texts):
 
 
 def _segments(data: np.ndarray, bounds: np.ndarray):
-    """(piece, first start, starts, rank of the anchor, rank of the bytes) of each segment; starts count from the block's begin."""
+    """(piece, first start, starts, place of the anchor, its rank, ranks of both sides, rank of all bytes) of each segment; starts count from the block's begin."""
     sums = _sums(data)
     at = np.arange(len(data) - SEED + 1)
     seeds = _name(sums, at, at + SEED)
@@ -98,7 +100,11 @@ def _segments(data: np.ndarray, bounds: np.ndarray):
     count = np.diff(np.append(np.flatnonzero(new), len(starts)))
     a = anchor[first]
     rank = mix(_name(sums, first, first + count + LENGTH - 1) ^ ((a - first).astype(np.uint64) << np.uint64(32)))
-    return piece[first], first, count, seeds[a], rank
+    own = piece[first]
+    left = _name(sums, np.maximum(a - HALF, bounds[own]), a + SEED)
+    right = _name(sums, a, np.minimum(a + SEED + HALF, bounds[own + 1]))
+    sides = left >> np.uint64(32) << np.uint64(32) | right >> np.uint64(32)
+    return own, first, count, a - first, seeds[a], sides, rank
 
 
 def _first_of(rank: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -111,22 +117,18 @@ def _first_of(rank: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return out
 
 
-def _arrow(**columns):
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns.values()], names=list(columns))
-
-
 def _scan(batches):
     """Segments of each block; a null rank marks those of which the block holds an earlier equal one."""
     for batch in batches:
         ids = batch.column(0).to_pylist()
         for docs, offsets, bounds, data in _blocks(ids, map(memoryview, batch.column(1).cast(pa.binary()).to_pylist())):
-            piece, first, count, anchor, rank = _segments(data, bounds)
+            piece, first, count, place, anchor, sides, rank = _segments(data, bounds)
             doc = np.array(docs, np.int64)[piece]
             pos = offsets[piece] + first - bounds[piece]
             keep = _first_of(rank, doc, pos)
             # Marked ones are dealt by document, not by a rank that many share.
             key = np.where(keep, anchor, mix(doc.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rank.view(np.int64), mask=~keep), pa.array(doc), pa.array(pos), pa.array(count.astype(np.int32))], names=["anchor", "rank", "doc", "pos", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rank.view(np.int64), mask=~keep), pa.array(sides.view(np.int64)), pa.array(doc), pa.array(pos << 16 | count << 8 | place)], names=["anchor", "rank", "sides", "doc", "span"])
 
 
 def _half_ranks(batches):
@@ -140,7 +142,12 @@ def _half_ranks(batches):
             if not spans or i is None:
                 continue
             data = np.frombuffer(text.as_buffer(), np.uint8)
-            for p, n in ((s["pos"], s["starts"]) for s in spans):
+            for span, left, right in ((s["span"], s["left"], s["right"]) for s in spans):
+                p, n, middle = span >> 16, span >> 8 & 255, (span & 255) - HALF
+                low, high = 0 if left else max(0, middle), n - 1 if right else min(n - 1, middle)
+                if low > high:
+                    continue
+                p, n = p + low, high - low + 1
                 own = data[p : p + n + LENGTH - 1]
                 sums, at = _sums(own), np.arange(n)
                 low = np.arange(n + LENGTH - HALF)
@@ -195,12 +202,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of each row."""
     stash = Stash(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    segments = texts.mapInArrow(_scan, "anchor long, rank long, doc long, pos long, starts int")
+    segments = texts.mapInArrow(_scan, "anchor long, rank long, sides long, doc long, span long")
     by = W.partitionBy("anchor")
-    ranked = segments.select("*", F.row_number().over(W.partitionBy("anchor", "rank").orderBy("doc", "pos")).alias("nth"), F.min("rank").over(by).alias("lo"), F.max("rank").over(by).alias("hi"))
-    found = stash(ranked.where("rank is null or nth > 1 or lo <> hi").select("doc", "pos", "starts", F.expr("rank is null or nth > 1").alias("again")), "segments")
-
-    edges = found.where("not again").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("pos", "starts")).alias("spans"))
+    nth = F.row_number().over(W.partitionBy("anchor", "rank").orderBy("doc", "span"))
+    ranked = segments.select("*", (F.isnull("rank") | (nth > 1)).alias("again"), F.min("rank").over(by).alias("lo"), F.max("rank").over(by).alias("hi")).where("again or lo <> hi")
+    # Equal segments count once; rows that are done with keep their place without a part in the counts.
+    often = lambda side: F.sum(F.when(~F.col("again"), 1).otherwise(0)).over(W.partitionBy("anchor", side)) > 1
+    sided = ranked.withColumns({"before": F.shiftright("sides", 32), "after": F.expr("sides & 4294967295")}).select("doc", "span", "again", often("before").alias("left"), often("after").alias("right"))
+    found = stash(sided.where("again or left or right"), "segments")
+
+    edges = found.where("not again").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("span", "left", "right")).alias("spans"))
     asked = texts.join(edges, "id").select("id", "text", "spans")
     places = asked.mapInArrow(_half_ranks, "rank long, again boolean, doc long, pos long")
     place = W.partitionBy("rank", "again").orderBy("doc", "pos")
@@ -208,7 +219,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     # Neighbouring starts become one span before they are gathered.
     run = twice.withColumn("run", F.col("pos") - F.row_number().over(W.partitionBy("doc").orderBy("pos")))
     runs = run.groupBy("doc", "run").agg(F.min("pos").alias("pos"), F.count("*").cast("int").alias("starts")).select("doc", "pos", "starts")
-    cuts = stash(found.where("again").select("doc", "pos", "starts").unionByName(runs).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("pos", "starts")).alias("spans")), "cuts")
+    cuts = stash(found.where("again").select("doc", F.expr("span >> 16 as pos"), F.expr("cast(span >> 8 & 255 as int) as starts")).unionByName(runs).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("pos", "starts")).alias("spans")), "cuts")
     stash.clear(found)
     return texts.join(cuts, "id", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
