@@ -136,7 +136,9 @@ def ngram_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     # The shorter set's token has to stand in its own shorter prefix, and what can follow the token has to reach the intersection that a link needs.
     reach = "least(xpos, ypos) + least(xn - xpos, yn - ypos) >= ceil(3 * (xn + yn) / 7.0)"
     near = x.join(y, "token").where(f"xid < yid and xcomp <> ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and {reach}")
-    pairs = stash(near.groupBy(F.col("xid").alias("a"), F.col("yid").alias("b")).agg(F.count("*").alias("shared")).select("a", "b"), "pairs")
+    # What two sets share up to the end of the prefix that ends first has been counted; beyond it there is the rest of that set.
+    counted = near.groupBy(F.col("xid").alias("a"), F.col("yid").alias("b"), "xn", "yn").agg(F.count("*").alias("shared"))
+    pairs = stash(counted.where("shared + ceil(0.75D * greatest(xn, yn)) - 1 >= ceil(3 * (xn + yn) / 7.0)").select("a", "b"), "pairs")
     links = stash(verified(pairs, texts, orders), "links")
     stash.clear(lists, pairs)
 
