@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, ngram_join, suffix_dedup, telephony
+from . import bpe, html_text, lattice, mixing, ngram_join, pii, quality, suffix_dedup, telephony, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
         telephony.op1_telephony_audio,
         ngram_join.op2_ngram_jaccard_join,
+        quality.op3_quality_ordinal,
+        html_text.op4_html_main_text,
+        lattice.op5_lattice_near_dedup,
         bpe.op6_bpe,
+        pii.op7_pii_weak_supervision,
         suffix_dedup.op8_suffix_array_dedup,
+        mixing.op9_mix_sources,
+        toxicity.op10_toxicity,
     )
 }
 SQL: dict[str, str] = {}
