@@ -19,7 +19,7 @@ from .common import Stash, table, text_of
 from .hashed import grams, sampled
 from .slices import sliced
 
-SIZES, BITS, SAMPLE, KEPT, SMOOTH, PENALTY, LIMIT = (3, 4, 5, 6), 18, 6000, 1500, 1.0, 0.02, 0.7
+SIZES, BITS, SAMPLE, KEPT, SMOOTH, PENALTY, LIMIT = (3, 4, 5, 6), 18, 6000, 4000, 1.0, 0.005, 0.7
 
 
 def _distinct(text: str) -> np.ndarray:
@@ -60,7 +60,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) ->
     """Weights and bias by accelerated gradient steps."""
     n, d = x.shape
     w, b, v, c = np.zeros(d, np.float32), 0.0, np.zeros(d, np.float32), 0.0
-    step = 1.0 / (0.25 * float((x * x).sum(1).mean() + 1) + penalty)
+    step = 1.0 / (0.25 * float(np.einsum("ij,ij->", x, x) / n + 1) + penalty)
     for k in range(rounds):
         wz, bz = w + k / (k + 3) * v, b + k / (k + 3) * c
         err = (1 / (1 + np.exp(-np.clip(x @ wz + bz, -30, 30))) - y).astype(np.float32)
