@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 from .slices import replaced, sliced
 
 SHORT, WORDS = 96, 400_000
@@ -62,10 +62,12 @@ class Bpe(dict):
 
     def __missing__(self, word: str) -> bytes:
         parts = [self.of_byte[b] for b in word.encode("utf-8", "replace")]
-        ids = np.array(self.merge(parts) if len(parts) <= SHORT else self.merge_long(parts), np.int32).tobytes()
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = ids
+        short = len(parts) <= SHORT
+        ids = np.array(self.merge(parts) if short else self.merge_long(parts), np.int32).tobytes()
+        if short <= SHORT:  # long words seldom come again
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
     def merge(self, parts: list[int]) -> list[int]:
@@ -152,6 +154,7 @@ def _decode(spec):
 
 def _spec(spark: SparkSession, path: str):
     """The vocabulary file's text, read by the driver: its size is fixed."""
+    small_batches(spark)
     with open(path, encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 

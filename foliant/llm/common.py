@@ -15,6 +15,13 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """Whole texts are large rows: Spark's default of 10,000 in an Arrow batch is lowered; a value set by the user stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,6 +50,7 @@ class Stash:
     clear() removes those that later steps no longer read; one that the result reads has to stay."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}", {}
 
     def __call__(self, df: DataFrame, name: str | None = None) -> DataFrame:

@@ -83,16 +83,20 @@ def train(spark: SparkSession, rated: DataFrame, id_col: str, text_col: str, gra
     rows = rated.where(F.col(grade_col).isNotNull()).select(F.col(id_col), F.col(grade_col).cast("double").alias("grade"), text_of(text_col).alias("text"))
     stash = Stash(spark)
     seen = stash(sampled(rows, id_col, sample).select("grade", "text").repartition(8).mapInArrow(_vectors, "grade double, x binary"), "vectors")
-    got = seen.orderBy("grade", "x").toPandas()  # at most sample rows
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), FEATURES)
-    return fit(x, got["grade"].to_numpy())
+    got = seen.orderBy("grade", "x").toArrow()  # at most sample rows
+    x = np.empty((got.num_rows, FEATURES), np.float32)
+    for i, row in enumerate(got.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float32)
+    y = got.column("grade").to_numpy()
+    del got
+    return fit(x, y)
 
 
 def _judge(model, tail):
     def run(batches):
         for batch in sliced(batches, -1):
             m = model.value
-            x = np.stack([vector(t.as_py()) for t in batch.column(batch.num_columns - 1)])
+            x = np.stack([vector(t.as_py()).astype(np.float32) for t in batch.column(batch.num_columns - 1)])
             tails = m.tails(x)
             at = int((m.grades[1:] < tail).sum())
             own = tails[:, at] if at < tails.shape[1] else np.ones(len(x)) if len(m.grades) < 2 else np.zeros(len(x))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of
+from .common import small_batches, table, text_of
 from .slices import replaced, sliced
 
 RATE, UP, FRAME, PIECE = 8000, 2, 64, 1 << 20
@@ -164,6 +164,7 @@ def _with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
 
 def store_payload(df: DataFrame, payload: str) -> DataFrame:
     """df without the payload column and with n_bytes and media: the payload's bytes, then zeros up to a positive multiple of FRAME, as 8-bit mu-law WAV."""
+    small_batches(df.sparkSession)
     rest = [F.col(f"`{c}`") for c in df.columns if c not in (payload, "n_bytes", "media")]
     src = df.select(*rest, F.col(f"`{payload}`").cast("binary").alias("__payload"))
     return src.mapInArrow(_store, _with(src.drop("__payload"), ("n_bytes", T.LongType()), ("media", T.BinaryType())))
