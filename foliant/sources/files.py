@@ -1,0 +1,30 @@
+"""Page texts and recorded replies from folders, and the tables of a document to CSV."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def page_of(path: str = "path"):
+    """The number of a page's file name: after a p, else its first digits, else 0."""
+    stem = F.regexp_extract(path, r"([^/]*?)(?:\.[^/]*)?$", 1)
+    return F.coalesce(F.nullif(F.regexp_extract(stem, r"p([0-9]+)", 1), F.lit("")), F.nullif(F.regexp_extract(stem, "([0-9]+)", 1), F.lit("")), F.lit("0")).cast("int")
+
+
+def read_page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(page, text) of p*.txt, each file one row."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="p*.txt").withColumn("path", F.col("_metadata.file_path"))
+    return files.select(page_of().alias("page"), F.regexp_replace("value", "^﻿", "").alias("text"))
+
+
+def read_replies(spark: SparkSession, folder: str, suffix: str, schema: str) -> DataFrame:
+    """(page, reply) of p*.<suffix>.json; broken files have a null reply."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter=f"p*.{suffix}.json").withColumn("path", F.col("_metadata.file_path"))
+    return files.select(page_of().alias("page"), F.from_json(F.regexp_replace("value", "^﻿", ""), schema).alias("reply"))
+
+
+def write_csv(rows: DataFrame, folder: str, columns: list[str]) -> None:
+    """One CSV with a header, the columns alone, nulls empty and CRLF line ends."""
+    text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns]
+    rows.select(*text).coalesce(1).write.mode("overwrite").options(header=True, escape='"', emptyValue="", nullValue="", lineSep="\r\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(folder)
