@@ -41,8 +41,8 @@ def views(d: Spark) -> str:
     return f"""
 syn_pages as (select o_custkey % 40 as doc_id, o_orderkey as page, {_case('o_orderkey % 8', PAGES)} as text, 1900 + o_orderkey % 60 as doc_year from orders),
 classify as (select o_custkey % 40 as doc_id, o_orderkey as page, (o_orderkey % 5) <> 2 as should_extract, case when o_orderkey % 5 = 2 then {_case('o_orderkey % 3', REASONS[:3])} else null end as skip_reason, {_case('o_orderkey % 5', TYPES)} as report_type, o_orderkey % 4 as model_calls, o_orderkey % 2 as repair_calls, case when o_orderkey % 9 = 0 then 'note' else '' end as note from orders where o_orderkey % 11 <> 0),
-people as (select l_orderkey as page, l_linenumber as ord, {_case('(l_partkey + l_linenumber) % 10', NAMES)} as name, {_case('l_suppkey % 5', TYPES)} as report_type from lineitem where l_orderkey % 7 <> 0),
-routes as (select l_orderkey as page, l_linenumber as ord, {_case('l_partkey % 10', NAMES)} as name, {_case('l_suppkey % 10', PLACES)} as place, l_linenumber % 4 - 1 as pos, {_case('(l_partkey + l_suppkey) % 10', DATES)} as date_text, l_orderkey % 60 + 1900 as doc_year from lineitem)"""
+people as (select l_orderkey as page, (l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey as ord, {_case('(l_partkey + l_linenumber) % 10', NAMES)} as name, {_case('l_suppkey % 5', TYPES)} as report_type from lineitem where l_orderkey % 7 <> 0),
+routes as (select l_orderkey as page, (l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey as ord, {_case('l_partkey % 10', NAMES)} as name, {_case('l_suppkey % 10', PLACES)} as place, l_linenumber % 4 - 1 as pos, {_case('(l_partkey + l_suppkey) % 10', DATES)} as date_text, l_orderkey % 60 + 1900 as doc_year from lineitem)"""
 
 
 def _named(d: Spark) -> str:
@@ -105,7 +105,7 @@ def status_rows(d):
 
 def document_stats(d):
     skipped = "sum(case when c.page is not null and not c.should_extract then 1 else 0 end)"
-    return f"with {_named(d)}, n as (select page, count(*) as n, max(lower(name)) as last_name from kept group by page) select p.doc_id, count(*) as pages, cast({skipped} as bigint) as skipped, round({skipped} * 1000.0 / count(*)) / 1000 as skip_rate, cast(sum(coalesce(n.n, 0)) as bigint) as detail_rows, max(n.last_name) as last_name, cast(sum(case when c.report_type = 'statement' then 1 else 0 end) as bigint) as statements from syn_pages p left join classify c on p.doc_id = c.doc_id and p.page = c.page left join n on n.page = p.page group by p.doc_id"
+    return f"with {_named(d)}, n as (select page, count(*) as n, max(lower(name)) as last_name from kept group by page) select p.doc_id, count(*) as pages, cast({skipped} as bigint) as skipped, round({skipped} * 1000e0 / count(*)) / 1000e0 as skip_rate, cast(sum(coalesce(n.n, 0)) as bigint) as detail_rows, max(n.last_name) as last_name, cast(sum(case when c.report_type = 'statement' then 1 else 0 end) as bigint) as statements from syn_pages p left join classify c on p.doc_id = c.doc_id and p.page = c.page left join n on n.page = p.page group by p.doc_id"
 
 
 def duplicate_places(d):
@@ -171,7 +171,7 @@ def canonical_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     for t in ("orders", "customer", "lineitem"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    named = spark.sql(f"with {_named(SPARK)} select page % 40 as doc_id, page * 10 + ord as ord, name from kept")
+    named = spark.sql(f"with {_named(SPARK)} select page % 40 as doc_id, page * 10000000000 + ord as ord, name from kept")
     return canonical_names(named)
 
 
