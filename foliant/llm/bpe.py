@@ -127,14 +127,17 @@ def _bpe(spec: str) -> Bpe:
     return Bpe(spec)
 
 
-def _encode(spec):
+def _encode(spec, decoded: bool):
     def run(batches):
         bpe = _bpe(spec.value)
         for batch in sliced(batches, -1):
             ids = [bpe.encode(x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-            yield replaced(batch.select(batch.schema.names[:-1]), ids=pa.ListArray.from_arrays(pa.array(offsets), values))
+            new = {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))}
+            if decoded:
+                new["decoded"] = pa.array([bpe.decode(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string())
+            yield replaced(batch.select(batch.schema.names[:-1]), **new)
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     return run
 
@@ -159,11 +162,12 @@ def _spec(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_column(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """df without the text column and with ids, an array of its token ids."""
-    src = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (text, "ids")), F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in src.schema[:-1]), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return src.mapInArrow(_encode(_spec(df.sparkSession, path)), schema)
+def encode_column(df: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """df without the text column and with ids, an array of its token ids; with decoded, what those ids decode to, in the same worker."""
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])]
+    src = df.select(*(F.col(f"`{c}`") for c in df.columns if c != text and c not in [f.name for f in new]), F.col(f"`{text}`").alias("__text"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in src.schema[:-1]), *new])
+    return src.mapInArrow(_encode(_spec(df.sparkSession, path), decoded), schema)
 
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -181,4 +185,4 @@ def digests(df: DataFrame) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_file()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(decode_column(encode_column(docs, path), path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return digests(encode_column(docs, path, decoded=True)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

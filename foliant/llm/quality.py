@@ -83,12 +83,10 @@ def train(spark: SparkSession, rated: DataFrame, id_col: str, text_col: str, gra
     rows = rated.where(F.col(grade_col).isNotNull()).select(F.col(id_col), F.col(grade_col).cast("double").alias("grade"), text_of(text_col).alias("text"))
     stash = Stash(spark)
     seen = stash(sampled(rows, id_col, sample).select("grade", "text").repartition(8).mapInArrow(_vectors, "grade double, x binary"), "vectors")
-    got = seen.orderBy("grade", "x").toArrow()  # at most sample rows
-    x = np.empty((got.num_rows, FEATURES), np.float32)
-    for i, row in enumerate(got.column("x")):
-        x[i] = np.frombuffer(row.as_buffer(), np.float32)
-    y = got.column("grade").to_numpy()
-    del got
+    n = seen.count()  # at most sample rows; they come one partition at a time
+    x, y = np.empty((n, FEATURES), np.float32), np.empty(n)
+    for i, row in enumerate(seen.orderBy("grade", "x").toLocalIterator()):
+        x[i], y[i] = np.frombuffer(row["x"], np.float32), row["grade"]
     return fit(x, y)
 
 
@@ -101,6 +99,7 @@ def _judge(model, tail):
             at = int((m.grades[1:] < tail).sum())
             own = tails[:, at] if at < tails.shape[1] else np.ones(len(x)) if len(m.grades) < 2 else np.zeros(len(x))
             yield replaced(batch.select(batch.schema.names[:-1]), expected_grade=pa.array(m.expected(tails), pa.float64()), tail_probability=pa.array(own, pa.float64()))
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     return run
 
