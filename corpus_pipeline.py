@@ -40,8 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256) of each row."""
-    path = bpe.vocabulary_file()
-    out = bpe.decode_column(bpe.encode_column(docs.select("doc_id", "source", "text"), path), path)
+    out = bpe.encode_column(docs.select("doc_id", "source", "text"), bpe.vocabulary_file(), decoded=True)
     return bpe.digests(out).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
