@@ -6,8 +6,10 @@
    linear in its size.
 3. The exact rest: a class gives the tokens of its prefix in the first order. Where a token has classes of
    more than one component, pairs of different components that pass the size and position filters are candidates.
-4. A candidate has to share a prefix token under each of the other orders, too; the survivors are verified on their
+4. A candidate of 2 or 3 whose rows of parity bits differ in more places than linked sets can goes before any text is sent.
+5. A candidate has to share a prefix token under each of the other orders, too; the survivors are verified on their
    whole sets. A link that is left out joins two classes of a component already found, so components lose nothing.
+Only texts of survivors are sent: their ids, hashed into a map of CELLS bits that is broadcast, let some others through.
 Frequent tokens come last in every order. Each Arrow batch gives the tokens that it holds LOCAL times or more; their
 sums over all batches, at or above a share of the documents, are broadcast: at most mean set size / share of them.
 
@@ -25,33 +27,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import Stash, components, table, text_of
-from .shingles import Orders, linked, mix, need, prefix_size, shingles
+from .shingles import Orders, linked, mix, need, parities, prefix_size, shingles
 
 #: Token orders: seed 0 makes candidates, the others filter them. STARS: orders whose first token draws stars.
 SEEDS, STARS = (0, 101, 202), (0, 7, 8, 9)
 #: Tokens are counted as frequent from so many documents of a batch, and from this share of all documents (and FLOOR documents).
 LOCAL, SHARE, FLOOR = 4, 1 / 1000, 50
 SALTS = 16
-SIGNED = "id long, n int, sig binary, firsts array<long>, often array<long>, times array<int>"
+#: Bits of the map of ids whose texts are sent: a broadcast of at most CELLS / 64 rows, whatever the input.
+CELLS = 1 << 24
+SIGNED = "id long, n int, sig binary, firsts array<long>, bits array<long>, often array<long>, times array<int>"
 
 
 def _signed(batches):
     """Per text: size of its set, the set's digest, the first token of each star order; per batch: its frequent tokens."""
     for batch in batches:
-        ids, n, sig, firsts, every = batch.column(0), [], [], [], []
+        ids, n, sig, firsts, bits, every = batch.column(0), [], [], [], [], []
         for text in batch.column(1):
             s = shingles(text.as_py())
             n.append(len(s))
             sig.append(xxhash.xxh3_128_digest(s.tobytes()))
             firsts.append([int(s[np.argmin(mix(s, seed))].view(np.int64)) for seed in STARS] if len(s) else None)
+            bits.append(parities(s) if len(s) else None)
             every.append(s)
         tokens, times = np.unique(np.concatenate(every), return_counts=True) if every else (np.empty(0, np.uint64), np.empty(0, int))
         often = times >= LOCAL
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("firsts", pa.list_(pa.int64())), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+        schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("firsts", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
         rows = len(n)
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int32()))], schema=schema)
         if often.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([tokens[often].view(np.int64)], pa.list_(pa.int64())), pa.array([times[often]], pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), pa.array([tokens[often].view(np.int64)], pa.list_(pa.int64())), pa.array([times[often]], pa.list_(pa.int32()))], schema=schema)
 
 
 def _prefixes(orders):
@@ -94,8 +99,32 @@ def _verify(orders):
     return run
 
 
+def _folded(longer: str, shorter: str) -> str:
+    return f"zip_with(slice({longer}, 1, size({shorter})), slice({longer}, size({shorter}) + 1, size({shorter})), (p, q) -> p ^ q)"
+
+
+def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Those (a, b) whose parity bits differ in no more places than linked sets of their sizes can; rows whose lengths don't compare stay."""
+    both = pairs.join(bits.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("bits").alias("x")), "a")
+    both = both.join(bits.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("y")), "b")
+    x = f"case when size(x) = 2 * size(y) then {_folded('x', 'y')} else x end"
+    y = f"case when size(y) = 2 * size(x) then {_folded('y', 'x')} else y end"
+    both = both.select("a", "b", (F.col("an") + F.col("bn")).alias("n"), F.expr(x).alias("x"), F.expr(y).alias("y"))
+    differ = "aggregate(zip_with(x, y, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+    return both.where(f"size(x) <> size(y) or {differ} <= n - 2 * ceil(3 * n / 7.0)").select("a", "b").distinct()
+
+
+def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ids, and some others whose hashes meet theirs."""
+    cell = F.pmod(F.xxhash64("id"), F.lit(CELLS))
+    place, mask = F.shiftright(cell, 6).alias("place"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {CELLS}) % 64 as int))")
+    cells = ids.groupBy(place).agg(F.bit_or(mask).alias("cells"))
+    return texts.join(F.broadcast(cells), cells["place"] == F.shiftright(cell, 6)).where(F.col("cells").bitwiseAND(mask) != 0).select(*texts.columns)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, orders=None) -> DataFrame:
     """Those (a, b) whose sets are linked. A text goes once to each a (and salt) that it is compared with."""
+    texts = _among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     pairs = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)).cast("int"))
     heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     others = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
@@ -114,14 +143,16 @@ def ngram_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     orders = spark.sparkContext.broadcast(Orders(found["often"].to_numpy(np.int64).view(np.uint64), found["times"].to_numpy(np.int64)))
 
     one = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    members = sets.join(one, "sig", "left").select("id", "n", "firsts", F.coalesce("rep", "id").alias("rep"))
+    members = sets.join(one, "sig", "left").select("id", "n", "firsts", "bits", F.coalesce("rep", "id").alias("rep"))
     classes = stash(members.where("n > 0 and id = rep").select("id", "n", "firsts").dropDuplicates(["id"]), "classes")
 
+    bits = stash(members.where("n > 0 and id = rep").select("id", "n", "bits").distinct(), "bits")  # an id that repeats has several
+
     firsts = classes.select("id", "n", F.posexplode("firsts").alias("k", "token"))
     star = firsts.groupBy("k", "token").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1")
     lead = classes.select(F.col("id").alias("a"), F.col("n").alias("an"))
     pairs = firsts.join(star, ["k", "token"]).where("id <> a").select("a", F.col("id").alias("b"), "n").distinct().join(lead, "a").where("4 * least(n, an) >= 3 * greatest(n, an)").select("a", "b")
-    pairs = stash(pairs, "stars")
+    pairs = stash(plausible(pairs, bits), "stars")
     stars = stash(verified(pairs, texts), "links")
     comps = stash(components(stash, stars), "components")
     stash.clear(pairs)
@@ -138,7 +169,8 @@ def ngram_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     near = x.join(y, "token").where(f"xid < yid and xcomp <> ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and {reach}")
     # What two sets share up to the end of the prefix that ends first has been counted; beyond it there is the rest of that set.
     counted = near.groupBy(F.col("xid").alias("a"), F.col("yid").alias("b"), "xn", "yn").agg(F.count("*").alias("shared"))
-    pairs = stash(counted.where("shared + ceil(0.75D * greatest(xn, yn)) - 1 >= ceil(3 * (xn + yn) / 7.0)").select("a", "b"), "pairs")
+    pairs = counted.where("shared + ceil(0.75D * greatest(xn, yn)) - 1 >= ceil(3 * (xn + yn) / 7.0)").select("a", "b")
+    pairs = stash(plausible(pairs, bits), "pairs")
     links = stash(verified(pairs, texts, orders), "links")
     stash.clear(lists, pairs)
 

@@ -67,6 +67,15 @@ def prefix_size(n: int) -> int:
     return n - -(n * -3 // 4) + 1 if n else 0
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether each bucket holds an odd number of the tokens, as bits in 64-bit words; there are as many buckets as the next power of two.
+
+    Two sets differ in at least as many tokens as their bits differ; the halves of a longer row of bits, one xor the other, are the next shorter row."""
+    size = max(64, 1 << (len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if not len(a) or not len(b) or 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
         return False

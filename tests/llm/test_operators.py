@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from foliant.llm import bpe, html_text, lattice, mixing, ngram_join, pii, quality, suffix_dedup, telephony, toxicity
-from foliant.llm.shingles import linked, shingles
+from foliant.llm.shingles import linked, need, parities, shingles
 
 TEXTS = [None, "", "a", "a b c", "A  b\tc", "a" * 99, "ab" * 300, "x" * 5000, "é😀 漢字 <|endoftext|> it's 12"]
 rng = random.Random(4)
@@ -147,3 +147,21 @@ def test_classifiers(spark):
 @pytest.mark.parametrize("run", [lambda s, d: ngram_join.ngram_groups(s, d), lambda s, d: suffix_dedup.remove_repeats(s, d), lambda s, d: pii.redacted(d)])
 def test_empty_table(spark, run):
     assert run(spark, frame(spark).limit(0)).count() == 0
+
+
+def test_parities_lose_no_link():
+    """Texts with up to 12 edits: bits of linked sets never differ in more places than their sizes allow."""
+    pick, words, found = random.Random(1), [str(i) for i in range(40)], 0
+    for _ in range(1500):
+        a = [pick.choice(words) for _ in range(pick.randint(1, 300))]
+        b = list(a)
+        for _ in range(pick.randint(0, 12)):
+            b[pick.randrange(len(b))] = pick.choice(words)
+            b.insert(pick.randrange(len(b) + 1), pick.choice(words))
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        if linked(x, y):
+            p, q = sorted((parities(x), parities(y)), key=len)
+            q = q if len(p) == len(q) else q[: len(p)] ^ q[len(p) :]
+            assert len(p) == len(q) and np.bitwise_count((p ^ q).view(np.uint64)).sum() <= len(x) + len(y) - 2 * need(len(x), len(y))
+            found += 1
+    assert found > 100
