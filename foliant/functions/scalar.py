@@ -19,6 +19,10 @@ CORRESPONDENCE = r"(?is)\b(repatriation|repatriate|passage|transport|taken\s+to|
 STATEMENT = r"(?i)\b(statement\s+of|statement\s+made\s+by|i\s+was\s+born|i\s+was\s+kidnapped|i\s+request)\b"
 INDEX = r"(?i)\b(index|contents|list\s+of\s+papers|table\s+of\s+contents)\b"
 RECORD = r"(?i)\b(holding institution|about this record|view on the qatar digital library|open government licence|reference:\s*ior/|copyright for this page|written in english and arabic|extent and format)\b"
+#: Texts that tell of a move, of an arrival, and of one that is only asked for.
+MOVED = r"(?i)\b(arriv(e|ed|ing)|reached|escaped\s+to|took\s+refuge\s+at|went\s+to|came\s+to|brought\s+(me\s+)?to|taken\s+to|sent\s+to|forwarded|moved\s+to)\b"
+ARRIVED = r"(?i)\b(arriv(ed|ing)|reached|escaped\s+to|went\s+to|came\s+to)\b"
+ASKED = r"(?i)\b(request(ed)?|desired|wish(ed|es)?|intend(ed)?|propos(ed|es)|recommended|recommendation|delivery|certificate|office|agency|administrative|handling|not\s+clearly\s+completed)\b"
 EMPTY_PAGE = "[OCR_EMPTY]"
 EDGES = " ,.;:[]{}\"'"
 
@@ -150,3 +154,11 @@ def doc_id(d: Spark, x: str) -> str:
     """Characters that paths can't have become _; spaces and dots at the ends go."""
     s = d.replace(spaced(d, d.replace(f"coalesce({x}, '')", r"[\\/:*?\x22<>|\x00-\x1f]+", "_")), r"^[ .]+")
     return d.replace(s, r"[ .]+$")
+
+
+def confident_move(d: Spark, x: str) -> str:
+    return d.like(x, MOVED)
+
+
+def uncertain_move(d: Spark, x: str) -> str:
+    return f"({d.like(x, ASKED)} and not {d.like(x, ARRIVED)})"

@@ -33,6 +33,7 @@ NAMES = ("mariam   BINT YUSUF", "the slave āmina ibn salim", "Marium bint Yousu
 PLACES = ("shargah", "at Dibai", "Ras-ul-khaimah", "H.M.S. Lawrence", "the agency", "from bushire (Persia)", "Without The Slightest Pressure On Either", "muscat", "Al Ain town near the old fort wall", "Pier 9")
 DATES = ("1931-05-17", "17-5-1931", "3/4/31", "May 17, 1931", "17th May 1931", "17th May", "arrived 1931-05-17", "no date", "31-2-1931", "1/2/193")
 TYPES = ("statement", "Statement", "transport/admin", "memo", "correspondence")
+MOVES = ("he arrived at Muscat", "wished to be sent to Dubai", "certificate for delivery", "requested leave and reached Basra", "Taken  to the office", "no word", "", "not clearly completed")
 REASONS = ("index", "Record_Metadata", "bad_ocr", "null", "other")
 
 
@@ -137,7 +138,51 @@ def document_listing(d):
     return f"with {views(d)} select {S.doc_id(d, "concat(' file:', cast(doc_id as " + ('string' if d.name == 'spark' else 'varchar') + "), '. ')")} as doc_id, count(*) as pages, min(page) as first_page, max(page) as last_page from syn_pages group by doc_id"
 
 
-BUILDERS = (names_normalized, places_normalized, dates_iso, page_facts, rule_hints, page_decisions, gated_pages, pages_to_resume, detail_rows, name_variants, status_rows, document_stats, duplicate_places, route_checks, reranked_places, category_choices, stage_progress, skip_propagation, document_listing)
+def move_texts(d):
+    return f"with t as (select l_orderkey as page, l_linenumber as nth, {_case('(l_partkey + l_linenumber) % 8', MOVES)} as text from lineitem) select page, nth, text, {S.confident_move(d, 'text')} as confident, {S.uncertain_move(d, 'text')} as uncertain from t"
+
+
+def _validated(d: Spark) -> str:
+    """checks: of each person on a page, the five rules with status and message; persons without places have five empty ones."""
+
+    def listed(x: str, when: str) -> str:
+        if d.name == "spark":
+            return f"array_join(transform(array_sort(collect_list(case when {when} then struct(ord, {x} as x) end)), s -> s.x), ', ')"
+        return f"coalesce(string_agg({x}, ', ' order by ord) filter (where {when}), '')"
+
+    fine, broken = "then 'ok'", "else 'fail'"
+    rules = (
+        ("Positive orders", "consecutive = 1", "'Positive orders form 1..n consecutively.'", "'Positive orders must be consecutive 1..n.'"),
+        ("Duplicate places", "repeated = ''", "'No duplicate final places remain.'", "concat('Duplicate final places remain: ', repeated, '.')"),
+        ("Date confidence", "undated = ''", "'Date confidence is blank when arrival date is blank.'", "concat('Date confidence must be blank when arrival_date is blank: ', undated, '.')"),
+        ("Ascending dates", "ascending = 1", "'Positive route order is consistent with arrival dates.'", "'Positive route order conflicts with arrival dates.'"),
+        ("Valid place text", "invalid = ''", "'No ships or generic office words were kept.'", "concat('Invalid place-like text remains: ', invalid, '.')"),
+    )
+    rows = " union all ".join(f"select page, name, {k} as rule_no, '{rule}' as rule, case when places is null then 'empty' when {good} {fine} {broken} end as status, case when places is null then 'No places extracted.' when {good} then {yes} else {no} end as message from judged" for k, (rule, good, yes, no) in enumerate(rules, 1))
+    return f"""{_routed(d)},
+listed as (select page, ord, name, place, pos, arrival, case when ord % 3 = 0 then 'explicit' else confidence end as confidence, {S.valid_place(d, 'place')} as fit from placed),
+placed_at as (select *, case when pos > 0 then row_number() over (partition by page, name, pos > 0 order by ord) end as nth, lag(arrival) over (partition by page, name, pos > 0 and arrival <> '' order by ord) as before, row_number() over (partition by page, name, lower(place) order by ord) as again from listed),
+facts as (select page, name, count(*) as places, min(case when pos > 0 and pos <> nth then 0 else 1 end) as consecutive, min(case when pos > 0 and arrival <> '' and before > arrival then 0 else 1 end) as ascending, {listed('place', "place <> '' and (again = 2 or again > 2 and place <> lower(place))")} as repeated, {listed('place', "arrival = '' and confidence <> ''")} as undated, {listed('place', 'not fit')} as invalid from placed_at group by page, name),
+persons as (select distinct page, {S.name(d, 'name')} as name from people union select distinct page, name from placed),
+judged as (select p.page, p.name, f.places, f.consecutive, f.ascending, f.repeated, f.undated, f.invalid from persons p left join facts f on p.page = f.page and p.name = f.name),
+checks as ({rows})"""
+
+
+def route_validation(d):
+    return f"with {_validated(d)} select page, name, rule_no, rule, status, message from checks"
+
+
+def route_retries(d):
+    """The message of the first rule that fails."""
+    first = "min_by(message, rule_no)" if d.name == "spark" else "arg_min(message, rule_no)"
+    return f"with {_validated(d)} select page, name, case when min(status) = 'empty' then 'Verifier returned no places.' else {first} end as message from checks where status <> 'ok' group by page, name"
+
+
+def histograms(d):
+    return f"with {views(d)} select 'report_type' as kind, report_type as value, count(*) as n from classify group by report_type union all select 'status' as kind, case when should_extract then 'extract' else concat('skip:', coalesce(skip_reason, 'bad_ocr')) end as value, count(*) as n from classify group by 2"
+
+
+BUILDERS = (move_texts, route_validation, route_retries, histograms, names_normalized, places_normalized, dates_iso, page_facts, rule_hints, page_decisions, gated_pages, pages_to_resume, detail_rows, name_variants, status_rows, document_stats, duplicate_places, route_checks, reranked_places, category_choices, stage_progress, skip_propagation, document_listing)
 
 
 def _runner(build: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:

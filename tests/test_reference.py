@@ -49,7 +49,7 @@ def test_clusters(spark):
     assert {r.name: r.canonical for r in canonical_names(df).collect()} == {"Mariam bint Yusuf": "Mariam bint Yusuf", "Marium bint Yousuf": "Mariam bint Yusuf", "Faraj": "Faraj"}
 
 
-@pytest.mark.parametrize("name", ["status_rows", "dates_iso", "reranked_places", "rule_hints"])
+@pytest.mark.parametrize("name", ["status_rows", "dates_iso", "reranked_places", "rule_hints", "route_validation", "route_retries", "histograms"])
 def test_catalogue(spark, name):
     con = duckdb.connect()
     for t in catalogue.TABLES:
@@ -62,3 +62,8 @@ def test_catalogue(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("text,confident,uncertain", [("He ARRIVED at Muscat", True, False), ("wished to be sent to Dubai", True, True), ("requested leave and reached Basra", True, False), ("certificate for  delivery", False, True), ("", False, False), ("an arrival", False, False)])
+def test_move_texts(spark, text, confident, uncertain):
+    assert (one(spark, S.confident_move, text), one(spark, S.uncertain_move, text)) == (confident, uncertain)
