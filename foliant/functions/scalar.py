@@ -73,8 +73,7 @@ def candidate_name(d: Spark, n: str) -> str:
 def place(d: Spark, x: str) -> str:
     s = _unbracketed(d, d.replace(_trimmed(d, x), r"(?i)^(?:at|in|to|from|near|via)\b\s+"))
     low = d.replace(f"replace(lower({s}), '-', ' ')", r"\s+", " ")
-    known = " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in PLACE_MAP.items())
-    return f"case {low} {known} else {d.each(d.words(s, 6), f"case when lower(w) in ('al', 'ul', 'el') then lower(w) else {_capital()} end")} end"
+    return d.lookup(low, {k: quoted(v) for k, v in PLACE_MAP.items()}, d.each(d.words(s, 6), f"case when lower(w) in ('al', 'ul', 'el') then lower(w) else {_capital()} end"))
 
 
 def valid_place(d: Spark, p: str) -> str:
@@ -90,8 +89,8 @@ def year(d: Spark, x: str) -> str:
     return f"cast(nullif({d.extract(f"coalesce({x}, '')", r'\b(?:17|18|19|20)[0-9]{2}\b')}, '') as int)"
 
 
-def month(x: str) -> str:
-    return f"case lower(substring({x}, 1, 3)) {' '.join(f"when '{m}' then {k}" for k, m in enumerate(MONTHS, 1))} else 0 end"
+def month(d: Spark, x: str) -> str:
+    return d.lookup(f"lower(substring({x}, 1, 3))", {m: str(k) for k, m in enumerate(MONTHS, 1)}, "0")
 
 
 def iso_date(d: Spark, x: str, doc_year: str) -> tuple[str, str]:
@@ -106,9 +105,9 @@ def iso_date(d: Spark, x: str, doc_year: str) -> tuple[str, str]:
     good = lambda m, day: f"({m} between 1 and 12 and {day} between 1 and 31)"
     nd, nm, ny = part(number, 1), part(number, 2), part(number, 3)
     century = f"(case when {ny} >= 100 then {ny} when coalesce({doc_year}, 0) > 0 then {doc_year} - {doc_year} % 100 + {ny} else 1900 + {ny} end)"
-    am, ad, ay = month(d.extract(x, american, 1)), part(american, 2), part(american, 3)
-    em, ed, ey = month(d.extract(x, english, 2)), part(english, 1), part(english, 3)
-    sm, sd = month(d.extract(low, short, 2)), part(short, 1, low)
+    am, ad, ay = month(d, d.extract(x, american, 1)), part(american, 2), part(american, 3)
+    em, ed, ey = month(d, d.extract(x, english, 2)), part(english, 1), part(english, 3)
+    sm, sd = month(d, d.extract(low, short, 2)), part(short, 1, low)
     arms = [
         (d.like(x, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), x, "'explicit'"),
         (good(nm, nd), written(century, nm, nd), f"case when {ny} < 100 then 'derived_from_doc' else 'explicit' end"),
@@ -147,7 +146,7 @@ def cleaned(d: Spark, x: str) -> str:
 
 def allowed(d: Spark, x: str, words) -> str:
     """The allowed spelling, else empty."""
-    return f"case lower({spaced(d, x)}) {' '.join(f'when {quoted(w.lower())} then {quoted(w)}' for w in words)} else '' end"
+    return d.lookup(f"lower({spaced(d, x)})", {w.lower(): quoted(w) for w in words}, "''")
 
 
 def doc_id(d: Spark, x: str) -> str:

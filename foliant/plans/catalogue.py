@@ -47,25 +47,25 @@ routes as (select l_orderkey as page, (l_linenumber * 1000000 + l_partkey) * 100
 
 
 def _named(d: Spark) -> str:
-    return f"{views(d)}, named as (select page, ord, {S.name(d, 'name')} as name, report_type from people), kept as (select * from named where {S.valid_name(d, 'name')})"
+    return f"{views(d)}, named as ({d.once('people', 'page, ord, report_type', name=S.name(d, 'name'))}), kept as (select * from named where {S.valid_name(d, 'name')})"
 
 
 def _routed(d: Spark) -> str:
     iso, confidence = S.iso_date(d, "date_text", "cast(doc_year as int)")
-    return f"{views(d)}, placed as (select page, ord, {S.name(d, 'name')} as name, {S.place(d, 'place')} as place, pos, {iso} as arrival, {confidence} as confidence from routes), routed as (select * from placed where {S.valid_place(d, 'place')})"
+    return f"{views(d)}, spaced as ({d.once('routes', 'page, ord, name, place, pos, doc_year', date_text=S.spaced(d, 'date_text'))}), placed as ({d.once('spaced', 'page, ord, pos', name=S.name(d, 'name'), place=S.place(d, 'place'), arrival=iso, confidence=confidence)}), routed as (select * from placed where {S.valid_place(d, 'place')})"
 
 
 def names_normalized(d):
-    return f"with {views(d)}, n as (select page, ord, name as raw, {S.name(d, 'name')} as name from people) select page, ord, raw, name, {S.valid_name(d, 'name')} as valid, {S.candidate_name(d, 'name')} as candidate from n"
+    return f"with {views(d)}, n as ({d.once('people', 'page, ord, people.name as raw', name=S.name(d, 'name'))}) select page, ord, raw, name, {S.valid_name(d, 'name')} as valid, {S.candidate_name(d, 'name')} as candidate from n"
 
 
 def places_normalized(d):
-    return f"with {views(d)}, n as (select page, ord, place as raw, {S.place(d, 'place')} as place from routes) select page, ord, raw, place, {S.valid_place(d, 'place')} as valid from n"
+    return f"with {views(d)}, n as ({d.once('routes', 'page, ord, routes.place as raw', place=S.place(d, 'place'))}) select page, ord, raw, place, {S.valid_place(d, 'place')} as valid from n"
 
 
 def dates_iso(d):
     iso, confidence = S.iso_date(d, "s", "cast(doc_year as int)")
-    return f"with {views(d)}, n as (select page, ord, doc_year, {S.spaced(d, 'date_text')} as s from routes) select page, ord, s as raw, {iso} as iso, {confidence} as confidence from n"
+    return f"with {views(d)}, n as ({d.once('routes', 'page, ord, doc_year', s=S.spaced(d, 'date_text'))}) select page, ord, s as raw, {iso} as iso, {confidence} as confidence from n"
 
 
 def page_facts(d):
@@ -158,13 +158,17 @@ def _validated(d: Spark) -> str:
         ("Ascending dates", "ascending = 1", "'Positive route order is consistent with arrival dates.'", "'Positive route order conflicts with arrival dates.'"),
         ("Valid place text", "invalid = ''", "'No ships or generic office words were kept.'", "concat('Invalid place-like text remains: ', invalid, '.')"),
     )
-    rows = " union all ".join(f"select page, name, {k} as rule_no, '{rule}' as rule, case when places is null then 'empty' when {good} {fine} {broken} end as status, case when places is null then 'No places extracted.' when {good} then {yes} else {no} end as message from judged" for k, (rule, good, yes, no) in enumerate(rules, 1))
+    by = lambda of: "case rule_no " + " ".join(f"when {k} then {of(*rule)}" for k, rule in enumerate(rules, 1)) + " end"
+    status = by(lambda rule, good, yes, no: f"case when places is null then 'empty' when {good} {fine} {broken} end")
+    message = by(lambda rule, good, yes, no: f"case when places is null then 'No places extracted.' when {good} then {yes} else {no} end")
+    rows = f"select page, name, rule_no, {by(lambda rule, *_: S.quoted(rule))} as rule, {status} as status, {message} as message from ruled"
     return f"""{_routed(d)},
 listed as (select page, ord, name, place, pos, arrival, case when ord % 3 = 0 then 'explicit' else confidence end as confidence, {S.valid_place(d, 'place')} as fit from placed),
 placed_at as (select *, case when pos > 0 then row_number() over (partition by page, name, pos > 0 order by ord) end as nth, lag(arrival) over (partition by page, name, pos > 0 and arrival <> '' order by ord) as before, row_number() over (partition by page, name, lower(place) order by ord) as again from listed),
 facts as (select page, name, count(*) as places, min(case when pos > 0 and pos <> nth then 0 else 1 end) as consecutive, min(case when pos > 0 and arrival <> '' and before > arrival then 0 else 1 end) as ascending, {listed('place', "place <> '' and (again = 2 or again > 2 and place <> lower(place))")} as repeated, {listed('place', "arrival = '' and confidence <> ''")} as undated, {listed('place', 'not fit')} as invalid from placed_at group by page, name),
 persons as (select distinct page, {S.name(d, 'name')} as name from people union select distinct page, name from placed),
 judged as (select p.page, p.name, f.places, f.consecutive, f.ascending, f.repeated, f.undated, f.invalid from persons p left join facts f on p.page = f.page and p.name = f.name),
+ruled as ({d.numbered('judged', len(rules), 'rule_no')}),
 checks as ({rows})"""
 
 

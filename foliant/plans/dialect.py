@@ -56,6 +56,19 @@ class Spark:
     def size(self, words: str) -> str:
         return f"cast(size({words}) as bigint)"
 
+    def once(self, source: str, keep: str, **made: str) -> str:
+        """keep, and expressions over the rows of source; a generator, so that the optimizer doesn't copy them into each place that reads them."""
+        named = ", ".join(f"'{k}', {v}" for k, v in made.items())
+        return f"select {keep}, {', '.join(f't.{k}' for k in made)} from {source} lateral view inline(array(named_struct({named}))) t"
+
+    def lookup(self, x: str, values: dict[str, str], other: str) -> str:
+        """The value (an SQL literal) of x, else other; x is evaluated once, where a case would do so for each key."""
+        return f"coalesce(element_at(map({', '.join(f'{quoted(k)}, {v}' for k, v in values.items())}), {x}), {other})"
+
+    def numbered(self, source: str, n: int, number: str) -> str:
+        """Each row n times, with a number from 1."""
+        return f"select *, explode(sequence(1, {n})) as {number} from {source}"
+
 
 class Oracle(Spark):
     name = "oracle"
@@ -91,5 +104,14 @@ class Oracle(Spark):
     def size(self, words: str) -> str:
         return f"cast(len({words}) as bigint)"
 
+    def once(self, source: str, keep: str, **made: str) -> str:
+        return f"select {keep}, {', '.join(f'{v} as {k}' for k, v in made.items())} from {source}"
+
+    def lookup(self, x: str, values: dict[str, str], other: str) -> str:
+        return f"case {x} {' '.join(f'when {quoted(k)} then {v}' for k, v in values.items())} else {other} end"
+
+    def numbered(self, source: str, n: int, number: str) -> str:
+        return f"select *, cast(unnest(range(1, {n + 1})) as int) as {number} from {source}"
+
 
 SPARK, ORACLE = Spark(), Oracle()
