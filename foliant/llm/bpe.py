@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import small_batches, table
 from .slices import replaced, sliced
 
-SHORT, WORDS = 96, 400_000
+SHORT, WORDS = 96, 100_000
 #: Fixed value: the pattern that byte-level BPE splits text by.
 PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -64,7 +64,7 @@ class Bpe(dict):
         parts = [self.of_byte[b] for b in word.encode("utf-8", "replace")]
         short = len(parts) <= SHORT
         ids = np.array(self.merge(parts) if short else self.merge_long(parts), np.int32).tobytes()
-        if short <= SHORT:  # long words seldom come again
+        if short:  # long words seldom come again
             if len(self) >= WORDS:
                 self.clear()
             self[word] = ids

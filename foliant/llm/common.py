@@ -15,11 +15,12 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 2048) -> None:
-    """Whole texts are large rows: Spark's default of 10,000 in an Arrow batch is lowered; a value set by the user stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 2048, size: int = 8 << 20) -> None:
+    """Whole texts are large rows: Spark's defaults for the rows and bytes of an Arrow batch are lowered; values set by the user stay."""
+    for key, default, least in (("maxRecordsPerBatch", 10_000, rows), ("maxBytesPerBatch", 64 << 20, size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) in (str(default), f"{default}b"):
+            spark.conf.set(key, str(least))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a text that are hashed at once; pieces overlap by the longest n-gram.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
