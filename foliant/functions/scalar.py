@@ -23,6 +23,41 @@ RECORD = r"(?i)\b(holding institution|about this record|view on the qatar digita
 MOVED = r"(?i)\b(arriv(e|ed|ing)|reached|escaped\s+to|took\s+refuge\s+at|went\s+to|came\s+to|brought\s+(me\s+)?to|taken\s+to|sent\s+to|forwarded|moved\s+to)\b"
 ARRIVED = r"(?i)\b(arriv(ed|ing)|reached|escaped\s+to|went\s+to|came\s+to)\b"
 ASKED = r"(?i)\b(request(ed)?|desired|wish(ed|es)?|intend(ed)?|propos(ed|es)|recommended|recommendation|delivery|certificate|office|agency|administrative|handling|not\s+clearly\s+completed)\b"
+#: Where a letter was sent from, where someone arrived, and when; the last has the place as group 1 too.
+SENT_FROM = r"(?im)^\s*from\s*-\s*(?:.*?,\s*)?([A-Za-z][A-Za-z' -]+?)\.\s*$"
+ARRIVING = r"(?i)arriv(?:ing|ed)\s+(?:at\s+|in\s+|to\s+)?([A-Za-z][A-Za-z' -]*[A-Za-z])(?:\s+(?:about\s+the|on|about)\b|[.,;\n])"
+ARRIVING_WHEN = r"(?i)arriv(?:ing|ed)\s+(?:at\s+|in\s+|to\s+)?([A-Za-z][A-Za-z' -]*[A-Za-z])\s+(?:about\s+the|on|about)\b([^.,;\n]+)"
+CONFIDENCES = ("", "explicit", "derived_from_doc", "unknown")
+#: Roles by what stands around a name, in the order in which they count; the name is {name}, in lower case as all else.
+ROLES_AGAINST = {
+    "sold_to_buyer": r"\bsold\s+(?:me\s+)?to\s+(?:one\s+)?{name}",
+    "bought_by_owner": r"\bbought\s+by\s+{name}",
+    "belonging_to_owner": r"\bbelonging\s+to\s+{name}",
+    "owner_named": r"\bowner\s+(?:named\s+)?{name}",
+    "master_named": r"\bmaster\s+(?:named\s+)?{name}",
+    "recorded_by": r"\bstatement\s+recorded\s+by\s+{name}",
+    "letter_from": r"\bletter\s+from\s+{name}",
+    "signed_by": r"\bsigned\s+before\s+me\s+by\s+{name}",
+    "official_title_context": r"\b(?:major|captain|shaikh|sheikh|secretary|agent|political\s+agent|resident|clerk|witness|signatory)\b.*{name}|{name}.*\b(?:major|captain|shaikh|sheikh|secretary|agent|political\s+agent|resident|clerk|witness|signatory)\b",
+}
+ROLES_FOR = {
+    "statement_of_subject": r"\bstatement\s+of\s+(?:slave\s+)?{name}",
+    "statement_by_subject": r"\bstatement\s+made\s+by\s+{name}",
+    "slave_name": r"\bslave\s+{name}",
+    "named_slave_forward": r"\bslave\b.*?\bnamed\s+{name}",
+    "named_slave_reverse": r"\bnamed\s+{name}.*?\bslave\b",
+    "single_slave_named": r"\b1\s+slave\b.*?\bnamed\s+{name}",
+    "refugee_group": r"\brefugee\s+slaves?\b.*?{name}",
+    "delivery_to": r"\bfor\s+delivery\s+to\s+{name}",
+    "grant_certificate": r"\bgrant\b.*?\bcertificate\b.*?\bto\s+{name}",
+    "recommend_certificate": r"\brecommend\b.*?\bcertificate\b.*?\bfor\s+{name}",
+    "manumission_context": r"\bmanumission\b.*?{name}",
+    "free_status_context": r"\bfree\s+status\b.*?{name}",
+    "repatriation_request": r"{name}.*?\brequests?\s+repatriation\b",
+}
+STRONG_PHRASES = ("slave named", "refugee slave", "fugitive slave", "statement of slave", "statement made by", "grant certificate to", "recommend certificate for", "requests repatriation")
+#: What stands for a name in a text, so that patterns are the same for every row.
+MARK = "\u25a1"
 EMPTY_PAGE = "[OCR_EMPTY]"
 EDGES = " ,.;:[]{}\"'"
 
@@ -161,3 +196,30 @@ def confident_move(d: Spark, x: str) -> str:
 
 def uncertain_move(d: Spark, x: str) -> str:
     return f"({d.like(x, ASKED)} and not {d.like(x, ARRIVED)})"
+
+
+def plausible_place(d: Spark, p: str) -> str:
+    """p: a normalised place that was inferred: at most four words and none of prose."""
+    words = d.words(f"trim({d.replace(f'lower({p})', '[^a-z]+', ' ')})")
+    return f"({valid_place(d, p)} and {d.size(words)} between 1 and 4 and not {d.any(words, one_of('w', PROSE))})"
+
+
+def marked(d: Spark, text: str, n: str) -> str:
+    """The text in lower case, without accents, and with a mark for the normalised name n where it stands as whole words."""
+    low = f"concat(' ', lower({d.accents(spaced(d, text))}), ' ')"
+    apart = d.replace(low, "([^a-z0-9' -])", " \\1 ") if d.name == "oracle" else d.replace(low, "([^a-z0-9' -])", " $1 ")
+    return spaced(d, f"replace({apart}, concat(' ', lower({n}), ' '), ' {MARK} ')")
+
+
+def first_role(d: Spark, marked_text: str, roles: dict[str, str]) -> str:
+    arms = " ".join(f"when {d.like(marked_text, p.replace('{name}', MARK))} then {quoted(k)}" for k, p in roles.items())
+    return f"case {arms} else '' end"
+
+
+def free_born(d: Spark, low: str) -> str:
+    return f"({d.like(low, r'\bfree\s*born\b')} and {d.like(low, r'\bnot\s+a?\s*slave\b')})"
+
+
+def first_phrase(low: str) -> str:
+    arms = " ".join(f"when instr({low}, {quoted(p)}) > 0 then {quoted(p)}" for p in STRONG_PHRASES)
+    return f"case {arms} else '' end"
