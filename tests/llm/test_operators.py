@@ -165,3 +165,28 @@ def test_parities_lose_no_link():
             assert len(p) == len(q) and np.bitwise_count((p ^ q).view(np.uint64)).sum() <= len(x) + len(y) - 2 * need(len(x), len(y))
             found += 1
     assert found > 100
+
+
+def test_bpe_keeps_short_words_alone():
+    from foliant.llm import bpe
+
+    with open(bpe.vocabulary_file(), encoding="utf-8") as f:
+        coder = bpe.Bpe(f.read())
+    assert coder.decode(np.frombuffer(coder.encode("short " + "long" * 100), np.int32).tolist()) == "short " + "long" * 100
+    assert "short" in coder and all(len(w.encode()) <= bpe.SHORT for w in coder)
+
+
+def test_small_batches_respect_the_user(spark):
+    from foliant.llm.common import small_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "12345b")
+        small_batches(spark)
+        assert spark.conf.get(key) == "12345b"
+        spark.conf.unset(key)
+        small_batches(spark)
+        assert spark.conf.get(key) in ("8388608", "8388608b")
+    finally:
+        spark.conf.set(key, before)
