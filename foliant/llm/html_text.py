@@ -3,8 +3,8 @@
 Pages are parsed into flat lists of elements by a tolerant scan. Every element's subtree has a hash of its tags and its text; Spark counts
 them per host and deletes those that stand on at least MIN_PAGES pages and SHARE of the host's pages, wherever their class names stay silent.
 Furniture goes by tag, role, class and id, too, for hosts with few pages. Text is never judged by its length or its words.
-A page that has text in article or main elements has its text there; those elements and what they hold are the page's own however often they recur
-(copies of an article are no template). A page of which all blocks recur is a copy itself, and keeps them.
+What is left in article or main elements, where a page has any, is its text. Those elements themselves are never templates (copies of an article
+are none), but what recurs inside of them is. A page of which all blocks recur is a copy itself, and keeps them.
 
 Nulls: null html gives an empty text, and a null or odd url counts as one host. Ids may repeat or be null: rows are judged one by one. Extra columns stay.
 """
@@ -23,11 +23,12 @@ from .common import Stash, table, text_of
 from .slices import replaced, sliced
 
 MIN_PAGES, SHARE, SALTS = 5, 0.2, 32
-# HTML's elements without content, of raw text, that end an open paragraph, that are no text of the article, and the words of class names and ids.
+# HTML's elements without content, of raw text, that end an open paragraph, that are no text of the article, that are never templates, and the words of class names and ids.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 OFF = frozenset("script style noscript template iframe object embed svg math canvas audio video head title nav header footer aside form button select textarea input label menu dialog noembed noframes".split())
+WHOLE = frozenset("# html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget widgets footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments reply replies respond disqus discussion related recommended recommendations pagination pager tags toolbar skip copyright legal".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -157,14 +158,16 @@ def main_text(page: str, recurring: set[int] = frozenset()) -> str:
     for i, (tag, furniture, _, _, parent) in enumerate(elements):
         off[i] = furniture or parent >= 0 and off[parent]
         own[i] = tag in ("article", "main") or parent >= 0 and own[parent]
-    if any(text and e_own and not text.isspace() for text, e_own in ((text, own[e] and not off[e]) for text, e in items)):
-        return _blocks(items, [a or not b for a, b in zip(off, own)])
     gone = list(off)
     if recurring:
         hashes = subtree_hashes(elements, items)
         for i, (tag, _, _, _, parent) in enumerate(elements):
-            gone[i] = off[i] or parent >= 0 and gone[parent] or hashes[i] in recurring and tag not in ("#", "html", "body")
-    return _blocks(items, gone) or _blocks(items, off)
+            gone[i] = off[i] or parent >= 0 and gone[parent] or hashes[i] in recurring and tag not in WHOLE
+    for left in (gone, off):
+        found = _blocks(items, [a or not b for a, b in zip(left, own)]) or _blocks(items, left)
+        if found:
+            return found
+    return ""
 
 
 def _blocks(items: list, off: list[bool]) -> str:
@@ -191,11 +194,11 @@ def _hashes(batches):
         counts: dict[tuple[str, int], int] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
             elements, items = parse(page.as_py())
-            off = [e[1] or e[0] in ("article", "main") for e in elements]
+            off = [e[1] for e in elements]
             found = {0}
             for i, (h, e) in enumerate(zip(subtree_hashes(elements, items), elements)):
                 off[i] = off[i] or e[4] >= 0 and off[e[4]]
-                if h and e[0] in BLOCK and e[0] not in ("html", "body") and not off[i]:  # furniture goes anyway, and articles stay
+                if h and e[0] in BLOCK and e[0] not in WHOLE and not off[i]:  # furniture goes anyway
                     found.add(h)
             for h in found:
                 counts[host, h] = counts.get((host, h), 0) + 1

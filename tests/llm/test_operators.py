@@ -130,6 +130,15 @@ def test_templates(spark):
     assert got == {**{i: f"page {i}" for i in range(8)}, 8: ""}
 
 
+def test_templates_inside_articles(spark):
+    """What recurs inside an article goes, whatever its class; copies of a whole article, and articles that hold nothing else, stay."""
+    shell = "<body><article><h1>t{0}</h1><p>page {0}</p><div><p>share this</p></div></article><main><p>also {0}</p></main></body>"
+    copy = "<article><h1>copy</h1><p>all the same</p></article>"
+    pages = [(i, "http://h.org/x", shell.format(i)) for i in range(8)] + [(8 + i, "http://copies.org/", copy) for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"t{i}\n\npage {i}\n\nalso {i}" for i in range(8)}, **{8 + i: "copy\n\nall the same" for i in range(8)}}
+
+
 def test_classifiers(spark):
     rows = [(i, ("you vile thing " if i % 4 == 0 else "a nice thing ") * (1 + i % 5), int(i % 4 == 0)) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, y int")
