@@ -1,7 +1,8 @@
 """Main text of web pages: element subtrees that recur on many pages of a host go, and so do those that are named as furniture.
 
 Pages are parsed into flat lists of elements by a tolerant scan. Every element's subtree has a hash of its tags and its text; Spark counts
-them per host and deletes those that stand on at least MIN_PAGES pages and SHARE of the host's pages, wherever their class names stay silent.
+them per host and deletes those that stand on at least MIN_PAGES pages, wherever their class names stay silent. A host of many pages asks for more,
+in step with the root of its size (5 of 25 pages, 100 of 10,000), so that a section's menu goes on a hot host and a few copies of a page stay.
 Furniture goes by tag, role, class and id, too, for hosts with few pages. Text is never judged by its length or its words.
 What is left in article or main elements, where a page has any, is its text. Those elements themselves are never templates (copies of an article
 are none), but what recurs inside of them is. A page of which all blocks recur is a copy itself, and keeps them.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Stash, table, text_of
 from .slices import replaced, sliced
 
-MIN_PAGES, SHARE, SALTS = 5, 0.2, 32
+MIN_PAGES, SHARE = 5, 0.2
 # HTML's elements without content, of raw text, that end an open paragraph, that are no text of the article, that are never templates, and the words of class names and ids.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -189,10 +190,10 @@ def _blocks(items: list, off: list[bool]) -> str:
 
 
 def _hashes(batches):
-    """(host, hash, pages) of what each batch holds: pages with the subtree. The hash 0 counts all pages of a host."""
-    for batch in sliced(batches, 1):
-        counts: dict[tuple[str, int], int] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+    """(host, page, hash) of each subtree that a page holds, once. The hash 0 stands for the page itself."""
+    for batch in sliced(batches, 2):
+        hosts, pages, hashes = [], [], []
+        for host, key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             elements, items = parse(page.as_py())
             off = [e[1] for e in elements]
             found = {0}
@@ -200,10 +201,10 @@ def _hashes(batches):
                 off[i] = off[i] or e[4] >= 0 and off[e[4]]
                 if h and e[0] in BLOCK and e[0] not in WHOLE and not off[i]:  # furniture goes anyway
                     found.add(h)
-            for h in found:
-                counts[host, h] = counts.get((host, h), 0) + 1
-        keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["host", "hash", "pages"])
+            hosts += [host] * len(found)
+            pages += [key] * len(found)
+            hashes += found
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, pages, hashes)], names=["host", "page", "hash"])
 
 
 def _extract(batches):
@@ -213,21 +214,22 @@ def _extract(batches):
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """pages without the html and with text. Hashes that recur on a host are few beside its pages: each stands on at least a share of them,
-    so there are at most (blocks of a page / share) for a host; a host's list goes to its pages in one row a salt."""
+    """pages without the html and with text. share holds for a host of min_pages / share pages; for larger ones the count that a template needs
+    grows with the root of the host's size. Hosts and pages go by 64-bit names; each page is sent the recurring hashes that it holds itself, and pages
+    with equal html on one host share a row of them."""
     spark = pages.sparkSession
     stash = Stash(spark)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url_col}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    src = pages.select(host.alias("__host"), text_of(F.col(f"`{html_col}`")).alias("__html"), *(F.col(f"`{c}`") for c in pages.columns if c not in (html_col, "text")))
-    counts = src.select("__host", "__html").mapInArrow(_hashes, "host string, hash long, pages long").groupBy("host", "hash").agg(F.sum("pages").alias("pages"))
-    counts = stash(counts.where(f"pages >= {int(min_pages)}"), "subtrees")
-    total = counts.where("hash = 0").select("host", F.col("pages").alias("total"))
-    lists = counts.where("hash <> 0").join(total, "host").where(F.col("pages") >= F.col("total") * F.lit(share)).groupBy("host").agg(F.collect_list("hash").alias("__hashes"))
-    # A hot host's pages are dealt by salt.
-    salted = lists.select(F.col("host").alias("__host"), "__hashes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    rows = src.withColumn("__salt", F.pmod(F.xxhash64("__html"), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"], "left")
+    page = text_of(F.col(f"`{html_col}`"))
     rest = [c for c in pages.columns if c not in (html_col, "text")]
-    found = rows.select(*(F.col(f"`{c}`") for c in rest), "__html", "__hashes")
+    src = pages.select(F.xxhash64(host).alias("__host"), F.xxhash64(host, page).alias("__page"), page.alias("__html"), *(F.col(f"`{c}`") for c in rest))
+    held = stash(src.select("__host", "__page", "__html").mapInArrow(_hashes, "host long, page long, hash long"), "subtrees")
+    counts = held.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(f"pages >= {int(min_pages)}")
+    counts = stash(counts, "counts")
+    total = counts.where("hash = 0").select("host", F.col("pages").alias("total"))
+    often = counts.where("hash <> 0").join(total, "host").where(F.col("pages") >= F.sqrt(F.col("total") * F.lit(min_pages * share))).select("host", "hash")
+    marks = held.join(often, ["host", "hash"]).groupBy(F.col("page").alias("__page")).agg(F.collect_set("hash").alias("__hashes"))
+    found = src.join(marks, "__page", "left").select(*(F.col(f"`{c}`") for c in rest), "__html", "__hashes")
     schema = found.drop("__html", "__hashes").withColumn("text", F.lit("").cast("string")).schema
     return found.mapInArrow(_extract, schema)
 
