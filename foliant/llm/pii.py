@@ -26,9 +26,10 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text has to have to hold a match.
-HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-CANDIDATE = r"(?<![0-9A-Za-z_.%+@#:/-])[0-9A-Za-z_.%+@#:/-]*+(?<=[0-9A-Za-z_.%+@#:/-]{6})(?<![.:-])"
+#: What a text has to have to hold a match: a sign, or one of a class.
+HINT = {"email": "@", "ip": ".", "card": "[0-9]", "phone": "+"}
+# A candidate ends with the last sign of its run that is no full stop, colon or hyphen, six signs or more after its start.
+CANDIDATE = r"(?<![0-9A-Za-z_.%+@#:/-])[0-9A-Za-z_.%+@#:/-]{6}[0-9A-Za-z_.%+@#:/-]*(?<![.:-])"
 KINDS = (*BASE, "id")
 BEFORE = 24
 # Fixed values of the labelers: formats, mail and country endings, and words before a candidate that speak for or against it.
@@ -76,9 +77,9 @@ def _lit(pattern: str) -> str:
     return "r'" + pattern.replace("'", "[\\x27]") + "'"
 
 
-def _found(df: DataFrame, text: str, name: str, pattern: str, hint: str | None, test: str | None) -> DataFrame:
+def _found(df: DataFrame, text: str, name: str, pattern: str, hint: str, test: str | None) -> DataFrame:
     """df with the spans of a pattern that pass the test."""
-    some = f"contains({text}, '{hint}')" if hint else f"{text} rlike '[0-9]'"
+    some = f"contains({text}, '{hint}')" if len(hint) == 1 else f"{text} rlike '{hint}'"
     df = df.withColumn("__pieces", F.expr(f"if({some}, split({text}, {_lit(pattern)}, -1), array({text}))"))
     df = df.withColumn("__values", F.expr(f"if(size(__pieces) > 1, regexp_extract_all({text}, {_lit(pattern)}, 0), cast(array() as array<string>))"))
     spans = _spans("__pieces", "__values")
@@ -97,7 +98,7 @@ def with_base(df: DataFrame, text: str) -> DataFrame:
 def with_candidates(df: DataFrame, text: str) -> DataFrame:
     """Candidates that touch no base span."""
     touched = " or ".join(f"exists(__{kind}, y -> y.s < x.e and x.s < y.e)" for kind in BASE)
-    return _found(df, text, "__candidates", CANDIDATE, None, f"x.v rlike '[0-9@]' and not ({touched})")
+    return _found(df, text, "__candidates", CANDIDATE, "[0-9@]", f"x.v rlike '[0-9@]' and not ({touched})")
 
 
 def votes(x: str) -> dict[str, str]:

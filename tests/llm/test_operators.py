@@ -90,6 +90,19 @@ def test_pii(spark):
         assert [tuple(x) for x in r.found if x.kind != "id"] == want
 
 
+def test_pii_ends_of_sentences(spark):
+    """A sign after a candidate belongs to the sentence; runs that are too short without it are none."""
+    ids = ["123-45-6789", "DE89370400440532013000", "a@localhost", "13.12.1970"]
+    hits = [(f"His {cue} is: {cue} {v}", end) for cue in ("ssn", "account", "contact", "born") for v in ids for end in (".", ":", "-", "...", ". Then", "")]
+    texts = [a + end for a, end in hits] + [f"see {w} v1.2.34{end}" for w in ("version", "release", "section") for end in (".", "")] * 4 + ["no 1234-. no 12345. no 123456."]
+    docs = frame(spark, texts)
+    got = {r.doc_id: [(x.s, x.e) for x in r.found if x.kind == "id"] for r in pii.find(docs, "text", pii.train(docs)).collect()}
+    assert all(got[i] == [(a.rindex(" ") + 1, len(a))] for i, (a, _) in enumerate(hits))
+    assert not any(got[i] for i in range(len(hits), len(texts) - 1))
+    tried = pii.with_candidates(pii.with_base(docs, "text"), "text").where(f"doc_id = {len(texts) - 1}").first()
+    assert [x.v for x in tried["__candidates"]] == ["123456"]
+
+
 def test_lattice(spark):
     g = np.random.default_rng(2)
     x = g.normal(size=(60, 16))
