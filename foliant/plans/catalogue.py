@@ -224,5 +224,5 @@ def canonical_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_names(named)
 
 
-#: A fold whose score changes as it goes, and clusters that follow a sequence ratio: SQL has neither, so the tests hold them against brute force.
+#: A fold whose score changes as it goes, and clusters that follow a sequence ratio: SQL has neither; each operator has one golden case in the tests, and no brute-force version.
 QUERIES |= {f.__name__: f for f in (folded_places, canonical_people)}
