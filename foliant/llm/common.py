@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,35 +47,38 @@ def shared_dir(spark: SparkSession) -> str:
 class Stash:
     """Intermediates written as Parquet into the shared folder: they cut lineage and outlive executors.
 
-    clear() removes those that later steps no longer read; one that the result reads has to stay."""
+    clear() removes those that later steps no longer read, only() all but the result. After heavy ones the driver is asked to collect its garbage, since
+    shuffle files go only with the objects that stand for them."""
 
     def __init__(self, spark: SparkSession):
         small_batches(spark)
         self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}", {}
 
-    def __call__(self, df: DataFrame, name: str | None = None) -> DataFrame:
-        path = f"{self.root}/{name or 't'}-{len(self.paths)}"
+    def __call__(self, df: DataFrame, name: str | None = None, heavy: bool = False) -> DataFrame:
+        path = f"{self.root}/{name or 't'}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])
         back = self.spark.read.schema(schema).parquet(path)
         self.paths[id(back)] = (path, back)
-        self.release()
+        if heavy:
+            gc.collect()
+            self.spark._jvm.System.gc()
         return back
 
     def clear(self, *frames: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path, _ = self.paths.get(id(df), (None, None))
+            path, _ = self.paths.pop(id(df), (None, None))
             if path:
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(conf).delete(where, True)
 
-    def release(self) -> None:
-        """Shuffle files go only once the driver has collected the objects that stand for them; the second call follows what the first has queued."""
-        gc.collect()
-        for _ in range(2):
-            self.spark._jvm.System.gc()
-            time.sleep(0.2)
+    def only(self, df: DataFrame) -> DataFrame:
+        """df written; all else that was written goes."""
+        before = [x for _, x in self.paths.values()]
+        out = self(df, "result")
+        self.clear(*before)
+        return out
 
 
 def components(stash: Stash, edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:

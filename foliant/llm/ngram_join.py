@@ -1,105 +1,146 @@
 """N-gram Jaccard join of whole texts under several global token orders.
 
-1. Equal shingle sets become one class; its smallest id stands for it.
-2. Stars: classes that share the first token of an order are verified against the smallest of them. Links that
-   hold join classes, so that a large group of near copies becomes one component with a number of checks that is
-   linear in its size.
-3. The exact rest: a class gives the tokens of its prefix in the first order. Where a token has classes of
-   more than one component, pairs of different components that pass the size and position filters are candidates.
-4. A candidate of 2 or 3 whose rows of parity bits differ in more places than linked sets can goes before any text is sent.
-5. A candidate has to share a prefix token under each of the other orders, too; the survivors are verified on their
-   whole sets. A link that is left out joins two classes of a component already found, so components lose nothing.
-Only texts of survivors are sent: their ids, hashed into a map of CELLS bits that is broadcast, let some others through.
-Frequent tokens come last in every order. Each Arrow batch gives the tokens that it holds LOCAL times or more; their
-sums over all batches, at or above a share of the documents, are broadcast: at most mean set size / share of them.
-
-Nulls in text: empty, and linked with nothing; rows with a null id are dropped (nothing could name them). Ids that
-repeat: the sets of both rows count as texts of that id. Extra columns are not read. Empty tables give no rows.
+Rows with equal shingle sets form a class, named by a number; all work is on classes, so ids may repeat or be null.
+
+1. Stars: classes that share the first token of an order are compared with one of them. Links join classes, so that a group of near copies
+   becomes one component with a number of checks that is linear in its size.
+2. Prefixes: a class gives the tokens of its prefix in the first order. A token's list holds the classes that share it. Stars
+   again: the classes of a list are compared with one of the list, drawn anew for each token.
+3. The exact rest: pairs of a list that lie in different components and pass the filters of sizes and positions. A pair comes once, from the first
+   token that both prefixes share, as far as EARLIER tokens tell.
+
+Candidates of every step are filtered before any set is sent: by parity bits, which differ in at least as many places as the sets, and by
+intersecting the orders: under each of SEEDS they have to share as many prefix tokens as linked sets of their sizes do.
+Survivors are verified on their whole sets. A link that is left out joins two classes of one component, so components lose nothing.
+
+Frequent tokens come last in every order. Each task counts the tokens of its distinct sets (above ROOM tokens, those seen least are dropped, so the count is low
+by a bounded part); sums over all tasks give the at most MOST most frequent ones, which are broadcast. They decide how long lists get, never what is found.
+
+Nulls in text: empty. Empty texts have no shingles and link with nothing. Rows with a null id stay; their component is the smallest id that they reach,
+null if there is none. Ids that repeat: each row goes by its own text. Extra columns are not read, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql import types as T
 
 from .common import Stash, components, table, text_of
-from .shingles import Orders, linked, mix, need, parities, prefix_size, shingles
+from .shingles import Orders, linked, mix, parities, shingles
+from .slices import sliced
 
-#: Token orders: seed 0 makes candidates, the others filter them. STARS: orders whose first token draws stars.
+#: Token orders: the first makes candidates, all filter them. STARS: orders whose first token draws stars.
 SEEDS, STARS = (0, 101, 202), (0, 7, 8, 9)
-#: Tokens are counted as frequent from so many documents of a batch, and from this share of all documents (and FLOOR documents).
-LOCAL, SHARE, FLOOR = 4, 1 / 1000, 50
+#: Tokens that a task counts at a time; how many frequent ones are broadcast at most, and from how many classes on; tokens of a prefix that tell whether a pair came earlier.
+ROOM, MOST, FLOOR, EARLIER = 1 << 20, 1 << 18, 8, 16
 SALTS = 16
-#: Bits of the map of ids whose texts are sent: a broadcast of at most CELLS / 64 rows, whatever the input.
+#: Bits of the maps of ids and tokens that are broadcast: at most CELLS / 64 rows, whatever the input.
 CELLS = 1 << 24
 SIGNED = "id long, n int, sig binary, firsts array<long>, bits array<long>, often array<long>, times array<int>"
+_LISTS = pa.list_(pa.int64())
+
+
+def _sig(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+class _Counts:
+    """How many sets hold each token; what was seen least goes when there are more than ROOM tokens."""
+
+    def __init__(self):
+        self.tokens, self.times, self.held, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def add(self, s: np.ndarray) -> None:
+        self.held.append(s)
+        self.size += len(s)
+        if self.size >= ROOM:
+            self.merge()
+
+    def merge(self) -> None:
+        new, times = np.unique(np.concatenate([np.empty(0, np.uint64), *self.held]), return_counts=True)
+        both = np.concatenate([self.tokens, new])
+        self.tokens, at = np.unique(both, return_inverse=True)
+        self.times = np.bincount(at, np.concatenate([self.times, times]), len(self.tokens)).astype(np.int64)
+        self.held, self.size = [], 0
+        least = 1
+        while len(self.tokens) > ROOM:
+            keep = self.times > least
+            self.tokens, self.times = self.tokens[keep], self.times[keep]
+            least *= 2
 
 
 def _signed(batches):
-    """Per text: size of its set, the set's digest, the first token of each star order; per batch: its frequent tokens."""
-    for batch in batches:
-        ids, n, sig, firsts, bits, every = batch.column(0), [], [], [], [], []
+    """Per text: size of its set, the set's digest, the first token of each star order and parity bits; at the end: the tokens that several sets of the task hold."""
+    counts, seen = _Counts(), set()
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("firsts", _LISTS), ("bits", _LISTS), ("often", _LISTS), ("times", pa.list_(pa.int32()))])
+    for batch in sliced(batches, 1):
+        n, sig, firsts, bits = [], [], [], []
         for text in batch.column(1):
             s = shingles(text.as_py())
             n.append(len(s))
-            sig.append(xxhash.xxh3_128_digest(s.tobytes()))
+            sig.append(_sig(s))
             firsts.append([int(s[np.argmin(mix(s, seed))].view(np.int64)) for seed in STARS] if len(s) else None)
             bits.append(parities(s) if len(s) else None)
-            every.append(s)
-        tokens, times = np.unique(np.concatenate(every), return_counts=True) if every else (np.empty(0, np.uint64), np.empty(0, int))
-        often = times >= LOCAL
-        schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("firsts", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("often", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+            if sig[-1] not in seen:
+                if len(seen) >= ROOM:
+                    seen.clear()
+                seen.add(sig[-1])
+                counts.add(s)
         rows = len(n)
-        yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int32()))], schema=schema)
-        if often.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64())), pa.array([tokens[often].view(np.int64)], pa.list_(pa.int64())), pa.array([times[often]], pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(firsts, _LISTS), pa.array(bits, _LISTS), pa.nulls(rows, _LISTS), pa.nulls(rows, pa.list_(pa.int32()))], schema=schema)
+    counts.merge()
+    often = np.flatnonzero(counts.times > 1)
+    for a in range(0, len(often), 1 << 16):
+        at = often[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:5]), pa.array([counts.tokens[at].view(np.int64)], _LISTS), pa.array([counts.times[at]], pa.list_(pa.int32()))], schema=schema)
+    del counts, seen
     pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
 
-def _prefixes(orders):
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+
+
+def _prefixes(orders, seeds):
+    """(sig, n, the prefix's tokens in each order) of each text that has a set."""
+
     def run(batches):
-        for batch in batches:
-            found, sizes = [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py())
-                found.append(orders.value.prefix(s, SEEDS[0]).view(np.int64))
-                sizes.append(len(s))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            values = np.concatenate(found) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "n", "tokens"])
-        pa.default_memory_pool().release_unused()  # the worker stays for later stages
+        for batch in sliced(batches, 0):
+            sets = [s for s in (shingles(t.as_py()) for t in batch.column(0)) if len(s)]
+            tokens = [_lists([orders.value.prefix(s, seed).view(np.int64) for s in sets]) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_sig, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), *tokens], names=["sig", "n", *(f"p{k}" for k in range(len(seeds)))])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _verify(orders):
-    """Rows come as (a, salt, b, text) with a's own text first, then each b's."""
+def _sets(batches):
+    for batch in sliced(batches, 0, 1 << 20):
+        sets = [shingles(t.as_py()) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(map(_sig, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "held"])
+    pa.default_memory_pool().release_unused()
 
-    def run(batches):
-        now, head, heads = None, None, ()
-        for batch in batches:
-            out_a, out_b = [], []
-            for a, salt, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                s = shingles(text.as_py())
-                if b is None:
-                    now, head = (a, salt), s
-                    heads = [orders.value.prefix(s, seed) for seed in SEEDS[1:]] if orders else ()
-                    continue
-                if now != (a, salt):
-                    continue
-                if orders and not all(np.isin(orders.value.prefix(s, seed), h).any() for seed, h in zip(SEEDS[1:], heads)):
-                    continue
-                if linked(head, s):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["u", "v"])
-        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
-    return run
+def _verify(batches):
+    """Rows come as (a, salt, b, set) with a's own set first, then each b's."""
+    now, head = None, None
+    for batch in batches:
+        out_a, out_b = [], []
+        for a, salt, b, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            s = np.frombuffer(held.as_buffer(), np.uint64)
+            if b is None:
+                now, head = (a, salt), s.copy()
+            elif now == (a, salt) and linked(head, s):
+                out_a.append(a)
+                out_b.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["u", "v"])
+    pa.default_memory_pool().release_unused()
 
 
 def _folded(longer: str, shorter: str) -> str:
@@ -109,7 +150,7 @@ def _folded(longer: str, shorter: str) -> str:
 def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Those (a, b) whose parity bits differ in no more places than linked sets of their sizes can; rows whose lengths don't compare stay."""
     both = pairs.join(bits.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("bits").alias("x")), "a")
-    both = both.join(bits.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("y")), "b")
+    both = both.join(bits.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("y")), "b").where("4 * least(an, bn) >= 3 * greatest(an, bn)")
     x = f"case when size(x) = 2 * size(y) then {_folded('x', 'y')} else x end"
     y = f"case when size(y) = 2 * size(x) then {_folded('y', 'x')} else y end"
     both = both.select("a", "b", (F.col("an") + F.col("bn")).alias("n"), F.expr(x).alias("x"), F.expr(y).alias("y"))
@@ -117,79 +158,157 @@ def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return both.where(f"size(x) <> size(y) or {differ} <= n - 2 * ceil(3 * n / 7.0)").select("a", "b").distinct()
 
 
-def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ids, and some others whose hashes meet theirs."""
-    cell = F.pmod(F.xxhash64("id"), F.lit(CELLS))
-    place, mask = F.shiftright(cell, 6).alias("place"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {CELLS}) % 64 as int))")
-    cells = ids.groupBy(place).agg(F.bit_or(mask).alias("cells"))
-    return texts.join(F.broadcast(cells), cells["place"] == F.shiftright(cell, 6)).where(F.col("cells").bitwiseAND(mask) != 0).select(*texts.columns)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, orders=None) -> DataFrame:
-    """Those (a, b) whose sets are linked. A text goes once to each a (and salt) that it is compared with."""
-    texts = _among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    pairs = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)).cast("int"))
-    heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    others = pairs.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
-    return heads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_verify(orders), "u long, v long")
+def among(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose column is among the wanted keys, and some others whose hashes meet theirs; nulls count as a value."""
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
+    mask = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {CELLS}) % 64 as int))")
+    cells = wanted.groupBy(F.shiftright(cell(key), 6).alias("__place")).agg(F.bit_or(mask(key)).alias("__cells"))
+    return rows.join(F.broadcast(cells), cells["__place"] == F.shiftright(cell(column), 6)).where(F.col("__cells").bitwiseAND(mask(column)) != 0).select(*rows.columns)
+
+
+class _Join:
+    """What the steps share: texts (id, text), classes (cid, sig, rep: their smallest id), bits (id: cid, n, bits), orders."""
+
+    def __init__(self, stash: Stash, texts: DataFrame, classes: DataFrame, orders):
+        self.stash, self.texts, self.classes, self.orders = stash, texts, classes, orders
+        self.bits = classes.select(F.col("cid").alias("id"), "n", "bits")
+
+    def texts_of(self, cids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The classes asked for, and their texts with some others."""
+        asked = self.classes.select("cid", "sig", "rep").join(cids, "cid", "left_semi")
+        return asked, among(self.texts, "id", asked, "rep").select("text")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The linked pairs (u, v) of the candidates (a, b)."""
+        pairs = self.stash(plausible(pairs, self.bits), "plausible")
+        cids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+        asked, texts = self.texts_of(cids)
+        schema = "sig binary, n int, " + ", ".join(f"p{k} array<long>" for k in range(len(SEEDS)))
+        held = texts.mapInArrow(_prefixes(self.orders, SEEDS), schema).join(asked.select("cid", "sig"), "sig")
+        side = lambda x: held.select(F.col("cid").alias(x), F.col("n").alias(f"{x}n"), *(F.col(f"p{k}").alias(f"{x}{k}") for k in range(len(SEEDS))))
+        # Under each order: what two linked sets share up to the end of the prefix that ends first; beyond it there is the rest of that set.
+        enough = " and ".join(f"size(array_intersect(a{k}, b{k})) + ceil(0.75D * greatest(an, bn)) - 1 >= ceil(3 * (an + bn) / 7.0)" for k in range(len(SEEDS)))
+        pairs = self.stash(pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b").distinct(), "intersected")
+        cids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+        asked, texts = self.texts_of(cids)
+        sets = texts.mapInArrow(_sets, "sig binary, held binary").join(asked.select("cid", "sig"), "sig").select("cid", "held")
+        salted = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)).cast("int"))
+        heads = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("cid", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "held")
+        others = salted.join(sets.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "held")
+        rows = heads.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+        found = self.stash(rows.mapInArrow(_verify, "u long, v long").distinct(), "links", heavy=True)
+        self.stash.clear(pairs)
+        return found
+
+    def joined(self, comps: DataFrame | None, links: DataFrame) -> DataFrame:
+        """(id, component) of the classes that links join, beside those joined before."""
+        if comps is None:
+            return self.stash(components(self.stash, links), "components")
+        of = lambda x: comps.select(F.col("id").alias(x), F.col("component").alias(f"{x}c"))
+        rest = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("uc", "u").alias("u"), F.coalesce("vc", "v").alias("v"))
+        more = self.stash(components(self.stash, rest), "more")
+        over = more.select(F.col("id").alias("component"), F.col("component").alias("over"))
+        root = comps.join(over, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
+        out = self.stash(root.unionByName(more.join(comps, "id", "left_anti")), "components")
+        self.stash.clear(comps, more)
+        return out
+
+
+def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, at most MOST: those from a count on below which there would be more."""
+    steps = counted.groupBy(F.floor(F.log2("times") * 8).alias("step")).count().orderBy(F.desc("step")).collect()
+    least, total = None, 0
+    for r in steps:
+        total += r["count"]
+        if total > MOST:
+            break
+        least = r["step"]
+    if least is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    found = counted.where(F.floor(F.log2("times") * 8) >= least).toPandas()
+    return found["token"].to_numpy(np.int64).view(np.uint64), found["times"].to_numpy(np.int64)
+
+
+def class_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Stash, DataFrame, DataFrame]:
+    """The rows (id, n, sig), and their classes (sig, cid, n, rep, component: the cid of one of the classes that links join, alone its own)."""
+    stash = Stash(spark)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(F.col(f"`{text_col}`")).alias("text"))
+    signed = stash(texts.mapInArrow(_signed, SIGNED), "signed")
+    sets = signed.where("sig is not null")
+    counted = signed.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("t")).groupBy(F.col("t.often").alias("token")).agg(F.sum("t.times").alias("times")).where(F.col("times") >= FLOOR)
+    counted = stash(counted, "often")
+    orders = spark.sparkContext.broadcast(Orders(*_frequent(counted)))
+
+    full = sets.where("n > 0")
+    one = full.groupBy("sig").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
+    like = full.select("sig", F.col("id").alias("of"), "firsts", "bits").join(one, "sig").where(F.col("of").eqNullSafe(F.col("rep"))).select("sig", "rep", "n", "firsts", "bits")
+    classes = stash(like.dropDuplicates(["sig"]).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    join = _Join(stash, texts, classes, orders)
+
+    firsts = classes.select(F.col("cid").alias("b"), F.posexplode("firsts").alias("k", "token"))
+    star = firsts.groupBy("k", "token").agg(F.min("b").alias("a"), F.count("*").alias("c")).where("c > 1")
+    comps = join.joined(None, join.links(firsts.join(star, ["k", "token"]).where("b <> a").select("a", "b").distinct()))
+
+    asked, own = join.texts_of(classes.select("cid"))
+    held = own.mapInArrow(_prefixes(orders, SEEDS[:1]), "sig binary, n int, p0 array<long>").join(asked.select("cid", "sig"), "sig").select("cid", "n", F.col("p0").alias("tokens"))
+    prefixes = stash(held, "prefixes", heavy=True)  # a row that repeats whole, id and text, has its class twice
+    tokens = prefixes.select("cid", "n", F.posexplode("tokens").alias("pos", "token"))
+    shared = stash(tokens.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("token"), "shared", heavy=True)
+    lists = stash(among(tokens, "token", shared, "token").join(shared, "token").distinct(), "lists", heavy=True)
+    stash.clear(prefixes, shared)
+
+    def placed() -> DataFrame:
+        """Lists whose classes lie in several components."""
+        rows = lists.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").select("token", "cid", F.coalesce("component", "cid").alias("comp"), "n", "pos")
+        several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("cid", "token"), "cid", "comp")).alias("star")).where("lo <> hi")
+        return stash(rows.join(several.select("token", F.col("star.cid").alias("a"), F.col("star.comp").alias("acomp")), "token"), "placed")
+
+    near = placed()
+    comps = join.joined(comps, join.links(near.where("comp <> acomp").select("a", F.col("cid").alias("b")).distinct()))
+    stash.clear(near)
+    near = placed()
+    first = near.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "token"))), 1, EARLIER).alias("first"))
+    rows = near.drop("a", "acomp").join(first, "cid").withColumn("before", F.expr("transform(filter(first, t -> t.pos < pos), t -> t.token)")).drop("first")
+    x, y = (rows.select("token", *(F.col(c).alias(p + c) for c in ("cid", "comp", "n", "pos", "before"))) for p in "xy")
+    # What can follow the token has to reach the intersection that a link needs.
+    reach = "least(xpos, ypos) + least(xn - xpos, yn - ypos) >= ceil(3 * (xn + yn) / 7.0)"
+    pairs = x.join(y, "token").where(f"xcid < ycid and xcomp <> ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and {reach} and not arrays_overlap(xbefore, ybefore)")
+    comps = join.joined(comps, join.links(pairs.select(F.col("xcid").alias("a"), F.col("ycid").alias("b")).distinct()))
+    stash.clear(near, lists)
+    found = classes.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").select("sig", "cid", "n", "rep", F.coalesce("component", "cid").alias("component"))
+    return stash, sets.select("id", "n", "sig"), found
 
 
 def ngram_groups(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) of each row: the smallest id that it reaches by links, itself included."""
-    stash = Stash(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).where("id is not null")
-    signed = stash(texts.mapInArrow(_signed, SIGNED), "signed")
-    sets = signed.where("id is not null")
-    total = sets.count()
-    often = signed.where("often is not null").select(F.explode(F.arrays_zip("often", "times")).alias("t")).groupBy("t.often").agg(F.sum("t.times").alias("times")).where(F.col("times") >= max(FLOOR, int(total * SHARE)))
-    found = often.toPandas()  # bounded: see above
-    orders = spark.sparkContext.broadcast(Orders(found["often"].to_numpy(np.int64).view(np.uint64), found["times"].to_numpy(np.int64)))
-
-    one = sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"))
-    members = sets.join(one, "sig", "left").select("id", "n", "firsts", "bits", F.coalesce("rep", "id").alias("rep"))
-    classes = stash(members.where("n > 0 and id = rep").select("id", "n", "firsts").dropDuplicates(["id"]), "classes")
-
-    bits = stash(members.where("n > 0 and id = rep").select("id", "n", "bits").distinct(), "bits")  # an id that repeats has several
-
-    firsts = classes.select("id", "n", F.posexplode("firsts").alias("k", "token"))
-    star = firsts.groupBy("k", "token").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1")
-    lead = classes.select(F.col("id").alias("a"), F.col("n").alias("an"))
-    pairs = firsts.join(star, ["k", "token"]).where("id <> a").select("a", F.col("id").alias("b"), "n").distinct().join(lead, "a").where("4 * least(n, an) >= 3 * greatest(n, an)").select("a", "b")
-    pairs = stash(plausible(pairs, bits), "stars")
-    stars = stash(verified(pairs, texts), "links")
-    comps = stash(components(stash, stars), "components")
-    stash.clear(pairs)
-
-    reps = classes.select("id").join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-    prefixes = texts.mapInArrow(_prefixes(orders), "id long, n int, tokens array<long>").join(reps, "id")
-    rows = prefixes.select("id", "comp", "n", F.posexplode("tokens").alias("pos", "token"))
-    by = W.partitionBy("token")
-    lists = rows.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo <> hi").drop("lo", "hi")
-    lists = stash(lists, "lists")
-    x, y = (lists.select("token", *(F.col(c).alias(p + c) for c in ("id", "comp", "n", "pos"))) for p in "xy")
-    # The shorter set's token has to stand in its own shorter prefix, and what can follow the token has to reach the intersection that a link needs.
-    reach = "least(xpos, ypos) + least(xn - xpos, yn - ypos) >= ceil(3 * (xn + yn) / 7.0)"
-    near = x.join(y, "token").where(f"xid < yid and xcomp <> ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and {reach}")
-    # What two sets share up to the end of the prefix that ends first has been counted; beyond it there is the rest of that set.
-    counted = near.groupBy(F.col("xid").alias("a"), F.col("yid").alias("b"), "xn", "yn").agg(F.count("*").alias("shared"))
-    pairs = counted.where("shared + ceil(0.75D * greatest(xn, yn)) - 1 >= ceil(3 * (xn + yn) / 7.0)").select("a", "b")
-    pairs = stash(plausible(pairs, bits), "pairs")
-    links = stash(verified(pairs, texts, orders), "links")
-    stash.clear(lists, pairs)
-
-    rest = links.join(comps.withColumnRenamed("id", "u"), "u", "left").select(F.coalesce("component", "u").alias("u"), "v")
-    rest = rest.join(comps.withColumnRenamed("id", "v"), "v", "left").select("u", F.coalesce("component", "v").alias("v"))
-    more = stash(components(stash, rest), "more")
-    root = comps.join(more.select(F.col("id").alias("component"), F.col("component").alias("over")), "component", "left").select("id", F.coalesce("over", "component").alias("component"))
-    root = root.unionByName(more.join(comps, "id", "left_anti"))
-    return members.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+    stash, rows, classes = class_components(spark, docs, id_col, text_col)
+    least = classes.groupBy("component").agg(F.min("rep").alias("least"))
+    of = classes.join(least, "component").select("sig", "least")
+    out = rows.join(of, "sig", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component"))
+    return stash.only(out)
+
+
+@F.pandas_udf(T.BinaryType())
+def _digest(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _sig(s) if len(s := shingles(t)) else None)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, one of each component: that with its smallest id. Its other columns stay."""
-    groups = ngram_groups(spark, docs, id_col, text_col)
-    kept = groups.where("id = component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """The rows of docs, one of each component: that with its smallest id (null ids last). Texts without words are of no group and all stay."""
+    stash, rows, classes = class_components(spark, docs, id_col, text_col)
+    best = classes.groupBy("component").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "sig")).alias("best")).select("best.sig", F.col("best.rep").alias("rep"))
+    kept = rows.join(best.withColumn("best", F.lit(True)), "sig", "left").where((F.col("n") == 0) | F.col("best") & F.col("id").eqNullSafe(F.col("rep"))).select("id", "sig", "n")
+    times = rows.groupBy(F.col("id").alias("of")).agg(F.count("*").alias("times"))
+    kept = stash.only(kept.join(times, F.col("id").eqNullSafe(F.col("of"))).select("id", "sig", "n", "times"))
+    key = F.col(f"`{id_col}`").cast("long")
+    alone = kept.where("times = 1 and id is not null").select("id")
+    sure = docs.join(alone, key == alone["id"], "left_semi")
+    # Ids that repeat and null ids: the row's own text decides, and of rows that repeat whole one stays.
+    odd = kept.where("times > 1 or id is null")
+    some = docs.join(odd, key.eqNullSafe(odd["id"]), "left_semi").withColumn("__digest", _digest(text_of(F.col(f"`{text_col}`"))))
+    empty = some.where("__digest is null").drop("__digest")
+    full = some.join(odd.select("id", "sig"), key.eqNullSafe(odd["id"]) & (F.col("__digest") == odd["sig"]), "left_semi").dropDuplicates(["__digest"]).drop("__digest")
+    return sure.unionByName(empty).unionByName(full)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,18 +38,6 @@ def test_companding():
     assert telephony.read_wav(telephony.write_wav(b"abc"))[2].tobytes() == b"abc"
 
 
-def test_ngram_join(spark):
-    got = {r.id: (r.n_shingles, r.component) for r in ngram_join.ngram_groups(spark, frame(spark)).collect()}
-    sets = [shingles(t) for t in TEXTS]
-    root = list(range(len(sets)))
-    for _ in sets:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets[:i]):
-                if linked(a, b):
-                    root[i] = root[j] = min(root[i], root[j])
-    assert got == {i: (len(s), root[i]) for i, s in enumerate(sets)}
-
-
 def test_suffix(spark):
     texts = [*TEXTS, *("".join(rng.choice("ab") for _ in range(300)) for _ in range(3))]
     texts += [texts[-1][50:] + "q" * 150, texts[-2] + texts[-1]]
