@@ -40,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256) of each row."""
-    out = bpe.encode_column(docs.select("doc_id", "source", "text"), bpe.vocabulary_file(), decoded=True)
-    return bpe.digests(out).select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    out = bpe.encode_column(docs.select("doc_id", "source", "text"), bpe.vocabulary_file(), digests=True)
+    return out.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

@@ -2,16 +2,19 @@
 
 A word's parts lie in one array of boundaries beside one of the ranks of neighbouring parts. The least rank is sought by a scan, its
 boundary deleted and the two ranks beside it refreshed. Words of over SHORT bytes, for which scans cost their square, use a heap
-over the same parts. Words repeat, so each worker keeps up to WORDS of them with their ids.
+over the same parts. Words repeat, so each worker keeps those seen last, up to 2 * WORDS of them, with their ids.
 
-Nulls in text: empty, with no ids; null ids decode to null. Other columns stay; a column with the name of a new one is replaced.
+Nulls in text: empty, with no ids; null ids decode to null. Ids of rows may repeat or be null, and rows that repeat are encoded alike: rows are taken one by one. Empty
+tables give no rows. A long text takes memory in step with its own length. Other columns stay, whatever their names; a column with the name of a new one is replaced.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,9 @@ from pyspark.sql import types as T
 from .common import small_batches, table
 from .slices import replaced, sliced
 
-SHORT, WORDS = 96, 100_000
+SHORT, WORDS = 96, 250_000
+#: Stands for the rank of a pair that doesn't merge.
+NONE = 1 << 60
 #: Fixed value: the pattern that byte-level BPE splits text by.
 PATTERN = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -42,68 +47,78 @@ def _byte_signs() -> dict[str, int]:
 
 
 class Bpe(dict):
-    """From word to the bytes of its ids (32-bit); missing words are encoded and kept."""
+    """From word to the bytes of its ids (32-bit); missing words are encoded and kept. Of WORDS words and more, those not asked for since the last WORDS new ones go."""
 
     def __init__(self, spec: str):
         super().__init__()
         loaded = json.loads(spec)
         model, signs = loaded["model"], _byte_signs()
         vocab = model["vocab"]
+        self.older: dict[str, bytes] = {}
         self.of_byte = [0] * 256
         for sign, b in signs.items():
             self.of_byte[b] = vocab[sign]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merged, self.ranks = [], {}
+        for rank, (a, b) in enumerate(pairs):
+            self.ranks[vocab[a], vocab[b]] = rank
+            self.merged.append(vocab[a + b])
+        self.first = {(a, b): self.ranks.get((a, b), NONE) for a in self.of_byte for b in self.of_byte}
         self.bytes_of = {i: (bytes(signs[c] for c in t) if all(c in signs for c in t) else t.encode()) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in loaded.get("added_tokens", ())}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.decimal = {i: b"%d" % i for i in self.bytes_of}
         self.words = regex.compile(PATTERN)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def __missing__(self, word: str) -> bytes:
-        parts = [self.of_byte[b] for b in word.encode("utf-8", "replace")]
-        short = len(parts) <= SHORT
-        ids = np.array(self.merge(parts) if short else self.merge_long(parts), np.int32).tobytes()
-        if short:  # long words seldom come again
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = ids
+        ids = self.older.get(word)
+        if ids is None:
+            parts = [self.of_byte[b] for b in word.encode("utf-8", "replace")]
+            if len(parts) > SHORT:  # long words seldom come again
+                return array("i", self.merge_long(parts)).tobytes()
+            ids = array("i", self.merge(parts)).tobytes()
+        if len(self) >= WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
     def merge(self, parts: list[int]) -> list[int]:
-        get, none = self.ranks.get, (1 << 60, 0)
-        ranks = [get(pair, none) for pair in zip(parts, parts[1:])]
+        get, merged = self.ranks.get, self.merged
+        ranks = list(map(self.first.__getitem__, zip(parts, parts[1:])))
         while ranks:
             least = min(ranks)
-            if least is none:
+            if least == NONE:
                 break
             at = ranks.index(least)
-            parts[at : at + 2] = [least[1]]
+            one = merged[least]
+            parts[at : at + 2] = [one]
             del ranks[at]
             if at < len(ranks):
-                ranks[at] = get((parts[at], parts[at + 1]), none)
+                ranks[at] = get((one, parts[at + 1]), NONE)
             if at:
-                ranks[at - 1] = get((parts[at - 1], parts[at]), none)
+                ranks[at - 1] = get((parts[at - 1], one), NONE)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
         n, get = len(parts), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get((parts[i], parts[i + 1])))]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j >= n or parts[j] != b:
                 continue
-            parts[i], parts[j] = get((a, b))[1], -1
+            parts[i], parts[j] = self.merged[rank], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if r := get((parts[i], parts[after[i]])):
-                    heapq.heappush(heap, (r[0], i, parts[i], parts[after[i]]))
-            if (h := before[i]) >= 0 and (r := get((parts[h], parts[i]))):
-                heapq.heappush(heap, (r[0], h, parts[h], parts[i]))
+                if (r := get((parts[i], parts[after[i]]))) is not None:
+                    heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
+            if (h := before[i]) >= 0 and (r := get((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h, parts[h], parts[i]))
         return [p for p in parts if p >= 0]
 
     def encode(self, text: str) -> bytes:
@@ -121,22 +136,41 @@ class Bpe(dict):
         get = self.bytes_of.get
         return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
 
+    def digests(self, ids: list[int]) -> tuple[str, str]:
+        """SHA-256 of the ids in decimal, joined by commas, and of the text that they decode to."""
+        listed = b",".join([self.decimal[i] for i in ids])
+        return hashlib.sha256(listed).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()
+
 
 @functools.lru_cache(2)
 def _bpe(spec: str) -> Bpe:
     return Bpe(spec)
 
 
-def _encode(spec, decoded: bool):
+def _encode(spec, new: tuple[str, ...]):
     def run(batches):
         bpe = _bpe(spec.value)
         for batch in sliced(batches, -1):
-            ids = [bpe.encode(x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-            new = {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))}
-            if decoded:
-                new["decoded"] = pa.array([bpe.decode(np.frombuffer(x, np.int32).tolist()) for x in ids], pa.string())
-            yield replaced(batch.select(batch.schema.names[:-1]), **new)
+            texts = batch.column(batch.num_columns - 1)
+            made: dict[str, list] = {name: [] for name in new}
+            for x in texts:
+                ids = bpe.encode(x.as_py() or "")
+                if "ids" in made:
+                    made["ids"].append(ids)
+                if "n_tokens" in made:
+                    made["n_tokens"].append(len(ids) // 4)
+                listed = array("i", ids).tolist() if {"decoded", "ids_sha256"} & made.keys() else []
+                if "decoded" in made:
+                    made["decoded"].append(bpe.decode(listed))
+                if "ids_sha256" in made:
+                    a, b = bpe.digests(listed)
+                    made["ids_sha256"].append(a)
+                    made["decoded_sha256"].append(b)
+            if "ids" in made:
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in made["ids"]])]).astype(np.int32)
+                made["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made["ids"]), np.int32)))
+            kinds = {"decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+            yield replaced(batch.select(batch.schema.names[:-1]), **{k: v if k == "ids" else pa.array(v, kinds[k]) for k, v in made.items()})
         pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     return run
@@ -162,12 +196,14 @@ def _spec(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_column(df: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
-    """df without the text column and with ids, an array of its token ids; with decoded, what those ids decode to, in the same worker."""
-    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decoded else [])]
-    src = df.select(*(F.col(f"`{c}`") for c in df.columns if c != text and c not in [f.name for f in new]), F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in src.schema[:-1]), *new])
-    return src.mapInArrow(_encode(_spec(df.sparkSession, path), decoded), schema)
+def encode_column(df: DataFrame, path: str, text: str = "text", ids: bool = True, decoded: bool = False, digests: bool = False) -> DataFrame:
+    """df without the text column and with ids, an array of its token ids; with decoded, what those ids decode to; with digests, n_tokens and the SHA-256 of
+    the ids in decimal, joined by commas (ids_sha256), and of the decoded text (decoded_sha256). All are made in the same worker."""
+    kinds = {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType(), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    new = [k for k in kinds if {"ids": ids, "decoded": decoded}.get(k, digests)]
+    src = df.select(*(F.col(f"`{c}`") for c in df.columns if c != text and c not in new), F.col(f"`{text}`").alias("__text"))
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in src.schema[:-1]), *(T.StructField(k, kinds[k]) for k in new)])
+    return src.mapInArrow(_encode(_spec(df.sparkSession, path), tuple(new)), schema)
 
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -177,12 +213,6 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return src.mapInArrow(_decode(_spec(df.sparkSession, path)), schema)
 
 
-def digests(df: DataFrame) -> DataFrame:
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return df.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(listed, 256), "decoded_sha256": F.sha2(F.col("decoded"), 256)})
-
-
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_file()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digests(encode_column(docs, path, decoded=True)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_column(docs, vocabulary_file(), ids=False, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
