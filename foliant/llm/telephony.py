@@ -1,11 +1,12 @@
 """Telephony audio as columns: companded samples in WAV containers, expansion by table, ADPCM blocks, resampled PCM.
 
-store_payload() keeps any bytes losslessly as 8-bit mu-law samples of a WAV file; read_media() takes such files, gives back the
-stored bytes, and describes the signal that they are when read as mu-law, as A-law and as IMA ADPCM blocks. The features are sums,
-extremes and checksums of integers, so that equal payloads have equal features wherever they are computed.
+store_payload() keeps any bytes losslessly as 8-bit mu-law samples of a WAV file; resample_media() stores the signal of such files as 16-bit PCM at twice the rate; read_media()
+gives back the stored bytes, and describes the signal that they are when read as mu-law, as A-law and as IMA ADPCM blocks. All are
+sums, extremes and filters of integers, so that equal payloads have equal results wherever they are computed.
 
-Nulls: a null payload counts as empty; null or broken media give null columns. The other columns stay, whatever their names; a column that has the name
-of a new one is replaced. Memory follows PIECE, beside the longest payload itself.
+Nulls: a null payload counts as empty; null or broken media give null columns. Rows are taken one by one, so ids may repeat, be null or tie, and empty tables give no rows. The
+other columns stay, whatever their names; a column that has the name of a new one is replaced. Of media whose size is no multiple of FRAME, all bytes count as
+payload; the last frame is described, and decoded as ADPCM, with zeros for what it lacks. Memory follows PIECE, beside the longest payload and its PCM themselves.
 """
 
 from __future__ import annotations
@@ -97,54 +98,59 @@ def read_wav(media: bytes) -> tuple[int, int, memoryview] | None:
     return None
 
 
-def upsample(x: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Twice the rate: between each sample and the one after it, their mean."""
-    out = np.empty(len(x) * UP, np.int16)
-    out[::2] = x
-    out[1::2] = (x.astype(np.int32) + after) >> 1
+def expand(data: np.ndarray, tag: int) -> np.ndarray:
+    """Samples of mu-law, A-law or ADPCM bytes."""
+    if tag == IMA:
+        whole = np.frombuffer(data.tobytes() + bytes(-len(data) % FRAME), np.uint8)
+        return decode_adpcm(whole.reshape(-1, FRAME)).ravel()
+    return (MULAW_TABLE if tag == MULAW else ALAW_TABLE)[data]
+
+
+def resample(line: np.ndarray) -> np.ndarray:
+    """Twice the rate by a half-band filter: the samples, and between neighbours a, b (-1 before, 9, 9, -1 after) / 16; the ends repeat."""
+    out = np.empty(len(line) * UP, "<i2")
+    out[::2] = line
+    for a in range(0, len(line), PIECE):
+        b = min(len(line), a + PIECE)
+        at = np.arange(a - 1, b + 2).clip(0, len(line) - 1)
+        x = line[at].astype(np.int32)
+        out[2 * a + 1 : 2 * b : 2] = np.clip((9 * (x[1:-2] + x[2:-1]) - x[:-3] - x[3:] + 8) >> 4, -32768, 32767)
     return out
 
 
 def _describe(payloads: list[memoryview]) -> list[str]:
     """A feature string for each payload; the payloads are taken together, long ones in pieces."""
     n = len(payloads)
-    energy, peak, turns, crc = np.zeros((3, n), np.int64), np.zeros((3, n), np.int64), np.zeros((3, n), np.int64), [0] * n
+    energy, peak, turns = np.zeros((3, n), np.int64), np.zeros((3, n), np.int64), np.zeros((3, n), np.int64)
 
     def run(pieces):
-        """(payload, bytes, the byte after them or None), each of whole frames."""
-        owner = np.array([i for i, _, _ in pieces])
-        sizes = np.array([len(x) for _, x, _ in pieces])
-        data = np.frombuffer(b"".join(x for _, x, _ in pieces), np.uint8)
+        """(payload, bytes), each of whole frames."""
+        owner = np.array([i for i, _ in pieces])
+        sizes = np.array([len(x) for _, x in pieces])
+        data = np.frombuffer(b"".join(x for _, x in pieces), np.uint8)
         ends = np.cumsum(sizes)
         starts = ends - sizes
         blocks = data.reshape(-1, FRAME)
-        line = MULAW_TABLE[data]
-        for k, x in enumerate((line, ALAW_TABLE[data], decode_adpcm(blocks))):
+        for k, x in enumerate((MULAW_TABLE[data], ALAW_TABLE[data], decode_adpcm(blocks))):
             frames = x.reshape(len(blocks), -1).astype(np.int32)
             sign = frames < 0
             at = starts // FRAME
             np.add.at(energy[k], owner, np.add.reduceat((frames.astype(np.int64) ** 2).sum(1), at))
             np.maximum.at(peak[k], owner, np.maximum.reduceat(np.abs(frames).max(1), at))
             np.add.at(turns[k], owner, np.add.reduceat((sign[:, 1:] != sign[:, :-1]).sum(1), at))
-        after = np.append(line[1:], line[-1])
-        after[ends - 1] = [line[e - 1] if b is None else MULAW_TABLE[b] for e, (_, _, b) in zip(ends, pieces)]
-        pcm = upsample(line, after)
-        for i, a, b in zip(owner, starts * UP, ends * UP):
-            crc[i] = zlib.crc32(pcm[a:b], crc[i])
-
     held, size = [], 0
     for i, p in enumerate(payloads):
         for a in range(0, len(p), PIECE):
-            piece = p[a : a + PIECE]
+            piece = _padded(bytes(p[a : a + PIECE])) if len(p) - a < PIECE else p[a : a + PIECE]
             if held and size + len(piece) > PIECE:
                 run(held)
                 held, size = [], 0
-            held.append((i, piece, p[a + PIECE] if a + PIECE < len(p) else None))
+            held.append((i, piece))
             size += len(piece)
     if held:
         run(held)
     names = ("mulaw", "alaw", "adpcm")
-    return [";".join([*(f"{m}={energy[k, i]},{peak[k, i]},{turns[k, i]}" for k, m in enumerate(names)), f"pcm16k={crc[i]:08x}"]) for i in range(n)]
+    return [";".join(f"{m}={energy[k, i]},{peak[k, i]},{turns[k, i]}" for k, m in enumerate(names)) for i in range(n)]
 
 
 def _padded(data: bytes) -> bytes:
@@ -174,7 +180,7 @@ def _read(batches):
     for batch in sliced(batches, -1):
         media = [x.as_py() for x in batch.column(batch.num_columns - 1)]
         found = [read_wav(x) if x is not None else None for x in media]
-        data = [x[2][: len(x[2]) // FRAME * FRAME] if x and x[0] == MULAW else None for x in found]
+        data = [x[2] if x and x[0] == MULAW else None for x in found]
         good = [i for i, x in enumerate(data) if x is not None]
         features: list = [None] * len(data)
         for i, text in zip(good, _describe([data[i] for i in good])):
@@ -199,25 +205,27 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def _resample(batches):
-    for batch in sliced(batches, -1):
+    for batch in sliced(batches, -1, 1 << 20):  # PCM is four times as long
         out = []
         for x in batch.column(batch.num_columns - 1):
             wav = read_wav(x.as_py()) if x.is_valid else None
             if wav is None or wav[0] not in (MULAW, ALAW, IMA):
                 out.append(None)
                 continue
-            data = np.frombuffer(wav[2], np.uint8)
-            line = decode_adpcm(data[: len(data) // FRAME * FRAME].reshape(-1, FRAME)).ravel() if wav[0] == IMA else (MULAW_TABLE if wav[0] == MULAW else ALAW_TABLE)[data]
-            out.append(write_wav(upsample(line, np.append(line[1:], line[-1:])).tobytes(), PCM, wav[1] * UP, 2))
+            out.append(write_wav(resample(expand(np.frombuffer(wav[2], np.uint8), wav[0])).tobytes(), PCM, wav[1] * UP, 2))
         yield replaced(batch.select(batch.schema.names[:-1]), pcm=pa.array(out, pa.binary()))
+    pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
 
 def resample_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with pcm, 16-bit PCM WAV at twice the rate, in place of the media (mu-law, A-law, or ADPCM in blocks of FRAME bytes)."""
-    src = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (media, "pcm")), F.col(f"`{media}`").alias("__media"))
+    """df with pcm, the signal of the media (mu-law, A-law, or ADPCM in blocks of FRAME bytes) as 16-bit PCM WAV at twice the rate; other media give null."""
+    src = df.select(*(F.col(f"`{c}`") for c in df.columns if c != "pcm"), F.col(f"`{media}`").alias("__media"))
     return src.mapInArrow(_resample, _with(src.drop("__media"), ("pcm", T.BinaryType())))
 
 
 def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of().cast("binary").alias("payload"))
-    return read_media(store_payload(docs, "payload")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    stored = resample_media(store_payload(docs, "payload"))
+    stored = stored.withColumns({"pcm_bytes": F.length("pcm").cast("long"), "pcm_sha256": F.sha2("pcm", 256)}).drop("pcm")
+    out = read_media(stored).withColumn("feature", F.concat("feature", F.lit(";pcm16k="), F.substring("pcm_sha256", 1, 16)))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256")

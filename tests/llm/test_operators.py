@@ -2,14 +2,12 @@
 
 import hashlib
 import random
-import re
-import zlib
 
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from foliant.llm import bpe, html_text, lattice, mixing, ngram_join, pii, quality, suffix_dedup, telephony, toxicity
+from foliant.llm import bpe, html_text, lattice, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
 from foliant.llm.shingles import linked, need, parities, shingles
 
 TEXTS = [None, "", "a", "a b c", "A  b\tc", "a" * 99, "ab" * 300, "x" * 5000, "é😀 漢字 <|endoftext|> it's 12"]
@@ -22,22 +20,6 @@ def frame(spark, texts=TEXTS):
     return spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, size string")
 
 
-def test_telephony(spark):
-    src = frame(spark).selectExpr("doc_id", "cast(text as binary) as payload", "size")
-    rows = {r.doc_id: r for r in telephony.read_media(telephony.store_payload(src, "payload")).collect()}
-    for i, t in enumerate(TEXTS):
-        b = (t or "").encode()
-        p = b + bytes(-len(b) % 64 or (0 if b else 64))
-        assert (rows[i].n_bytes, rows[i].payload_bytes, rows[i].payload_sha256, rows[i].tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
-        assert rows[i].size == "kept"
-
-
-def test_companding():
-    assert telephony.MULAW_TABLE[0] == -32124 and telephony.MULAW_TABLE[255] == 0
-    assert telephony.ALAW_TABLE[0x55] == -8 and telephony.ALAW_TABLE[0xD5] == 8
-    assert telephony.read_wav(telephony.write_wav(b"abc"))[2].tobytes() == b"abc"
-
-
 def test_suffix(spark):
     texts = [*TEXTS, *("".join(rng.choice("ab") for _ in range(300)) for _ in range(3))]
     texts += [texts[-1][50:] + "q" * 150, texts[-2] + texts[-1]]
