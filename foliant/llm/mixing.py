@@ -2,10 +2,12 @@
 
 Documents are summed by pattern (the set of their sources). A pattern's words can be taken once, and up to REPEATS times at a cost that grows with each pass;
 the flow fills the quotas of the sources as far as there are words, at the least cost. Of what a pattern gives, whole passes go to all its documents
-and the rest to those first in a seeded order, up to a cut that is found in two steps: by sums over BUCKETS ranges of the order, then within one range.
+and the rest to those first in a seeded order: all up to the first one that doesn't fit, then, from there on, those that still fit into what is left, up to STEPS times;
+at last the smallest one left, if that comes nearer. Each cut is found by sums over BUCKETS ranges of the order, then within one range.
 
 The driver holds a row a pattern, at most MAX_PATTERNS, else an error. Null texts have size 0; a null source is a source of its own, the last one; null ids are
-ordered as 0. Rows that repeat an id are taken alike. An empty table gives no rows. Reruns agree: order and flow depend on the rows alone.
+ordered as 0. Rows that repeat an id stand at one place of the order, and those of one size are taken alike. An empty table gives no rows. Columns keep their
+names, but one named size or copies is replaced. Reruns agree: order and flow depend on the rows alone.
 """
 
 from __future__ import annotations
@@ -16,16 +18,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .common import WORD, Stash, table, text_of
 
-WEIGHTS, TOTAL, REPEATS, SEED, BUCKETS, MAX_PATTERNS = (3, 1, 2), 1.5, 2, 17, 4096, 100_000
+WEIGHTS, TOTAL, REPEATS, SEED, BUCKETS, MAX_PATTERNS, STEPS = (3, 1, 2), 1.5, 2, 17, 4096, 100_000, 12
 
 
 def words(text: str = "text") -> Column:
-    return F.regexp_count(text_of(text), F.lit(WORD)).cast("long")
+    return F.regexp_count(text_of(F.col(text)), F.lit(WORD)).cast("long")
 
 
 def ordered(sources: set) -> list:
@@ -102,7 +103,7 @@ def flow(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> di
 class Plan:
     sizes: dict
     targets: dict
-    rows: list[tuple]  # pattern key, whole passes, last (order, id) with one more
+    rows: list[tuple]  # pattern key, whole passes, steps of one more: (from, to], places (order, id), for documents up to a size
 
 
 def _key(sources: Column) -> Column:
@@ -111,12 +112,36 @@ def _key(sources: Column) -> Column:
 
 
 def _order(i: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(i), F.lit(0)).cast("long"), F.lit(SEED))
+    return F.xxhash64(F.coalesce(F.col(f"`{i}`"), F.lit(0)).cast("long"), F.lit(SEED))
+
+
+_FIRST, _LAST = (-(2**63), -(2**63)), (2**63 - 1, 2**63 - 1)
+
+
+def _prefix(spark: SparkSession, sized: DataFrame, asked: dict[str, tuple]) -> dict[str, tuple]:
+    """For each key with (room, greatest size, place): the place up to which documents of that size after the place fit into the room together, and their words."""
+    rows = F.broadcast(spark.createDataFrame([(k, room, most, *at) for k, (room, most, at) in asked.items()], "key string, room long, most long, h0 long, id0 long"))
+    bucket = F.least(F.floor((F.col("h") / 2.0**64 + 0.5) * BUCKETS).cast("int"), F.lit(BUCKETS - 1))
+    dealt = sized.join(rows, "key").where("size <= most and struct(h, id) > struct(h0, id0)").withColumn("bucket", bucket)
+    by = dealt.groupBy("key", "room", "bucket").agg(F.sum("size").alias("size"))
+    by = by.withColumn("upto", F.sum("size").over(W.partitionBy("key").orderBy("bucket")))
+    edge = by.where("upto > room").groupBy("key").agg(F.min("bucket").alias("bucket"), F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before")))["before"].alias("before")).collect()
+    every = {r["key"]: r["upto"] for r in by.where("upto <= room").groupBy("key").agg(F.max("upto").alias("upto")).collect()}
+    out = {k: (_LAST, every.get(k, 0)) for k in asked}
+    if edge:
+        at = F.broadcast(spark.createDataFrame([tuple(r) for r in edge], "key string, bucket int, before long"))
+        near = dealt.join(at, ["key", "bucket"]).withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("key").orderBy("h", "id"))).where("upto <= room")
+        last = {r["key"]: r["last"] for r in near.groupBy("key").agg(F.max(F.struct("h", "id", "upto")).alias("last")).collect()}
+        for r in edge:  # none of the range: the cut is before it
+            found = last.get(r["key"])
+            begin = (int((r["bucket"] / BUCKETS - 0.5) * 2**64) - 1, 2**63 - 1) if r["bucket"] else _FIRST
+            out[r["key"]] = ((found["h"], found["id"]), found["upto"]) if found else (max(begin, asked[r["key"]][2]), r["before"])
+    return out
 
 
 def plan(spark: SparkSession, docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", **how) -> Plan:
     stash = Stash(spark)
-    sized = stash(docs.select(F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("id"), words(text_col).alias("size"), _key(sources).alias("key"), _order(id_col).alias("h")), "sized")
+    sized = stash(docs.select(F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).cast("long").alias("id"), words(f"`{text_col}`").alias("size"), _key(sources).alias("key"), _order(id_col).alias("h")), "sized")
     sums = sized.groupBy("key").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(sums) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} patterns of sources")
@@ -127,32 +152,45 @@ def plan(spark: SparkSession, docs: DataFrame, sources: Column, id_col: str = "d
     taken = flow(patterns, quotas, how.get("repeats", REPEATS))
     passes = {r["key"]: divmod(taken[back(r["key"])], r["size"]) if r["size"] else (0, 0) for r in sums}
 
-    rest = [(k, r) for k, (_, r) in sorted(passes.items()) if r]
-    cuts: dict = {}
-    if rest:
-        asked = F.broadcast(spark.createDataFrame(rest, "key string, rest long"))
-        bucket = F.floor((F.col("h") / 2.0**64 + 0.5) * BUCKETS).cast("int")
-        dealt = sized.join(asked, "key").withColumn("bucket", F.least(bucket, F.lit(BUCKETS - 1)))
-        by = dealt.groupBy("key", "rest", "bucket").agg(F.sum("size").alias("size"))
-        so_far = F.sum("size").over(W.partitionBy("key").orderBy("bucket")) - F.col("size")
-        edge = by.withColumn("before", so_far).where("before < rest and before + size >= rest").select("key", "bucket", "before").collect()
-        at = F.broadcast(spark.createDataFrame([tuple(r) for r in edge], "key string, bucket int, before long"))
-        near = dealt.join(at, ["key", "bucket"]).withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("key").orderBy("h", "id")))
-        # The last document is in if that comes nearer.
-        near = near.where("upto <= rest or upto - rest < rest - (upto - size)")
-        cuts = {r["key"]: (r["last"]["h"], r["last"]["id"]) for r in near.groupBy("key").agg(F.max(F.struct("h", "id")).alias("last")).collect()}
-        for r in edge:  # none of the range: the cut is before it
-            cuts.setdefault(r["key"], (int((r["bucket"] / BUCKETS - 0.5) * 2**64) - 1, 2**63 - 1) if r["bucket"] else None)
+    steps: dict[str, list[tuple]] = {k: [] for k in passes}
+    asked = {k: (room, 2**62, _FIRST) for k, (_, room) in sorted(passes.items()) if room}
+    left: dict[str, tuple] = {}
+    for _ in range(STEPS):
+        if not asked:
+            break
+        more = {}
+        for k, (place, words_) in _prefix(spark, sized, asked).items():
+            room, most, begin = asked[k]
+            steps[k].append((*begin, *place, most))
+            left[k] = (room - words_, place)
+            if room > words_ and place != _LAST:
+                more[k] = (room - words_, room - words_, place)
+        asked = more
+    ends = [(k, gap, [tuple(x) for x in steps[k]]) for k, (gap, _) in left.items() if gap]
+    if ends:
+        rows = F.broadcast(spark.createDataFrame(ends, f"key string, gap long, steps {_STEPS}"))
+        rest = sized.join(rows, "key").where("size < 2 * gap").where(~_within("steps", F.struct("h", "id"), F.col("size")))
+        for r in rest.groupBy("key").agg(F.min(F.struct("size", "h", "id")).alias("x")).select("key", "x.*").collect():
+            if r["size"]:
+                steps[r["key"]].append((r["h"], r["id"] - 1, r["h"], r["id"], r["size"]))
     stash.clear(sized)
-    return Plan(sizes, quotas, [(k, whole, *(cuts.get(k) or (None, None))) for k, (whole, _) in passes.items()])
+    return Plan(sizes, quotas, [(k, whole, steps[k]) for k, (whole, _) in passes.items()])
+
+
+_STEPS = "array<struct<h0:long,id0:long,h:long,id:long,most:long>>"
+
+
+def _within(steps: str, place: Column, size: Column) -> Column:
+    return F.exists(steps, lambda s: (size <= s["most"]) & (place > F.struct(s["h0"], s["id0"])) & (place <= F.struct(s["h"], s["id"])))
 
 
 def with_copies(docs: DataFrame, plan: Plan, sources: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with size and copies, the passes that the mix makes over each row."""
-    rows = docs.sparkSession.createDataFrame(plan.rows, T.StructType([T.StructField("__key", T.StringType()), T.StructField("__whole", T.LongType()), T.StructField("__h", T.LongType()), T.StructField("__id", T.LongType())]))
-    out = docs.withColumns({"size": words(text_col), "__key": _key(sources)}).join(F.broadcast(rows), "__key", "left")
-    more = F.struct(_order(id_col), F.coalesce(F.col(id_col), F.lit(0)).cast("long")) <= F.struct("__h", "__id")
-    return out.withColumn("copies", (F.coalesce("__whole", F.lit(0)) + F.when(F.col("__h").isNotNull() & more, 1).otherwise(0)).cast("long")).drop("__key", "__whole", "__h", "__id")
+    rows = docs.sparkSession.createDataFrame(plan.rows, f"__key string, __whole long, __steps {_STEPS}")
+    out = docs.withColumn("__key", _key(sources)).withColumn("size", words(f"`{text_col}`")).join(F.broadcast(rows), "__key", "left")
+    place = F.struct(_order(id_col), F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).cast("long"))
+    more = F.coalesce(_within("__steps", place, F.col("size")), F.lit(False))
+    return out.withColumn("copies", (F.coalesce("__whole", F.lit(0)) + more.cast("int")).cast("long")).drop("__key", "__whole", "__steps")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from foliant.llm import bpe, html_text, lattice, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
+from foliant.llm import bpe, html_text, lattice, ngram_join, pii, quality, suffix_dedup, toxicity
 from foliant.llm.shingles import linked, need, parities, shingles
 
 TEXTS = [None, "", "a", "a b c", "A  b\tc", "a" * 99, "ab" * 300, "x" * 5000, "é😀 漢字 <|endoftext|> it's 12"]
@@ -58,21 +58,6 @@ def test_lattice(spark):
     assert all(got[i] == (0, i) for i in range(60, 64))
 
 
-def test_mixing(spark):
-    assert mixing.targets({"a": 10, "b": 1000, None: 1000}, 2010)["a"] == 20.0
-    assert mixing.flow({("a",): 10, ("a", "b"): 10}, {"a": 15, "b": 5}) == {("a",): 10, ("a", "b"): 10}
-    rows = [(i, "w " * (1 + i % 7), ["a", "b", None][i % 3]) for i in range(300)] + [(300, None, "a")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    from pyspark.sql import functions as F
-
-    made = mixing.plan(spark, docs, F.array("source"))
-    out = mixing.with_copies(docs, made, F.array("source")).toPandas()
-    for s, part in out.groupby(out.source.fillna("~")):
-        target = made.targets[None if s == "~" else s]
-        assert abs((part["size"] * part.copies).sum() - target) <= 7
-    assert out.copies.max() <= 2
-
-
 def test_html():
     page = "<nav>menu</nav><article><h1>T &amp; t</h1><p>one<br>two<p>three<div class='comments'>no</div><script>x</script></article><footer>f</footer>"
     assert html_text.main_text(page) == "T & t\n\none two\n\nthree"
