@@ -2,12 +2,11 @@
 
 Rows with equal shingle sets form a class, named by a number; all work is on classes, so ids may repeat or be null.
 
-1. Stars: classes that share the first token of an order are compared with one of them. Links join classes, so that a group of near copies
-   becomes one component with a number of checks that is linear in its size.
-2. Prefixes: a class gives the tokens of its prefix in the first order. A token's list holds the classes that share it. Stars
-   again: the classes of a list are compared with one of the list, drawn anew for each token.
-3. The exact rest: pairs of a list that lie in different components and pass the filters of sizes and positions. A pair comes once, from the first
-   token that both prefixes share, as far as EARLIER tokens tell.
+1. Prefixes: a class gives the tokens of its prefix in the first order, with their positions. A token's list holds the classes that share it.
+2. Stars: in each list, the others are compared with the class that has the token first in its prefix, then, among what is still apart, with one drawn anew for each token.
+   Links join classes, so that a group of near copies becomes one component with a number of checks that is linear in its size.
+3. The exact rest: pairs of a list that lie in different components. A pair comes once, from the first token that both prefixes share, as far as
+   EARLIER tokens tell, and only if what follows that token in either set reaches the intersection that a link needs.
 
 Candidates of every step are filtered before any set is sent: by parity bits, which differ in at least as many places as the sets, and by
 intersecting the orders: under each of SEEDS they have to share as many prefix tokens as linked sets of their sizes do.
@@ -26,22 +25,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Stash, components, table, text_of
-from .shingles import Orders, linked, mix, parities, shingles
+from .shingles import Orders, linked, parities, shingles
 from .slices import sliced
 
-#: Token orders: the first makes candidates, all filter them. STARS: orders whose first token draws stars.
-SEEDS, STARS = (0, 101, 202), (0, 7, 8, 9)
+#: Token orders: the first makes candidates, all filter them.
+SEEDS = (0, 101, 202)
 #: Tokens that a task counts at a time; how many frequent ones are broadcast at most, and from how many classes on; tokens of a prefix that tell whether a pair came earlier.
 ROOM, MOST, FLOOR, EARLIER = 1 << 20, 1 << 18, 8, 16
 SALTS = 16
 #: Bits of the maps of ids and tokens that are broadcast: at most CELLS / 64 rows, whatever the input.
 CELLS = 1 << 24
-SIGNED = "id long, n int, sig binary, firsts array<long>, bits array<long>, often array<long>, times array<int>"
+SIGNED = "id long, n int, sig binary, bits array<long>, often array<long>, times array<int>"
 _LISTS = pa.list_(pa.int64())
 
 
@@ -75,16 +74,15 @@ class _Counts:
 
 
 def _signed(batches):
-    """Per text: size of its set, the set's digest, the first token of each star order and parity bits; at the end: the tokens that several sets of the task hold."""
+    """Per text: size of its set, the set's digest and parity bits; at the end: the tokens that several sets of the task hold."""
     counts, seen = _Counts(), set()
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("firsts", _LISTS), ("bits", _LISTS), ("often", _LISTS), ("times", pa.list_(pa.int32()))])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("bits", _LISTS), ("often", _LISTS), ("times", pa.list_(pa.int32()))])
     for batch in sliced(batches, 1):
-        n, sig, firsts, bits = [], [], [], []
+        n, sig, bits = [], [], []
         for text in batch.column(1):
             s = shingles(text.as_py())
             n.append(len(s))
             sig.append(_sig(s))
-            firsts.append([int(s[np.argmin(mix(s, seed))].view(np.int64)) for seed in STARS] if len(s) else None)
             bits.append(parities(s) if len(s) else None)
             if sig[-1] not in seen:
                 if len(seen) >= ROOM:
@@ -92,12 +90,12 @@ def _signed(batches):
                 seen.add(sig[-1])
                 counts.add(s)
         rows = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(firsts, _LISTS), pa.array(bits, _LISTS), pa.nulls(rows, _LISTS), pa.nulls(rows, pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(bits, _LISTS), pa.nulls(rows, _LISTS), pa.nulls(rows, pa.list_(pa.int32()))], schema=schema)
     counts.merge()
     often = np.flatnonzero(counts.times > 1)
     for a in range(0, len(often), 1 << 16):
         at = often[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:5]), pa.array([counts.tokens[at].view(np.int64)], _LISTS), pa.array([counts.times[at]], pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:4]), pa.array([counts.tokens[at].view(np.int64)], _LISTS), pa.array([counts.times[at]], pa.list_(pa.int32()))], schema=schema)
     del counts, seen
     pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
@@ -241,14 +239,10 @@ def class_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
 
     full = sets.where("n > 0")
     one = full.groupBy("sig").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
-    like = full.select("sig", F.col("id").alias("of"), "firsts", "bits").join(one, "sig").where(F.col("of").eqNullSafe(F.col("rep"))).select("sig", "rep", "n", "firsts", "bits")
+    like = full.select("sig", F.col("id").alias("of"), "bits").join(one, "sig").where(F.col("of").eqNullSafe(F.col("rep"))).select("sig", "rep", "n", "bits")
     classes = stash(like.dropDuplicates(["sig"]).withColumn("cid", F.monotonically_increasing_id()), "classes")
     join = _Join(stash, texts, classes, orders)
 
-    firsts = classes.select(F.col("cid").alias("b"), F.posexplode("firsts").alias("k", "token"))
-    star = firsts.groupBy("k", "token").agg(F.min("b").alias("a"), F.count("*").alias("c")).where("c > 1")
-    comps = join.joined(None, join.links(firsts.join(star, ["k", "token"]).where("b <> a").select("a", "b").distinct()))
-
     asked, own = join.texts_of(classes.select("cid"))
     held = own.mapInArrow(_prefixes(orders, SEEDS[:1]), "sig binary, n int, p0 array<long>").join(asked.select("cid", "sig"), "sig").select("cid", "n", F.col("p0").alias("tokens"))
     prefixes = stash(held, "prefixes", heavy=True)  # a row that repeats whole, id and text, has its class twice
@@ -257,21 +251,24 @@ def class_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     lists = stash(among(tokens, "token", shared, "token").join(shared, "token").distinct(), "lists", heavy=True)
     stash.clear(prefixes, shared)
 
-    def placed() -> DataFrame:
-        """Lists whose classes lie in several components."""
-        rows = lists.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").select("token", "cid", F.coalesce("component", "cid").alias("comp"), "n", "pos")
-        several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("cid", "token"), "cid", "comp")).alias("star")).where("lo <> hi")
-        return stash(rows.join(several.select("token", F.col("star.cid").alias("a"), F.col("star.comp").alias("acomp")), "token"), "placed")
+    comps = None
+
+    def placed(star: Column) -> DataFrame:
+        """Lists whose classes lie in several components, each with its star; without the rows after whose token too little follows for a link with any of the list."""
+        rows = lists.withColumn("comp", F.col("cid")) if comps is None else lists.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+        several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.min(F.struct(star, F.xxhash64("cid", "token"), "cid", "comp")).alias("star")).where("lo <> hi")
+        rows = rows.select("token", "cid", "comp", "n", "pos").join(several.select("token", "least", F.col("star.cid").alias("a"), F.col("star.comp").alias("acomp")), "token")
+        return stash(rows.where("n - pos >= ceil(3 * (n + greatest(least, ceil(0.75D * n))) / 7.0)").drop("least"), "placed")
 
-    near = placed()
-    comps = join.joined(comps, join.links(near.where("comp <> acomp").select("a", F.col("cid").alias("b")).distinct()))
-    stash.clear(near)
-    near = placed()
+    for star in (F.col("pos"), F.lit(0)):
+        near = placed(star)
+        comps = join.joined(comps, join.links(near.where("comp <> acomp").select("a", F.col("cid").alias("b")).distinct()))
+        stash.clear(near)
+    near = placed(F.lit(0))
     first = near.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "token"))), 1, EARLIER).alias("first"))
     rows = near.drop("a", "acomp").join(first, "cid").withColumn("before", F.expr("transform(filter(first, t -> t.pos < pos), t -> t.token)")).drop("first")
     x, y = (rows.select("token", *(F.col(c).alias(p + c) for c in ("cid", "comp", "n", "pos", "before"))) for p in "xy")
-    # What can follow the token has to reach the intersection that a link needs.
-    reach = "least(xpos, ypos) + least(xn - xpos, yn - ypos) >= ceil(3 * (xn + yn) / 7.0)"
+    reach = "least(xn - xpos, yn - ypos) >= ceil(3 * (xn + yn) / 7.0)"
     pairs = x.join(y, "token").where(f"xcid < ycid and xcomp <> ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and {reach} and not arrays_overlap(xbefore, ybefore)")
     comps = join.joined(comps, join.links(pairs.select(F.col("xcid").alias("a"), F.col("ycid").alias("b")).distinct()))
     stash.clear(near, lists)
