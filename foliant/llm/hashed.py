@@ -1,4 +1,4 @@
-"""Hashed byte n-grams of whole texts, and bounded samples of labelled rows."""
+"""Hashed n-grams of whole texts, and bounded samples of labelled rows."""
 
 from __future__ import annotations
 
@@ -6,16 +6,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a text that are hashed at once; pieces overlap by the longest n-gram.
+#: Units (bytes or characters) of a text that are hashed at once; pieces overlap by the longest n-gram.
 PIECE = 1 << 18
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(text: bytes, sizes: tuple[int, ...], bits: int):
-    """Buckets of the n-grams of each size, one array a size and piece; each place in the text counts once."""
+def grams(text: np.ndarray, sizes: tuple[int, ...], bits: int):
+    """Buckets of the n-grams of each size, one array a size and piece; each place in the text (an array of its bytes or code points) counts once."""
     longest = max(sizes)
     for at in range(0, max(1, len(text)), PIECE):
-        data = np.frombuffer(text[at : at + PIECE + longest - 1], np.uint8).astype(np.uint64)
+        data = text[at : at + PIECE + longest - 1].astype(np.uint64)
         acc = np.zeros(len(data), np.uint64)
         for n in range(1, longest + 1):
             if len(data) < n:

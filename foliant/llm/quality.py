@@ -5,7 +5,7 @@ weights; ordered thresholds part them: P(grade <= k) = sigmoid(threshold k - wei
 probability of a grade or more, by which documents are selected.
 
 Fitting takes at most SAMPLE rated rows, of which the driver holds the features (FEATURES numbers each). Nulls and empty texts have no features; rows with a null id or rating are
-not learnt from; ids may repeat. With fewer than two grades every text has the one there is (0 without any) and tail probability 1. Other columns stay; those with the names of new ones are replaced.
+not learnt from; ids may repeat, and rows that tie or repeat are judged alike. Empty tables give no rows; a long text is hashed in pieces. With fewer than two grades every text has the one there is (0 without any) and tail probability 1. Other columns stay; those with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ KEEP = 0.5
 
 def vector(text: str | None) -> np.ndarray:
     counts = np.zeros(FEATURES)
-    for x in grams((text or "").encode("utf-8", "replace"), SIZES, BITS):
+    for x in grams(np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8), SIZES, BITS):
         counts += np.bincount(x, minlength=FEATURES)
     return np.sqrt(counts / max(1.0, counts.sum()))
 

@@ -1,11 +1,11 @@
 """Toxicity by a linear classifier of character n-grams that are scaled by naive Bayes log-count ratios.
 
-Features are the distinct hashed n-grams of a lower-cased text. Of the buckets, those KEPT with the clearest ratio get weights: each is scaled by its log-count
+Features are the distinct hashed n-grams of the characters of a lower-cased text. Of the buckets, those KEPT with the clearest ratio get weights: each is scaled by its log-count
 ratio, and logistic regression with an L2 penalty fits the weights; the other buckets count for nothing, so that a long text isn't judged by its length.
 Fitting takes at most SAMPLE labelled rows; the driver holds their chosen features alone. Weights are broadcast: KEPT numbers.
 
 Nulls and empty texts score as a text without n-grams. Ids may repeat or be null: a row with a null label or id is not learnt from, and a document with several labels is
-learnt once for each. Without rows of both classes the score is the share of toxic labels (0.5 without labels). Extra columns are not read.
+learnt once for each. Rows that tie or repeat score alike; empty tables give no rows; a long text is hashed in pieces. Without rows of both classes the score is the share of toxic labels (0.5 without labels). Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +22,13 @@ from .slices import sliced
 SIZES, BITS, SAMPLE, KEPT, SMOOTH, PENALTY, LIMIT = (3, 4, 5, 6), 18, 6000, 4000, 1.0, 0.005, 0.7
 
 
+def _characters(text: str | None) -> np.ndarray:
+    """Code points of the lower-cased text between two spaces."""
+    return np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "replace"), np.uint32)
+
+
 def _distinct(text: str) -> np.ndarray:
-    data = (text or "").lower().encode("utf-8", "replace")
-    found = [np.unique(x) for x in grams(b" " + data + b" ", SIZES, BITS)]
+    found = [np.unique(x) for x in grams(_characters(text), SIZES, BITS)]
     return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
@@ -76,8 +80,7 @@ class Model:
         self.bias = bias
 
     def score(self, text: str) -> float:
-        data = (text or "").lower().encode("utf-8", "replace")
-        found = [x[self.of[x] != 0] for x in grams(b" " + data + b" ", SIZES, BITS)]
+        found = [x[self.of[x] != 0] for x in grams(_characters(text), SIZES, BITS)]
         z = self.bias + (float(self.of[np.unique(np.concatenate(found))].sum()) if found else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from foliant.llm import bpe, html_text, lattice, ngram_join, pii, quality, suffix_dedup, toxicity
+from foliant.llm import bpe, lattice, ngram_join, pii, suffix_dedup
 from foliant.llm.shingles import linked, need, parities, shingles
 
 TEXTS = [None, "", "a", "a b c", "A  b\tc", "a" * 99, "ab" * 300, "x" * 5000, "é😀 漢字 <|endoftext|> it's 12"]
@@ -58,49 +58,6 @@ def test_lattice(spark):
     assert all(got[i] == (0, i) for i in range(60, 64))
 
 
-def test_html():
-    page = "<nav>menu</nav><article><h1>T &amp; t</h1><p>one<br>two<p>three<div class='comments'>no</div><script>x</script></article><footer>f</footer>"
-    assert html_text.main_text(page) == "T & t\n\none two\n\nthree"
-    assert html_text.main_text("") == "" and html_text.main_text("<p") == ""
-
-
-def test_templates(spark):
-    pages = [(i, "http://h.org/x", f"<div><span>same words</span></div><p>page {i}</p>") for i in range(8)] + [(8, None, None)]
-    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got == {**{i: f"page {i}" for i in range(8)}, 8: ""}
-
-
-def test_templates_inside_articles(spark):
-    """What recurs inside an article goes, whatever its class; copies of a whole article, and articles that hold nothing else, stay."""
-    shell = "<body><article><h1>t{0}</h1><p>page {0}</p><div><p>share this</p></div></article><main><p>also {0}</p></main></body>"
-    copy = "<article><h1>copy</h1><p>all the same</p></article>"
-    pages = [(i, "http://h.org/x", shell.format(i)) for i in range(8)] + [(8 + i, "http://copies.org/", copy) for i in range(8)]
-    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got == {**{i: f"t{i}\n\npage {i}\n\nalso {i}" for i in range(8)}, **{8 + i: "copy\n\nall the same" for i in range(8)}}
-
-
-def test_templates_of_a_section(spark):
-    """On a host of 400 pages, a notice that stands on 10 % of them goes; one on 19 pages, short of the root of 400, stays."""
-    shell = "<article><p>page {}</p>{}{}</article>"
-    pages = [(i, "http://hot.org/x", shell.format(i, "<div>notice</div>" if i < 40 else "", "<div>rare</div>" if i >= 381 else "")) for i in range(400)]
-    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"page {i}" + ("\n\nrare" if i >= 381 else "") for i in range(400)}
-
-
-def test_classifiers(spark):
-    rows = [(i, ("you vile thing " if i % 4 == 0 else "a nice thing ") * (1 + i % 5), int(i % 4 == 0)) for i in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
-    model = toxicity.train(spark, df, "doc_id", "text", "y")
-    assert all((r.score >= 0.7) == (r.doc_id % 4 == 0) for r in toxicity.scored(df, model).collect())
-    graded = spark.createDataFrame([(i, ["zz!", "some words", "many fine words"][i % 3] * (1 + i % 4), i % 3) for i in range(150)], "doc_id long, text string, g int")
-    fitted = quality.train(spark, graded, "doc_id", "text", "g")
-    assert (np.diff(fitted.thresholds) > 0).all()
-    mean = {i: [] for i in range(3)}
-    for r in quality.judged(graded, fitted).collect():
-        mean[r.g].append(r.expected_grade)
-    assert np.mean(mean[0]) < np.mean(mean[1]) < np.mean(mean[2])
-
-
 @pytest.mark.parametrize("run", [lambda s, d: ngram_join.ngram_groups(s, d), lambda s, d: suffix_dedup.remove_repeats(s, d), lambda s, d: pii.redacted(d)])
 def test_empty_table(spark, run):
     assert run(spark, frame(spark).limit(0)).count() == 0
