@@ -6,7 +6,7 @@ from foliant.plans.dialect import Spark, quoted
 
 # Vocabularies and patterns that results have to agree on.
 CONNECTORS = ("bin", "bint", "al", "el", "ul", "ibn")
-NAME_STOPWORDS = tuple("slave slaves woman man boy girl unknown unnamed agency resident secretary captain major sheikh shaikh political residency certificate statement memorandum telegram master owner buyer seller agent office".split())
+NAME_STOPWORDS = ("slave", "slaves", "woman", "man", "boy", "girl", "unknown", "unnamed", "agency", "resident", "secretary", "captain", "major", "sheikh", "shaikh", "political", "residency", "certificate", "statement", "memorandum", "telegram", "master", "owner", "buyer", "seller", "agent", "office")
 PLACE_STOPWORDS = ("unknown", "unclear", "none", "nil", "there", "here", "this agency", "the agency", "agency", "residency", "political agency", "residency agency", "office", "record", "statement", "memorandum", "certificate", "arrival")
 PLACE_MAP = {"shargah": "Sharjah", "sharjeh": "Sharjah", "sharjah": "Sharjah", "dibai": "Dubai", "debai": "Dubai", "dubai": "Dubai", "bahrein": "Bahrain", "bahrain": "Bahrain", "bushire": "Bushehr", "busheir": "Bushehr", "bushehr": "Bushehr", "mekran": "Mekran", "mokran": "Mekran", "henjam": "Henjam", "honjam": "Henjam", "ras ul khaimah": "Ras al Khaimah", "ras al khaimah": "Ras al Khaimah", "umm al quwain": "Umm al Quwain", "umm ul quwain": "Umm al Quwain", "muscat": "Muscat", "mascat": "Muscat", "zanzibar": "Zanzibar", "abyssinia": "Abyssinia", "abisinia": "Abyssinia"}
 PROSE = ("without", "pressure", "slightest", "either", "would", "find", "way")
@@ -60,6 +60,8 @@ STRONG_PHRASES = ("slave named", "refugee slave", "fugitive slave", "statement o
 MARK = "\u25a1"
 EMPTY_PAGE = "[OCR_EMPTY]"
 EDGES = " ,.;:[]{}\"'"
+#: Unicode's white space, as a class that both engines read alike.
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def one_of(x: str, words) -> str:
@@ -68,7 +70,7 @@ def one_of(x: str, words) -> str:
 
 def spaced(d: Spark, x: str) -> str:
     """White space runs become one space, none at the ends."""
-    return f"trim({d.replace(f"coalesce({x}, '')", r'\s+', ' ')})"
+    return f"trim({d.replace(f"coalesce({x}, '')", SPACE + '+', ' ')})"
 
 
 def first_words(d: Spark, x: str, n: int = 25) -> str:
@@ -98,11 +100,11 @@ def name(d: Spark, x: str) -> str:
 def valid_name(d: Spark, n: str) -> str:
     """n: a normalised name."""
     stop = d.any(d.words(n), one_of("lower(w)", NAME_STOPWORDS))
-    return f"(length({n}) >= 2 and not {d.like(n, '[0-9]')} and not ({stop} and {d.size(d.words(n))} <= 2) and {d.count(n, '[A-Za-z]')} >= 2)"
+    return f"(length({n}) >= 2 and not {d.like(n, r'\p{Nd}')} and not ({stop} and {d.size(d.words(n))} <= 2) and {d.count(n, r'\p{L}')} >= 2)"
 
 
 def candidate_name(d: Spark, n: str) -> str:
-    return f"({valid_name(d, n)} or (not {d.like(n, '[0-9]')} and {d.size(d.words(n))} >= 2 and {d.count(n, '[A-Za-z]')} >= 4))"
+    return f"({valid_name(d, n)} or (not {d.like(n, r'\p{Nd}')} and {d.size(d.words(n))} >= 2 and {d.count(n, r'\p{L}')} >= 4))"
 
 
 def place(d: Spark, x: str) -> str:
