@@ -4,7 +4,7 @@ A text is the square roots of the shares of its hashed byte n-grams (a vector of
 weights; ordered thresholds part them: P(grade <= k) = sigmoid(threshold k - weights . features). Results are the expected grade and the tail
 probability of a grade or more, by which documents are selected.
 
-Fitting takes at most SAMPLE rated rows, of which the driver holds the features (FEATURES numbers each). Nulls and empty texts have no features; rows with a null id or rating are
+Fitting takes at most SAMPLE rated rows, of which the driver holds the features (FEATURES numbers of 16 bits each). Nulls and empty texts have no features; rows with a null id or rating are
 not learnt from; ids may repeat, and rows that tie or repeat are judged alike. Empty tables give no rows; a long text is hashed in pieces. With fewer than two grades every text has the one there is (0 without any) and tail probability 1. Other columns stay; those with the names of new ones are replaced.
 """
 
@@ -20,7 +20,7 @@ from .common import Stash, table, text_of
 from .hashed import grams, sampled
 from .slices import replaced, sliced
 
-SIZES, BITS, SAMPLE, ROUNDS, PENALTY = (1, 2, 3), 11, 6000, 250, 1e-4
+SIZES, BITS, SAMPLE, ROUNDS, PENALTY, ROWS = (1, 2, 3), 11, 6000, 250, 1e-4, 512
 FEATURES = 1 << BITS
 #: Documents stay from this tail probability on.
 KEEP = 0.5
@@ -35,7 +35,7 @@ def vector(text: str | None) -> np.ndarray:
 
 def _vectors(batches):
     for batch in sliced(batches, -1):
-        out = [vector(x.as_py()).astype(np.float32).tobytes() for x in batch.column(batch.num_columns - 1)]
+        out = [vector(x.as_py()).astype(np.float16).tobytes() for x in batch.column(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["grade", "x"])
 
 
@@ -67,13 +67,17 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = 0.3) -
     d = x.shape[1]
     for t in range(1, rounds + 1):
         cuts = params[d] + np.concatenate([[0.0], np.cumsum(np.exp(params[d + 1 :]))])
-        z = x @ params[:d].astype(x.dtype)
-        high = np.where(k < m, sigmoid(cuts[np.minimum(k, m - 1)] - z), 1.0)
-        low = np.where(k > 0, sigmoid(cuts[np.maximum(k, 1) - 1] - z), 0.0)
-        p = np.maximum(high - low, 1e-9)
-        up, down = high * (1 - high) / p, low * (1 - low) / p
-        by_cut = -(np.bincount(np.minimum(k, m - 1), np.where(k < m, up, 0), m) - np.bincount(np.maximum(k, 1) - 1, np.where(k > 0, down, 0), m)) / n
-        slope = np.concatenate([x.T @ (up - down).astype(x.dtype) / n + PENALTY * params[:d], [by_cut.sum()], [by_cut[i:].sum() * np.exp(params[d + i]) for i in range(1, m)]])
+        by_weight, by_cut = PENALTY * params[:d], np.zeros(m)
+        for a in range(0, n, ROWS):  # a few rows at a time as full numbers
+            part, own = x[a : a + ROWS].astype(np.float32), k[a : a + ROWS]
+            z = part @ params[:d].astype(np.float32)
+            high = np.where(own < m, sigmoid(cuts[np.minimum(own, m - 1)] - z), 1.0)
+            low = np.where(own > 0, sigmoid(cuts[np.maximum(own, 1) - 1] - z), 0.0)
+            p = np.maximum(high - low, 1e-9)
+            up, down = high * (1 - high) / p, low * (1 - low) / p
+            by_cut -= (np.bincount(np.minimum(own, m - 1), np.where(own < m, up, 0), m) - np.bincount(np.maximum(own, 1) - 1, np.where(own > 0, down, 0), m)) / n
+            by_weight = by_weight + (up - down).astype(np.float32) @ part / n
+        slope = np.concatenate([by_weight, [by_cut.sum()], [by_cut[i:].sum() * np.exp(params[d + i]) for i in range(1, m)]])
         mean, var = 0.9 * mean + 0.1 * slope, 0.999 * var + 0.001 * slope**2
         params = params - rate * mean / (1 - 0.9**t) / (np.sqrt(var / (1 - 0.999**t)) + 1e-8)
     return Model(params[:d], params[d] + np.concatenate([[0.0], np.cumsum(np.exp(params[d + 1 :]))]), grades.astype(float))
@@ -84,9 +88,9 @@ def train(spark: SparkSession, rated: DataFrame, id_col: str, text_col: str, gra
     stash = Stash(spark)
     seen = stash(sampled(rows, id_col, sample).select("grade", "text").repartition(8).mapInArrow(_vectors, "grade double, x binary"), "vectors")
     n = seen.count()  # at most sample rows; they come one partition at a time
-    x, y = np.empty((n, FEATURES), np.float32), np.empty(n)
-    for i, row in enumerate(seen.orderBy("grade", "x").toLocalIterator()):
-        x[i], y[i] = np.frombuffer(row["x"], np.float32), row["grade"]
+    x, y = np.empty((n, FEATURES), np.float16), np.empty(n)
+    for i, row in enumerate(seen.orderBy("grade", F.xxhash64("x")).toLocalIterator()):
+        x[i], y[i] = np.frombuffer(row["x"], np.float16), row["grade"]
     return fit(x, y)
 
 
