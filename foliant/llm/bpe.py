@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import give_back, small_batches, table
 from .slices import replaced, sliced
 
 SHORT, WORDS = 96, 250_000
@@ -171,7 +171,7 @@ def _encode(spec, new: tuple[str, ...]):
                 made["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made["ids"]), np.int32)))
             kinds = {"decoded": pa.string(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
             yield replaced(batch.select(batch.schema.names[:-1]), **{k: v if k == "ids" else pa.array(v, kinds[k]) for k, v in made.items()})
-        pa.default_memory_pool().release_unused()  # the worker stays for later stages
+        give_back()
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stash, components, table, text_of
+from .common import Stash, components, give_back, table, text_of
 from .shingles import Orders, linked, parities, shingles
 from .slices import sliced
 
@@ -57,15 +57,18 @@ class _Counts:
     def add(self, s: np.ndarray) -> None:
         self.held.append(s)
         self.size += len(s)
-        if self.size >= ROOM:
+        if self.size >= ROOM // 8:
             self.merge()
 
     def merge(self) -> None:
         new, times = np.unique(np.concatenate([np.empty(0, np.uint64), *self.held]), return_counts=True)
-        both = np.concatenate([self.tokens, new])
-        self.tokens, at = np.unique(both, return_inverse=True)
-        self.times = np.bincount(at, np.concatenate([self.times, times]), len(self.tokens)).astype(np.int64)
         self.held, self.size = [], 0
+        at = np.searchsorted(self.tokens, new)
+        known = np.zeros(len(new), bool)
+        inside = at < len(self.tokens)
+        known[inside] = self.tokens[at[inside]] == new[inside]
+        self.times[at[known]] += times[known]
+        self.tokens, self.times = np.insert(self.tokens, at[~known], new[~known]), np.insert(self.times, at[~known], times[~known])
         least = 1
         while len(self.tokens) > ROOM:
             keep = self.times > least
@@ -97,7 +100,7 @@ def _signed(batches):
         at = often[a : a + (1 << 16)]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:4]), pa.array([counts.tokens[at].view(np.int64)], _LISTS), pa.array([counts.times[at]], pa.list_(pa.int32()))], schema=schema)
     del counts, seen
-    pa.default_memory_pool().release_unused()  # the worker stays for later stages
+    give_back()
 
 
 def _lists(found: list[np.ndarray]) -> pa.Array:
@@ -113,7 +116,7 @@ def _prefixes(orders, seeds):
             sets = [s for s in (shingles(t.as_py()) for t in batch.column(0)) if len(s)]
             tokens = [_lists([orders.value.prefix(s, seed).view(np.int64) for s in sets]) for seed in seeds]
             yield pa.RecordBatch.from_arrays([pa.array(map(_sig, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), *tokens], names=["sig", "n", *(f"p{k}" for k in range(len(seeds)))])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -122,7 +125,7 @@ def _sets(batches):
     for batch in sliced(batches, 0, 1 << 20):
         sets = [shingles(t.as_py()) for t in batch.column(0)]
         yield pa.RecordBatch.from_arrays([pa.array(map(_sig, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "held"])
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _verify(batches):
@@ -138,7 +141,7 @@ def _verify(batches):
                 out_a.append(a)
                 out_b.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["u", "v"])
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _folded(longer: str, shorter: str) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stash, table, text_of
+from .common import Stash, give_back, table, text_of
 from .hashed import grams, sampled
 from .slices import replaced, sliced
 
@@ -37,6 +37,7 @@ def _vectors(batches):
     for batch in sliced(batches, -1):
         out = [vector(x.as_py()).astype(np.float16).tobytes() for x in batch.column(batch.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["grade", "x"])
+    give_back()
 
 
 class Model:
@@ -98,12 +99,14 @@ def _judge(model, tail):
     def run(batches):
         for batch in sliced(batches, -1):
             m = model.value
-            x = np.stack([vector(t.as_py()).astype(np.float32) for t in batch.column(batch.num_columns - 1)])
+            x = np.empty((batch.num_rows, FEATURES), np.float32)
+            for i, t in enumerate(batch.column(batch.num_columns - 1)):
+                x[i] = vector(t.as_py())
             tails = m.tails(x)
             at = int((m.grades[1:] < tail).sum())
             own = tails[:, at] if at < tails.shape[1] else np.ones(len(x)) if len(m.grades) < 2 else np.zeros(len(x))
             yield replaced(batch.select(batch.schema.names[:-1]), expected_grade=pa.array(m.expected(tails), pa.float64()), tail_probability=pa.array(own, pa.float64()))
-        pa.default_memory_pool().release_unused()  # the worker stays for later stages
+        give_back()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, text_of
+from .common import give_back, small_batches, table, text_of
 from .slices import replaced, sliced
 
 RATE, UP, FRAME, PIECE = 8000, 2, 64, 1 << 20
@@ -214,7 +214,7 @@ def _resample(batches):
                 continue
             out.append(write_wav(resample(expand(np.frombuffer(wav[2], np.uint8), wav[0])).tobytes(), PCM, wav[1] * UP, 2))
         yield replaced(batch.select(batch.schema.names[:-1]), pcm=pa.array(out, pa.binary()))
-    pa.default_memory_pool().release_unused()  # the worker stays for later stages
+    give_back()
 
 
 def resample_media(df: DataFrame, media: str = "media") -> DataFrame:
