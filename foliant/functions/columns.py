@@ -4,6 +4,7 @@ register() gives them names in SQL. Nulls count as empty texts unless said other
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, SparkSession
@@ -22,8 +23,18 @@ PAGE = "struct<should_extract:boolean,skip_reason:string,report_type:string,evid
 DATE = "struct<iso:string,confidence:string,raw:string,tried:array<struct<pattern:string,matched:boolean,raw:string,iso:string,confidence:string>>>"
 
 
-def arrow(f, kind: str):
-    return F.udf(f, kind, useArrow=True)
+class arrow:
+    """A function of Python values as one of columns, which gets its values an Arrow batch at a time; made when it is first used, since that takes a session."""
+
+    def __init__(self, f, kind: str):
+        self.f, self.kind = f, kind
+
+    @functools.cached_property
+    def udf(self):
+        return F.udf(self.f, self.kind, useArrow=True)
+
+    def __call__(self, *columns) -> Column:
+        return self.udf(*columns)
 
 
 def _column(c) -> Column:
@@ -165,7 +176,7 @@ def register(spark: SparkSession) -> list[str]:
     """Names of the functions, now known to SQL: Python's by their Arrow form, SQL's as functions of SQL."""
     python = {"found_json": found_json, "page_decision": page_decision, "named_people": named_people, "candidate_places": candidate_places, "final_places": final_places, "name_decision": decision, "name_contexts": contexts, "first_date": first_date, "same_person": same_person}
     for key, f in python.items():
-        spark.udf.register(key, f)
+        spark.udf.register(key, f.udf)
     own = {
         "normal_name": ("x string", "string", S.name(SPARK, "x")),
         "normal_place": ("x string", "string", S.place(SPARK, "x")),

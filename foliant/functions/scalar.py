@@ -73,6 +73,10 @@ def spaced(d: Spark, x: str) -> str:
     return f"trim({d.replace(f"coalesce({x}, '')", SPACE + '+', ' ')})"
 
 
+def stripped(d: Spark, x: str) -> str:
+    return d.replace(f"coalesce({x}, '')", f"^{SPACE}+|{SPACE}+\\z")
+
+
 def first_words(d: Spark, x: str, n: int = 25) -> str:
     return d.each(d.words(spaced(d, x), n), "w")
 
@@ -119,7 +123,7 @@ def valid_place(d: Spark, p: str) -> str:
     words = d.words(f"trim({d.replace(low, '[^a-z]+', ' ')})")
     prose = f"({d.size(words)} >= 4 and {d.any(words, one_of('w', PROSE))})"
     ship = d.like(low, r"\b(h\.m\.s\.?|s\.s\.?|steamship|ship|dhow|vessel|boat)\b")
-    return f"({p} <> '' and not {d.like(p, '[0-9]')} and not {one_of(low, PLACE_STOPWORDS)} and not {d.like(low, '^[^a-z]*(without|if|when)([^a-z]|$)')} and not {prose} and not {ship})"
+    return f"({p} <> '' and not {d.like(p, r'\p{Nd}')} and not {one_of(low, PLACE_STOPWORDS)} and not {d.like(low, '^[^a-z]*(without|if|when)([^a-z]|$)')} and not {prose} and not {ship})"
 
 
 def year(d: Spark, x: str) -> str:
@@ -178,7 +182,8 @@ def skip_reason(d: Spark, x: str) -> str:
 
 
 def cleaned(d: Spark, x: str) -> str:
-    return f"case when lower(trim(coalesce({x}, ''))) in ('none', 'null') then '' else trim(coalesce({x}, '')) end"
+    s = stripped(d, x)
+    return f"case when lower({s}) in ('none', 'null') then '' else {s} end"
 
 
 def allowed(d: Spark, x: str, words) -> str:

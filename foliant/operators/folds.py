@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions import plain
+
 _ROW = "ord bigint, name string, place string, pos int, arrival string, confidence string, time string, evidence string"
 _RANK = "case {r}.confidence when 'unknown' then 1 when 'derived_from_doc' then 2 when 'explicit' then 3 else 0 end"
 
@@ -36,43 +36,18 @@ def fold_places(rows: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("pos", F.expr(f"if(pos > 0, cast(row_number() over (partition by {by} order by pos, arrival, lower(place), ord) as int), 0)"))
 
 
-def _tokens(name: str) -> list[str]:
-    return [t for t in name.lower().split() if t not in ("bin", "bint", "ibn", "son", "daughter", "of", "al", "el", "ul")]
-
-
-def same_person(a: str, b: str) -> bool:
-    """Whether two normalised names may be one person's; the ratios depend on the order of the arguments."""
-    first, second, la, lb = _tokens(a), _tokens(b), a.lower(), b.lower()
-    if not first or not second:
-        return False
-    if la == lb:
-        return True
-    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
-    if first[0] != second[0]:
-        return ratio("".join(first), "".join(second)) >= 0.82 and ratio(first[0], second[0]) >= 0.83
-    if first == second or la in lb or lb in la:
-        return True
-    shared = len(set(first) & set(second)) / max(len(set(first)), len(set(second)))
-    return shared >= 0.75 or ratio("".join(first), "".join(second)) >= 0.8 or ratio(la, lb) >= 0.9
-
-
 def canonical_names(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, name, canonical) for the distinct normalised names of each document, in the order of ord: a name joins the first cluster with a member that it matches, and the
+    """(key, name, canonical, cluster) for the distinct normalised names of each document, in the order of ord: a name joins the first cluster with a member that it matches, and the
     cluster is called by its first member. Repeats are dropped before names meet, so a task holds a document's spellings and not its rows."""
 
     def clusters(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[list[str]] = []
-        canonical = []
-        for name in pdf.sort_values("ord")["name"]:
-            for c in found:
-                if any(same_person(name, other) for other in c):
-                    c.append(name)
-                    break
-            else:
-                c = [name]
-                found.append(c)
-            canonical.append(c[0])
-        return pdf.sort_values("ord").assign(canonical=canonical)[[key, "name", "canonical"]]
+        pdf = pdf.sort_values("ord")
+        names = list(pdf["name"])
+        home, first = [0] * len(names), [""] * len(names)
+        for nth, members in enumerate(plain.clusters(names)):
+            for i in members:
+                home[i], first[i] = nth, names[members[0]]
+        return pdf.assign(canonical=first, cluster=home)[[key, "name", "canonical", "cluster"]]
 
     first = rows.where("name <> ''").groupBy(key, "name").agg(F.min("ord").alias("ord"))
-    return first.groupBy(key).applyInPandas(clusters, f"{key} {dict(rows.dtypes)[key]}, name string, canonical string")
+    return first.groupBy(key).applyInPandas(clusters, f"{key} {dict(rows.dtypes)[key]}, name string, canonical string, cluster int")
