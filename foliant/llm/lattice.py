@@ -5,8 +5,11 @@ compared where one's home is the other's home or probe. Cells meet in numpy bloc
 each pair of chunks is a block. A linked pair counts once, in the first table that finds it, so no list of pairs is made: a block gives a count for each vector and
 the edges of a spanning forest.
 
-Vectors that are null, zero, or hold null or non-finite components, and vectors with a null label, link with nothing and are in the result. Rows that repeat an id are one vertex:
-their counts add up, and they don't link with each other. Vectors of different lengths don't link. Extra columns are not read.
+Rows with equal label and vector form a class, named by a number; cells, blocks and components hold classes, with how many vectors each stands for, so that copies cost
+as much as one of them. A vector is a distinct (id, label, vector): rows that repeat it whole count once, an id that repeats with another vector is another one.
+
+Vectors that are null, zero, or hold null or non-finite components, and vectors with a null label or id, link with nothing and are in the result. Vectors of different lengths
+don't link. Extra columns are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -104,8 +107,8 @@ def _emit(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(np.array([ids[i] for i in part], np.int64), key.shape[1])), pa.array(np.tile(home.ravel(), len(part)))], names=["key", "id", "home"])
 
 
-def _block(key, ids, home, chunk, label, unit, threshold):
-    """(id, links, smallest id that they reach here) of the rows of a block with links that this block counts."""
+def _block(key, ids, home, chunk, label, weight, unit, threshold):
+    """(class, vectors linked, smallest class that they reach here) of the rows of a block with links that this block counts."""
     a, b = np.nonzero(np.triu(unit @ unit.T >= threshold, 1))
     good = (ids[a] != ids[b]) & (home[a] | home[b])
     if chunk.min() != chunk.max():
@@ -115,7 +118,7 @@ def _block(key, ids, home, chunk, label, unit, threshold):
         return None
     used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b = at[: len(a)], at[len(a) :]
-    ids = ids[used]
+    ids, weight = ids[used], weight[used]
     homes, probes = _cells(unit[used])
     mine = mix(np.array([label], np.int64).view(np.uint64) * np.uint64(31) + np.uint64(unit.shape[1]))
     ours = np.zeros(len(a), bool)
@@ -131,7 +134,7 @@ def _block(key, ids, home, chunk, label, unit, threshold):
         cell = np.where(of_y, homes[y, first], homes[x, first])
         ours[s : s + 20_000] = mix(cell ^ mine).view(np.int64) == key
     a, b = a[ours], b[ours]
-    links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+    links = (np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))).astype(np.int64)
     root = ids.copy()
     while True:
         before = root.copy()
@@ -151,11 +154,11 @@ def _compare(threshold):
         def done():
             if not held:
                 return None
-            ids, home, chunk, label, vectors = (np.concatenate([h[k] for h in held]) for k in range(5))
-            return _block(now[0], ids, home, chunk, label[0], _units(vectors), threshold) if len(ids) > 1 else None
+            ids, home, chunk, label, weight, vectors = (np.concatenate([h[k] for h in held]) for k in range(6))
+            return _block(now[0], ids, home, chunk, label[0], weight, _units(vectors), threshold) if len(ids) > 1 else None
 
         for batch in batches:
-            key, i, j, ids, home, chunk, label = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 5, 7))
+            key, i, j, ids, home, chunk, label, weight = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3, 4, 5, 7, 8))
             lists = batch.column(6)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
@@ -167,7 +170,7 @@ def _compare(threshold):
                 if block != now:
                     out.append(done())
                     now, held = block, []
-                held.append((ids[s:e], home[s:e], chunk[s:e], label[s:e], values[offsets[s] : offsets[e]].reshape(e - s, -1)))
+                held.append((ids[s:e], home[s:e], chunk[s:e], label[s:e], weight[s:e], values[offsets[s] : offsets[e]].reshape(e - s, -1)))
             yield _packed(out)
         yield _packed([done()])
 
@@ -182,19 +185,31 @@ def _packed(out):
 def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component) of each row."""
     stash = Stash(spark)
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    src = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("long").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     odd = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("vector", lambda x: x != 0)
-    good = src.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull()).where(~odd).select("id", "label", "vector")
-    cells = stash(good.select("id", "label", "vector").mapInArrow(_emit, "key long, id long, home boolean"), "cells")
+    good = src.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull()).where(~odd)
+    key = F.xxhash64("label", "vector")  # the class itself is told by the vector; rows are dealt by this
+    named = good.select("id", "label", "vector", key.alias("key"))
+    classes = named.groupBy("key", "label", "vector").agg(F.countDistinct("id").alias("n"), F.min("id").alias("least")).withColumn("cid", F.monotonically_increasing_id())
+    classes = stash(classes, "classes")
+    cells = stash(classes.select("cid", "label", "vector").mapInArrow(_emit, "key long, id long, home boolean"), "cells")
     size = cells.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("homes")).where("n > 1 and homes > 0")
     size = size.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     rows = cells.join(size, "key").withColumn("chunk", F.pmod(F.hash("id", F.lit(5)), F.col("chunks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "id", "home", "chunk")
-    full = rows.join(good, "id").select("key", "i", "j", "id", "home", "chunk", "vector", "label").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = stash(full.mapInArrow(_compare(threshold), "id long, links long, root long"), "links")
+    held = classes.select(F.col("cid").alias("id"), "vector", "label", "n")
+    full = rows.join(held, "id").select("key", "i", "j", "id", "home", "chunk", "vector", "label", "n").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = stash(full.mapInArrow(_compare(threshold), "id long, links long, root long"), "links", heavy=True)
     comps = components(stash, found, "id", "root")
-    links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    return src.select("id").join(links, "id", "left").join(comps, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    links = found.groupBy(F.col("id").alias("cid")).agg(F.sum("links").alias("links"))
+    own = classes.join(links, "cid", "left").join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("key", "label", "vector", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component"))
+    own = stash(own, "own")
+    least = own.groupBy("component").agg(F.min("least").alias("first"))
+    told = own.join(least, "component").select("key", "label", "vector", "n_links", "first")
+    row = src.withColumn("fit", F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & ~odd, F.lit(False)))
+    row = row.select("id", F.when(F.col("fit"), F.xxhash64("label", "vector")).alias("key"), "label", "vector")
+    out = row.join(told.withColumnsRenamed({"label": "l", "vector": "v", "key": "k"}), (F.col("key") == F.col("k")) & (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v")), "left")
+    return stash.only(out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "id").alias("component")))
 
 
 def op5_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
