@@ -15,8 +15,11 @@ and equality is all that removal asks of a rank. Spark sorts (rank, document, po
 Every string of LENGTH bytes is in one segment, so nothing is missed. Each task keeps one of the equal rows of a batch and marks the others
 itself, so a passage in a third of all documents gives a row a batch.
 
-Nulls in text: empty. Documents with a null id take no part and come last with nothing removed. Ids must be unique: of rows that repeat one,
-each counts as the same document. Extra columns are not read.
+Ranks have 64 bits; rows are compared below an equal rank of an anchor, and single positions by two ranks made in different ways, so that strings that
+share nothing would have to agree in 128 bits to count as equal.
+
+Nulls in text: empty. Documents with a null id take no part and come last with nothing removed. Rows that repeat an id with the same text are one document, whose rows all have its
+result; with other texts they are documents of their own, in the order of a hash of the text. Extra columns are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -65,7 +68,7 @@ def _blocks(ids, texts):
         return [i for i, _, _ in held], np.array([o for _, o, _ in held], np.int64), np.concatenate([[0], np.cumsum([len(x) for _, _, x in held])]), data
 
     for i, text in zip(ids, texts):
-        if i is None or len(text) < LENGTH:
+        if i[0] is None or len(text) < LENGTH:
             continue
         for o in range(0, len(text) - LENGTH + 1, BLOCK):
             piece = text[o : o + BLOCK + LENGTH - 1]
@@ -107,9 +110,9 @@ def _segments(data: np.ndarray, bounds: np.ndarray):
     return own, first, count, a - first, seeds[a], sides, rank
 
 
-def _first_of(rank: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """True for the smallest (doc, pos) of each rank."""
-    at = np.lexsort((pos, doc, rank))
+def _first_of(rank: np.ndarray, tag: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """True for the smallest (doc, tag, pos) of each rank."""
+    at = np.lexsort((pos, tag, doc, rank))
     first = np.ones(len(at), bool)
     first[1:] = rank[at[1:]] != rank[at[:-1]]
     out = np.empty(len(at), bool)
@@ -120,24 +123,24 @@ def _first_of(rank: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
 def _scan(batches):
     """Segments of each block; a null rank marks those of which the block holds an earlier equal one."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for docs, offsets, bounds, data in _blocks(ids, map(memoryview, batch.column(1).cast(pa.binary()).to_pylist())):
+        ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for docs, offsets, bounds, data in _blocks(ids, map(memoryview, batch.column(2).cast(pa.binary()).to_pylist())):
             piece, first, count, place, anchor, sides, rank = _segments(data, bounds)
-            doc = np.array(docs, np.int64)[piece]
+            doc, tag = np.array(docs, np.int64)[piece].T
             pos = offsets[piece] + first - bounds[piece]
-            keep = _first_of(rank, doc, pos)
+            keep = _first_of(rank, tag, doc, pos)
             # Marked ones are dealt by document, not by a rank that many share.
             key = np.where(keep, anchor, mix(doc.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rank.view(np.int64), mask=~keep), pa.array(sides.view(np.int64)), pa.array(doc), pa.array(pos << 16 | count << 8 | place)], names=["anchor", "rank", "sides", "doc", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rank.view(np.int64), mask=~keep), pa.array(sides.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(pos << 16 | count << 8 | place)], names=["anchor", "rank", "sides", "doc", "tag", "span"])
 
 
 def _half_ranks(batches):
     """Ranks of 2 * HALF bytes, as pairs of those of HALF bytes, of each start in the listed segments; with them the rank of LENGTH bytes."""
     for batch in batches:
-        ids, texts, lists = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2)
+        ids, tags, texts, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3)
         docs, poss, ranks = [], [], []
         held = 0
-        for i, text, spans in zip(ids, texts, lists):
+        for i, tag, text, spans in zip(ids, tags, texts, lists):
             spans = spans.as_py()
             if not spans or i is None:
                 continue
@@ -154,9 +157,10 @@ def _half_ranks(batches):
                 r = _name(sums, low, low + HALF)
                 r = mix(r[:-HALF] * np.uint64(3) + mix(r[HALF:], 5))  # offset HALF: 2 * HALF bytes
                 step = LENGTH - 2 * HALF
-                ranks.append(mix(r[at] * np.uint64(3) + mix(r[at + step], 5)))  # offset LENGTH - 2 * HALF: LENGTH bytes
+                # offset LENGTH - 2 * HALF: LENGTH bytes
+                ranks.append(np.stack([mix(r[at] * np.uint64(3) + mix(r[at + step], 5)), mix(mix(r[at], 7) ^ r[at + step], 9)]))
                 poss.append(p + at)
-                docs.append(np.full(n, i, np.int64))
+                docs.append(np.full((n, 2), (i, tag), np.int64))
                 held += n
             if held > 500_000:
                 yield from _positions(docs, poss, ranks)
@@ -166,10 +170,10 @@ def _half_ranks(batches):
 
 
 def _positions(docs, poss, ranks):
-    doc, pos, rank = np.concatenate(docs), np.concatenate(poss), np.concatenate(ranks)
-    keep = _first_of(rank, doc, pos)
+    (doc, tag), pos, (rank, check) = np.concatenate(docs).T, np.concatenate(poss), np.concatenate(ranks, axis=1)
+    keep = _first_of(rank, tag, doc, pos)
     key = np.where(keep, rank, mix(doc.view(np.uint64)))
-    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(~keep), pa.array(doc), pa.array(pos)], names=["rank", "again", "doc", "pos"])
+    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(~keep), pa.array(doc), pa.array(tag), pa.array(pos)], names=["rank", "check", "again", "doc", "tag", "pos"])
 
 
 def _cut(batches):
@@ -201,27 +205,34 @@ def _cut(batches):
 def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of each row."""
     stash = Stash(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    segments = texts.mapInArrow(_scan, "anchor long, rank long, sides long, doc long, span long")
+    text = text_of(F.col(f"`{text_col}`"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    # Rows that repeat whole take part once; they are set apart, so that the others needn't be dealt by id.
+    again = stash(texts.where("id is not null").groupBy("id", "tag").agg(F.count("*").alias("n")).where("n > 1").select("id", "tag"), "again")
+    own = texts
+    if not again.isEmpty():
+        own = texts.join(again, ["id", "tag"], "left_anti").unionByName(texts.join(again, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]))
+    segments = own.mapInArrow(_scan, "anchor long, rank long, sides long, doc long, tag long, span long")
     by = W.partitionBy("anchor")
-    nth = F.row_number().over(W.partitionBy("anchor", "rank").orderBy("doc", "span"))
+    nth = F.row_number().over(W.partitionBy("anchor", "rank").orderBy("doc", "tag", "span"))
     ranked = segments.select("*", (F.isnull("rank") | (nth > 1)).alias("again"), F.min("rank").over(by).alias("lo"), F.max("rank").over(by).alias("hi")).where("again or lo <> hi")
     # Equal segments count once; rows that are done with keep their place without a part in the counts.
     often = lambda side: F.sum(F.when(~F.col("again"), 1).otherwise(0)).over(W.partitionBy("anchor", side)) > 1
-    sided = ranked.withColumns({"before": F.shiftright("sides", 32), "after": F.expr("sides & 4294967295")}).select("doc", "span", "again", often("before").alias("left"), often("after").alias("right"))
-    found = stash(sided.where("again or left or right"), "segments")
+    sided = ranked.withColumns({"before": F.shiftright("sides", 32), "after": F.expr("sides & 4294967295")}).select("doc", "tag", "span", "again", often("before").alias("left"), often("after").alias("right"))
+    found = stash(sided.where("again or left or right"), "segments", heavy=True)
 
-    edges = found.where("not again").groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("span", "left", "right")).alias("spans"))
-    asked = texts.join(edges, "id").select("id", "text", "spans")
-    places = asked.mapInArrow(_half_ranks, "rank long, again boolean, doc long, pos long")
-    place = W.partitionBy("rank", "again").orderBy("doc", "pos")
+    edges = found.where("not again").groupBy(F.col("doc").alias("id"), "tag").agg(F.collect_list(F.struct("span", "left", "right")).alias("spans"))
+    asked = own.join(edges, ["id", "tag"]).select("id", "tag", "text", "spans")
+    places = asked.mapInArrow(_half_ranks, "rank long, check long, again boolean, doc long, tag long, pos long")
+    place = W.partitionBy("rank", "check", "again").orderBy("doc", "tag", "pos")
     twice = places.withColumn("nth", F.row_number().over(place)).where("again or nth > 1")
     # Neighbouring starts become one span before they are gathered.
-    run = twice.withColumn("run", F.col("pos") - F.row_number().over(W.partitionBy("doc").orderBy("pos")))
-    runs = run.groupBy("doc", "run").agg(F.min("pos").alias("pos"), F.count("*").cast("int").alias("starts")).select("doc", "pos", "starts")
-    cuts = stash(found.where("again").select("doc", F.expr("span >> 16 as pos"), F.expr("cast(span >> 8 & 255 as int) as starts")).unionByName(runs).groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("pos", "starts")).alias("spans")), "cuts")
+    run = twice.withColumn("run", F.col("pos") - F.row_number().over(W.partitionBy("doc", "tag").orderBy("pos")))
+    runs = run.groupBy("doc", "tag", "run").agg(F.min("pos").alias("pos"), F.count("*").cast("int").alias("starts")).select("doc", "tag", "pos", "starts")
+    cuts = found.where("again").select("doc", "tag", F.expr("span >> 16 as pos"), F.expr("cast(span >> 8 & 255 as int) as starts")).unionByName(runs)
+    cuts = stash(cuts.groupBy(F.col("doc").alias("id"), "tag").agg(F.collect_list(F.struct("pos", "starts")).alias("spans")), "cuts", heavy=True)
     stash.clear(found)
-    return texts.join(cuts, "id", "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return texts.join(cuts, ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

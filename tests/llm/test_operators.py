@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from foliant.llm import bpe, lattice, ngram_join, pii, suffix_dedup
+from foliant.llm import bpe, ngram_join, pii, suffix_dedup
 from foliant.llm.shingles import linked, need, parities, shingles
 
 TEXTS = [None, "", "a", "a b c", "A  b\tc", "a" * 99, "ab" * 300, "x" * 5000, "é😀 漢字 <|endoftext|> it's 12"]
@@ -20,22 +20,6 @@ def frame(spark, texts=TEXTS):
     return spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, size string")
 
 
-def test_suffix(spark):
-    texts = [*TEXTS, *("".join(rng.choice("ab") for _ in range(300)) for _ in range(3))]
-    texts += [texts[-1][50:] + "q" * 150, texts[-2] + texts[-1]]
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark, frame(spark, texts)).collect()}
-    seen = set()
-    for i, t in enumerate(texts):
-        b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
-        for p in range(len(b) - 99):
-            if b[p : p + 100] in seen:
-                gone[p : p + 100] = True
-            seen.add(b[p : p + 100])
-        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        assert got[i] == (len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
-
-
 def test_bpe(spark):
     path = bpe.vocabulary_file()
     tk = Tokenizer.from_file(path)
@@ -45,19 +29,6 @@ def test_bpe(spark):
         assert list(rows[i].ids) == ids and rows[i].decoded == tk.decode(ids, skip_special_tokens=False)
 
 
-def test_lattice(spark):
-    g = np.random.default_rng(2)
-    x = g.normal(size=(60, 16))
-    x[30:50] = x[0] + g.normal(size=(20, 16)) * 0.15
-    rows = [(i, v.tolist(), int(i % 2 if i < 30 else 0)) for i, v in enumerate(x)] + [(60, None, 0), (61, [0.0] * 16, 0), (62, [float("nan")] * 16, 0), (63, x[0].tolist(), None)]
-    got = {r.id: (r.n_links, r.component) for r in lattice.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    label = np.array([r[2] for r in rows[:60]])
-    near = (u @ u.T >= 0.93) & (label[:, None] == label) & ~np.eye(60, dtype=bool)
-    assert [got[i][0] for i in range(60)] == near.sum(1).tolist()
-    assert all(got[i] == (0, i) for i in range(60, 64))
-
-
 @pytest.mark.parametrize("run", [lambda s, d: ngram_join.ngram_groups(s, d), lambda s, d: suffix_dedup.remove_repeats(s, d), lambda s, d: pii.redacted(d)])
 def test_empty_table(spark, run):
     assert run(spark, frame(spark).limit(0)).count() == 0
