@@ -38,34 +38,39 @@ REASONS = ("index", "Record_Metadata", "bad_ocr", "null", "other")
 
 
 def views(d: Spark) -> str:
-    """Common table expressions: syn_pages, classify, names, details, places, stages."""
+    """Common table expressions: pages, decisions on all of them and those that are stored, people, pages that name any, and routes."""
     return f"""
 syn_pages as (select o_custkey % 40 as doc_id, o_orderkey as page, {_case('o_orderkey % 8', PAGES)} as text, 1900 + o_orderkey % 60 as doc_year from orders),
-classify as (select o_custkey % 40 as doc_id, o_orderkey as page, (o_orderkey % 5) <> 2 as should_extract, case when o_orderkey % 5 = 2 then {_case('o_orderkey % 3', REASONS[:3])} else null end as skip_reason, {_case('o_orderkey % 5', TYPES)} as report_type, o_orderkey % 4 as model_calls, o_orderkey % 2 as repair_calls, case when o_orderkey % 9 = 0 then 'note' else '' end as note from orders where o_orderkey % 11 <> 0),
-people as (select l_orderkey as page, (l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey as ord, {_case('(l_partkey + l_linenumber) % 10', NAMES)} as name, {_case('l_suppkey % 5', TYPES)} as report_type from lineitem where l_orderkey % 7 <> 0),
+classify as (select o_custkey % 40 as doc_id, o_orderkey as page, (o_orderkey % 5) <> 2 as should_extract, case when o_orderkey % 5 = 2 then {_case('o_orderkey % 3', REASONS[:3])} else null end as skip_reason, {_case('o_orderkey % 5', TYPES)} as report_type, o_orderkey % 4 as model_calls, o_orderkey % 2 as repair_calls, case when o_orderkey % 9 = 0 then 'note' else '' end as note, o_orderstatus as given from orders),
+decided as (select * from classify where given <> 'P'),
+people as (select l_orderkey as page, (l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey as ord, {_case('(l_partkey + l_linenumber) % 10', NAMES)} as name, {_case('l_suppkey % 5', TYPES)} as report_type, l_returnflag as flag from lineitem),
+naming as (select distinct page from people where flag = 'R'),
 routes as (select l_orderkey as page, (l_linenumber * 1000000 + l_partkey) * 1000 + l_suppkey as ord, {_case('l_partkey % 10', NAMES)} as name, {_case('l_suppkey % 10', PLACES)} as place, l_linenumber % 4 - 1 as pos, {_case('(l_partkey + l_suppkey) % 10', DATES)} as date_text, l_orderkey % 60 + 1900 as doc_year from lineitem)"""
 
 
 def _named(d: Spark) -> str:
-    return f"{views(d)}, named as ({d.once('people', 'page, ord, report_type', name=S.name(d, 'name'))}), kept as (select * from named where {S.valid_name(d, 'name')})"
+    return f"{views(d)}, named as ({d.mapped('people', 's.page, s.ord, s.report_type', ('name',), name=S.name(d, 'name'))}), kept as (select * from named where {S.valid_name(d, 'name')})"
 
 
 def _routed(d: Spark) -> str:
     iso, confidence = S.iso_date(d, "date_text", "cast(doc_year as int)")
-    return f"{views(d)}, spaced as ({d.once('routes', 'page, ord, name, place, pos, doc_year', date_text=S.spaced(d, 'date_text'))}), placed as ({d.once('spaced', 'page, ord, pos', name=S.name(d, 'name'), place=S.place(d, 'place'), arrival=iso, confidence=confidence)}), routed as (select * from placed where {S.valid_place(d, 'place')})"
+    dated = d.mapped("spaced", "s.page, s.ord, s.name, s.place, s.pos", ("date_text", "doc_year"), arrival=iso, confidence=confidence)
+    named = d.mapped("dated", "s.page, s.ord, s.place, s.pos, s.arrival, s.confidence", ("name",), name=S.name(d, "name"))
+    placed = d.mapped("by_name", "s.page, s.ord, s.name, s.pos, s.arrival, s.confidence", ("place",), place=S.place(d, "place"))
+    return f"{views(d)}, spaced as ({d.mapped('routes', 's.page, s.ord, s.name, s.place, s.pos, s.doc_year', ('date_text',), date_text=S.spaced(d, 'date_text'))}), dated as ({dated}), by_name as ({named}), placed as ({placed}), routed as (select * from placed where {S.valid_place(d, 'place')})"
 
 
 def names_normalized(d):
-    return f"with {views(d)}, n as ({d.once('people', 'page, ord, people.name as raw', name=S.name(d, 'name'))}) select page, ord, raw, name, {S.valid_name(d, 'name')} as valid, {S.candidate_name(d, 'name')} as candidate from n"
+    return f"with {views(d)}, n as ({d.mapped('people', 's.page, s.ord, s.name as raw', ('name',), name=S.name(d, 'name'), valid=S.valid_name(d, S.name(d, 'name')), candidate=S.candidate_name(d, S.name(d, 'name')))}) select page, ord, raw, name, valid, candidate from n"
 
 
 def places_normalized(d):
-    return f"with {views(d)}, n as ({d.once('routes', 'page, ord, routes.place as raw', place=S.place(d, 'place'))}) select page, ord, raw, place, {S.valid_place(d, 'place')} as valid from n"
+    return f"with {views(d)}, n as ({d.mapped('routes', 's.page, s.ord, s.place as raw', ('place',), place=S.place(d, 'place'), valid=S.valid_place(d, S.place(d, 'place')))}) select page, ord, raw, place, valid from n"
 
 
 def dates_iso(d):
-    iso, confidence = S.iso_date(d, "s", "cast(doc_year as int)")
-    return f"with {views(d)}, n as ({d.once('routes', 'page, ord, doc_year', s=S.spaced(d, 'date_text'))}) select page, ord, s as raw, {iso} as iso, {confidence} as confidence from n"
+    iso, confidence = S.iso_date(d, "raw", "cast(doc_year as int)")
+    return f"with {views(d)}, n as ({d.mapped('routes', 's.page, s.ord, s.doc_year', ('date_text',), raw=S.spaced(d, 'date_text'))}), t as ({d.mapped('n', 's.page, s.ord, s.raw', ('raw', 'doc_year'), iso=iso, confidence=confidence)}) select page, ord, raw, iso, confidence from t"
 
 
 def page_facts(d):
@@ -83,11 +88,11 @@ def page_decisions(d):
 
 
 def gated_pages(d):
-    return f"with {views(d)} select p.doc_id, p.page, c.report_type from syn_pages p join classify c on p.doc_id = c.doc_id and p.page = c.page where c.should_extract and exists (select 1 from people n where n.page = p.page)"
+    return f"with {views(d)} select p.doc_id, p.page, c.report_type from syn_pages p join decided c on p.doc_id = c.doc_id and p.page = c.page where c.should_extract and exists (select 1 from naming n where n.page = p.page)"
 
 
 def pages_to_resume(d):
-    return f"with {views(d)} select doc_id, page from syn_pages p where not exists (select 1 from classify c where c.doc_id = p.doc_id and c.page = p.page)"
+    return f"with {views(d)} select doc_id, page from syn_pages p where not exists (select 1 from decided c where c.doc_id = p.doc_id and c.page = p.page)"
 
 
 def detail_rows(d):
@@ -101,12 +106,12 @@ def name_variants(d):
 
 def status_rows(d):
     status = "case when c.page is not null and not c.should_extract then concat('skip:', coalesce(c.skip_reason, 'bad_ocr')) when coalesce(n.n, 0) + coalesce(r.n, 0) > 0 then 'ok' else 'no_named_people' end"
-    return f"with {_named(d)}, n as (select page, count(*) as n, count(distinct lower(name)) as people from kept group by page), r as (select page, count(*) as n from routes group by page) select p.doc_id, p.page, {status} as status, coalesce(n.people, 0) as named_people, coalesce(n.n, 0) as detail_rows, 2 * coalesce(r.n, 0) as place_rows, coalesce(c.model_calls, 0) as model_calls, coalesce(c.repair_calls, 0) as repair_calls, coalesce(c.note, '') as note from syn_pages p left join classify c on p.doc_id = c.doc_id and p.page = c.page left join n on n.page = p.page left join r on r.page = p.page"
+    return f"with {_named(d)}, n as (select page, count(*) as n, count(distinct lower(name)) as people from kept group by page), r as (select page, count(*) as n from routes group by page) select p.doc_id, p.page, {status} as status, coalesce(n.people, 0) as named_people, coalesce(n.n, 0) as detail_rows, 2 * coalesce(r.n, 0) as place_rows, coalesce(c.model_calls, 0) as model_calls, coalesce(c.repair_calls, 0) as repair_calls, coalesce(c.note, '') as note from syn_pages p left join decided c on p.doc_id = c.doc_id and p.page = c.page left join n on n.page = p.page left join r on r.page = p.page"
 
 
 def document_stats(d):
     skipped = "sum(case when c.page is not null and not c.should_extract then 1 else 0 end)"
-    return f"with {_named(d)}, n as (select page, count(*) as n, max(lower(name)) as last_name from kept group by page) select p.doc_id, count(*) as pages, cast({skipped} as bigint) as skipped, round({skipped} * 1000e0 / count(*)) / 1000e0 as skip_rate, cast(sum(coalesce(n.n, 0)) as bigint) as detail_rows, max(n.last_name) as last_name, cast(sum(case when c.report_type = 'statement' then 1 else 0 end) as bigint) as statements from syn_pages p left join classify c on p.doc_id = c.doc_id and p.page = c.page left join n on n.page = p.page group by p.doc_id"
+    return f"with {_named(d)}, n as (select page, count(*) as n, max(lower(name)) as last_name from kept group by page) select p.doc_id, count(*) as pages, cast({skipped} as bigint) as skipped, round({skipped} * 1000e0 / count(*)) / 1000e0 as skip_rate, cast(sum(coalesce(n.n, 0)) as bigint) as detail_rows, max(n.last_name) as last_name, cast(sum(case when c.report_type = 'statement' then 1 else 0 end) as bigint) as statements from syn_pages p left join decided c on p.doc_id = c.doc_id and p.page = c.page left join n on n.page = p.page group by p.doc_id"
 
 
 def duplicate_places(d):
@@ -131,7 +136,7 @@ def stage_progress(d):
 
 
 def skip_propagation(d):
-    return f"with {views(d)} select p.doc_id, p.page, case when c.page is null then 'blocked' when not c.should_extract then 'skipped' else 'pending' end as names_state, case when c.page is null then 'blocked' when not c.should_extract or n.page is null then 'skipped' else 'pending' end as places_state, case when c.page is not null and not c.should_extract then coalesce(c.skip_reason, 'bad_ocr') when c.page is not null and n.page is null then 'no_named_people' else '' end as reason from syn_pages p left join classify c on p.doc_id = c.doc_id and p.page = c.page left join (select distinct page from people) n on n.page = p.page"
+    return f"with {views(d)} select p.doc_id, p.page, case when c.page is null then 'blocked' when not c.should_extract then 'skipped' else 'pending' end as names_state, case when c.page is null then 'blocked' when not c.should_extract or n.page is null then 'skipped' else 'pending' end as places_state, case when c.page is not null and not c.should_extract then coalesce(c.skip_reason, 'bad_ocr') when c.page is not null and n.page is null then 'no_named_people' else '' end as reason from syn_pages p left join decided c on p.doc_id = c.doc_id and p.page = c.page left join naming n on n.page = p.page"
 
 
 def document_listing(d):
@@ -221,8 +226,31 @@ def canonical_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in ("orders", "customer", "lineitem"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     named = spark.sql(f"with {_named(SPARK)} select page % 40 as doc_id, page * 10000000000 + ord as ord, name from kept")
-    return canonical_names(named)
+    return canonical_names(named).drop("cluster")
 
 
-#: A fold whose score changes as it goes, and clusters that follow a sequence ratio: SQL has neither; each operator has one golden case in the tests, and no brute-force version.
+#: The fold, a row at a time: how a row's weight compares, and what the kept row takes from the other.
+_WEIGHT = "struct_pack(a := cast({r}.pos > 0 as int), b := cast({r}.arrival <> '' as int), c := case {r}.confidence when 'explicit' then 3 when 'derived_from_doc' then 2 else 0 end, d := cast({r}.time <> '' as int), e := length({r}.evidence))"
+
+
+def _fold_oracle() -> str:
+    wins = f"{_WEIGHT.format(r='s')} > {_WEIGHT.format(r='f')}"
+    pick = lambda c: f"case when {wins} then s.{c} else f.{c} end"
+    fill = lambda c: f"case when {wins} then case when s.{c} = '' then f.{c} else s.{c} end else case when f.{c} = '' then s.{c} else f.{c} end end"
+    sure = f"case when {wins} then case when s.arrival = '' and f.arrival <> '' then f.confidence else s.confidence end else case when f.arrival = '' and s.arrival <> '' then s.confidence else f.confidence end end"
+    return f"""with {_routed(ORACLE)},
+told as (select page, ord, name, place, pos, arrival, confidence, case when ord % 2 = 0 then 'in May' else '' end as time, place as evidence from placed where place <> ''),
+steps as (select *, row_number() over (partition by page, lower(name), lower(place) order by ord) as step, min(ord) over (partition by page, lower(name), lower(place)) as first_ord from told),
+fold as (with recursive f as (
+  select * from steps where step = 1
+  union all
+  select f.page, {pick('ord')}, {pick('name')}, {pick('place')}, {pick('pos')}, {fill('arrival')}, {sure}, {fill('time')}, {fill('evidence')}, s.step, f.first_ord
+  from f join steps s on s.page = f.page and lower(s.name) = lower(f.name) and lower(s.place) = lower(f.place) and s.step = f.step + 1
+) select * from f),
+kept as (select * from fold where step = (select max(step) from steps s where s.page = fold.page and lower(s.name) = lower(fold.name) and lower(s.place) = lower(fold.place)) and pos >= 0)
+select page, name, place, cast(case when pos > 0 then row_number() over (partition by page, pos > 0 order by pos, arrival, lower(place), first_ord) else 0 end as int) as pos, arrival, confidence, time, evidence from kept"""
+
+
+#: Clusters follow a sequence ratio, which SQL doesn't have; tests hold them against first-fit clusters in plain Python.
 QUERIES |= {f.__name__: f for f in (folded_places, canonical_people)}
+SQL["folded_places"] = _fold_oracle()

@@ -61,6 +61,12 @@ class Spark:
         named = ", ".join(f"'{k}', {v}" for k, v in made.items())
         return f"select {keep}, {', '.join(f't.{k}' for k in made)} from {source} lateral view inline(array(named_struct({named}))) t"
 
+    def mapped(self, source: str, keep: str, keys: tuple[str, ...], **made: str) -> str:
+        """keep (of s, the source), and expressions over its keys, which are evaluated once for each distinct set of keys."""
+        named = ", ".join(f"'{k}', {v}" for k, v in made.items())
+        inner = f"select {', '.join(f'q.{k} as k_{k}' for k in keys)}, {', '.join(f't.{c} as {c}' for c in made)} from (select distinct {', '.join(keys)} from {source}) q lateral view inline(array(named_struct({named}))) t"
+        return f"select {keep}, {', '.join(f'm.{c}' for c in made)} from {source} s join ({inner}) m on {' and '.join(f's.{k} <=> m.k_{k}' for k in keys)}"
+
     def lookup(self, x: str, values: dict[str, str], other: str) -> str:
         """The value (an SQL literal) of x, else other; x is evaluated once, where a case would do so for each key."""
         return f"coalesce(element_at(map({', '.join(f'{quoted(k)}, {v}' for k, v in values.items())}), {x}), {other})"
@@ -107,6 +113,9 @@ class Oracle(Spark):
     def once(self, source: str, keep: str, **made: str) -> str:
         return f"select {keep}, {', '.join(f'{v} as {k}' for k, v in made.items())} from {source}"
 
+    def mapped(self, source: str, keep: str, keys: tuple[str, ...], **made: str) -> str:
+        return f"select {keep}, {', '.join(f'{v} as {k}' for k, v in made.items())} from {source} s"
+
     def lookup(self, x: str, values: dict[str, str], other: str) -> str:
         return f"case {x} {' '.join(f'when {quoted(k)} then {v}' for k, v in values.items())} else {other} end"
 
