@@ -51,7 +51,7 @@ STAGES = [
     ("mix_sources", mix_sources),
     ("bpe_tokens", bpe_tokens),
 ]
-#: SQL expresses neither the trained classifier nor the tokens; no test runs the pipeline or compares it with a brute-force version.
+#: SQL expresses neither the trained classifier nor the tokens; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
