@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import give_back, small_batches, table
 from .slices import replaced, sliced
 
-SHORT, WORDS = 96, 250_000
+SHORT, WORDS = 96, 150_000
 #: Stands for the rank of a pair that doesn't merge.
 NONE = 1 << 60
 #: Fixed value: the pattern that byte-level BPE splits text by.
