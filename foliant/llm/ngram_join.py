@@ -12,8 +12,9 @@ Candidates of every step are filtered before any set is sent: by parity bits, wh
 intersecting the orders: under each of SEEDS they have to share as many prefix tokens as linked sets of their sizes do.
 Survivors are verified on their whole sets. A link that is left out joins two classes of one component, so components lose nothing.
 
-Frequent tokens come last in every order. Each task counts the tokens of its distinct sets (above ROOM tokens, those seen least are dropped, so the count is low
-by a bounded part); sums over all tasks give the at most MOST most frequent ones, which are broadcast. They decide how long lists get, never what is found.
+Frequent tokens come last in every order. Tokens are counted by BUCKETS of their names, so that a task's memory is fixed; a task gives the buckets that hold clearly
+more of its distinct sets than the mean, and sums over all tasks give the at most MOST fullest ones, which are broadcast. Any order is a valid one: the counts decide how
+long lists get, never what is found.
 
 Nulls in text: empty. Empty texts have no shingles and link with nothing. Rows with a null id stay; their component is the smallest id that they reach,
 null if there is none. Ids that repeat: each row goes by its own text. Extra columns are not read, whatever their names. Empty tables give no rows.
@@ -21,6 +22,8 @@ null if there is none. Ids that repeat: each row goes by its own text. Extra col
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,13 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Stash, components, give_back, table, text_of
-from .shingles import Orders, linked, parities, shingles
+from .shingles import BUCKETS, Orders, bucket, linked, parities, shingles
 from .slices import sliced
 
 #: Token orders: the first makes candidates, all filter them.
 SEEDS = (0, 101, 202)
-#: Tokens that a task counts at a time; how many frequent ones are broadcast at most, and from how many classes on; tokens of a prefix that tell whether a pair came earlier.
-ROOM, MOST, FLOOR, EARLIER = 1 << 20, 1 << 18, 8, 16
+#: Tokens that a task holds before it counts them, and digests that it keeps to tell copies; how many buckets are broadcast at most, and from how many classes on; tokens of a prefix that
+#: tell whether a pair came earlier.
+ROOM, MOST, FLOOR, EARLIER = 1 << 19, 1 << 18, 8, 16
 SALTS = 16
 #: Bits of the maps of ids and tokens that are broadcast: at most CELLS / 64 rows, whatever the input.
 CELLS = 1 << 24
@@ -49,35 +53,33 @@ def _sig(s: np.ndarray) -> bytes:
 
 
 class _Counts:
-    """How many sets hold each token; what was seen least goes when there are more than ROOM tokens."""
+    """How many sets hold a token of each bucket."""
 
     def __init__(self):
-        self.tokens, self.times, self.held, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+        self.times, self.held, self.size, self.total = np.zeros(BUCKETS, np.uint32), [], 0, 0
 
     def add(self, s: np.ndarray) -> None:
-        self.held.append(s)
+        self.held.append(bucket(s))
         self.size += len(s)
-        if self.size >= ROOM // 8:
+        if self.size >= ROOM:
             self.merge()
 
     def merge(self) -> None:
-        new, times = np.unique(np.concatenate([np.empty(0, np.uint64), *self.held]), return_counts=True)
+        if self.held:
+            at, times = np.unique(np.concatenate(self.held), return_counts=True)
+            self.times[at] += times.astype(np.uint32)
+        self.total += self.size
         self.held, self.size = [], 0
-        at = np.searchsorted(self.tokens, new)
-        known = np.zeros(len(new), bool)
-        inside = at < len(self.tokens)
-        known[inside] = self.tokens[at[inside]] == new[inside]
-        self.times[at[known]] += times[known]
-        self.tokens, self.times = np.insert(self.tokens, at[~known], new[~known]), np.insert(self.times, at[~known], times[~known])
-        least = 1
-        while len(self.tokens) > ROOM:
-            keep = self.times > least
-            self.tokens, self.times = self.tokens[keep], self.times[keep]
-            least *= 2
+
+    def full(self) -> np.ndarray:
+        """Buckets with clearly more than the mean, three deviations and one more, and two at least."""
+        self.merge()
+        mean = self.total / BUCKETS
+        return np.flatnonzero(self.times >= max(2, math.ceil(1 + mean + 3 * math.sqrt(mean))))
 
 
 def _signed(batches):
-    """Per text: size of its set, the set's digest and parity bits; at the end: the tokens that several sets of the task hold."""
+    """Per text: size of its set, the set's digest and parity bits; at the end: the buckets that many sets of the task fill."""
     counts, seen = _Counts(), set()
     schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("bits", _LISTS), ("often", _LISTS), ("times", pa.list_(pa.int32()))])
     for batch in sliced(batches, 1):
@@ -94,11 +96,10 @@ def _signed(batches):
                 counts.add(s)
         rows = len(n)
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(bits, _LISTS), pa.nulls(rows, _LISTS), pa.nulls(rows, pa.list_(pa.int32()))], schema=schema)
-    counts.merge()
-    often = np.flatnonzero(counts.times > 1)
+    often = counts.full()
     for a in range(0, len(often), 1 << 16):
         at = often[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:4]), pa.array([counts.tokens[at].view(np.int64)], _LISTS), pa.array([counts.times[at]], pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:4]), pa.array([at], _LISTS), pa.array([counts.times[at].astype(np.int32)], pa.list_(pa.int32()))], schema=schema)
     del counts, seen
     give_back()
 
@@ -216,7 +217,7 @@ class _Join:
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens, at most MOST: those from a count on below which there would be more."""
+    """The fullest buckets, at most MOST: those from a count on below which there would be more."""
     steps = counted.groupBy(F.floor(F.log2("times") * 8).alias("step")).count().orderBy(F.desc("step")).collect()
     least, total = None, 0
     for r in steps:
@@ -225,9 +226,9 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         least = r["step"]
     if least is None:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     found = counted.where(F.floor(F.log2("times") * 8) >= least).toPandas()
-    return found["token"].to_numpy(np.int64).view(np.uint64), found["times"].to_numpy(np.int64)
+    return found["token"].to_numpy(np.int64), found["times"].to_numpy(np.int64)
 
 
 def class_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Stash, DataFrame, DataFrame]:

@@ -34,21 +34,35 @@ def shingles(text: str | None) -> np.ndarray:
     return acc[keep]
 
 
+#: Tokens are counted by buckets of their names.
+BUCKETS = 1 << 22
+
+
+def bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(42)).astype(np.int64)
+
+
 class Orders:
-    """Total orders of the tokens: rare tokens first, in an order of their own for each seed; then the frequent ones, the less frequent first.
+    """Total orders of the tokens: those of buckets that aren't full first, in an order of their own for each seed; then the others, those of less full buckets first.
+
+    The counts decide how long lists of documents get, never what is found: any total order gives a valid prefix filter."""
+
+    def __init__(self, buckets: np.ndarray, counts: np.ndarray):
+        self.full = np.zeros(BUCKETS, np.uint32)
+        self.full[buckets] = np.minimum(counts, 2**31)
 
-    The frequent ones decide how long lists of documents get, never what is found: any total order gives a valid prefix filter."""
+    def __getstate__(self):
+        at = np.flatnonzero(self.full)
+        return at, self.full[at]
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        at = np.argsort(tokens)
-        self.tokens, self.counts = tokens[at].astype(np.uint64), counts[at].astype(np.uint64)
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     def ranks(self, found: np.ndarray, seed: int) -> np.ndarray:
         key = mix(found, seed) >> np.uint64(1)
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, found), len(self.tokens) - 1)
-            often = self.tokens[at] == found
-            key[often] = np.uint64(1 << 63) | (np.minimum(self.counts[at[often]], np.uint64(2**39)) << np.uint64(23)) | (key[often] >> np.uint64(40))
+        counts = self.full[bucket(found)]
+        often = counts > 0
+        key[often] = np.uint64(1 << 63) | (counts[often].astype(np.uint64) << np.uint64(31)) | (key[often] >> np.uint64(32))
         return key
 
     def prefix(self, found: np.ndarray, seed: int) -> np.ndarray:
