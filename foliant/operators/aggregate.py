@@ -108,3 +108,17 @@ def actions(all_names: DataFrame, names: DataFrame) -> DataFrame:
     rows = all_names.where("name <> ''").select("doc_id", "name").distinct().withColumn("key", F.lower("name")).join(names, ["doc_id", "key"], "left")
     by = rows.groupBy("doc_id", F.coalesce("canonical", "name").alias("canonical")).agg(F.array_sort(F.collect_set("name")).alias("variants")).where("size(variants) > 1")
     return by.withColumn("action", F.concat(F.lit('Merged name variants into "'), "canonical", F.lit('": '), F.array_join("variants", ", ")))
+
+
+def page_totals(calls: DataFrame) -> DataFrame:
+    """AGG7: of each page, the calls and seconds of its people."""
+    return calls.groupBy("doc_id", "page").agg(F.sum("model_calls").alias("model_calls"), F.sum("repair_calls").alias("repair_calls"), F.bround(F.sum("elapsed_seconds"), 2).alias("elapsed_seconds"))
+
+
+def stage_summary(pages: DataFrame) -> DataFrame:
+    """AGG13: of each document, how a stage stands, from rows (doc_id, page, state) with the states done, skipped and error; a document whose only row has no page has none to work on."""
+    n = lambda state: F.count_if(F.col("state") == state)
+    total = F.count("page")
+    by = pages.groupBy("doc_id").agg(total.alias("total_pages"), n("done").alias("completed_pages"), n("skipped").alias("skipped_pages"), n("error").alias("error_pages"))
+    status = F.when(F.col("total_pages") == 0, "empty").when(F.col("error_pages") > 0, "partial_with_errors").when(F.col("completed_pages") + F.col("skipped_pages") == F.col("total_pages"), "complete").otherwise("partial")
+    return by.withColumn("status", status)

@@ -130,3 +130,19 @@ def resolved(asked: DataFrame, listed: DataFrame) -> DataFrame:
     found = asked.withColumn("__key", F.lower(F.trim("name"))).join(known, [*PAGE, "__key"], "left").drop("__key")
     gone = F.raise_error(F.concat(F.lit("no such person on the page: "), F.coalesce("name", F.lit("")))).cast("string")
     return found.withColumn("person", F.when(F.col("person").isNull(), gone).otherwise(F.col("person")))
+
+
+def with_text(listed: DataFrame, pages: DataFrame) -> DataFrame:
+    """JN3: a row a person of each page, with the page's columns; pages without people give none."""
+    return listed.select(*PAGE, F.col("ord").alias("person_ord"), "name").join(pages, PAGE)
+
+
+def upserted(stored: DataFrame, new: DataFrame, listed: DataFrame) -> DataFrame:
+    """JN14: the records of a page's people (doc_id, page, name, record) after one or more have been made anew; a new record takes the place of one of the same name, whatever its case.
+    nth: people in the order of the page's list first, then the others by name."""
+    both = stored.select(*PAGE, "name", "record", F.lit(0).alias("version")).unionByName(new.select(*PAGE, "name", "record", F.lit(1).alias("version")))
+    by = W.partitionBy(*PAGE, F.lower("name")).orderBy(F.desc("version"), "name")
+    last = both.withColumn("again", F.row_number().over(by)).where("again = 1").withColumn("__key", F.lower("name"))
+    at = listed.groupBy(*PAGE, F.lower("name").alias("__key")).agg(F.min("ord").alias("at"))
+    nth = F.row_number().over(W.partitionBy(*PAGE).orderBy(F.col("at").asc_nulls_last(), "__key"))
+    return last.join(at, [*PAGE, "__key"], "left").select(*PAGE, nth.alias("nth"), "name", "record")

@@ -377,3 +377,38 @@ def test_cli(spark, root, capsys):
     for args, want in ((["normalize", "name", "the slave amina"], '"Amina"'), (["normalize", "date", "17th May", "--year", "1931"], "1931-05-17"), (["compare", "Faraj", "Salim"], "false"), (["--root", str(root), "documents"], '"Doc A"'), (["--root", str(root), "pages", "Doc A", "--stage", "meta"], "2"), (["--root", str(root), "aggregate", "Doc A"], '"unique_people": 1')):
         assert cli.main(args) == 0
         assert want in capsys.readouterr().out
+
+
+def test_people_of_pages_and_upserts(spark):
+    listed = candidates(spark, [("Faraj", ""), ("Ali", "")]).select("doc_id", "page", "ord", "name")
+    pages = spark.createDataFrame([("d", 1, "text"), ("d", 2, "none")], "doc_id string, page int, text string")
+    assert {(r.page, r.name, r.text) for r in people.with_text(listed, pages).collect()} == {(1, "Faraj", "text"), (1, "Ali", "text")}
+    record = "doc_id string, page int, name string, record string"
+    stored = spark.createDataFrame([("d", 1, "Ali", "old"), ("d", 1, "Zaid", "z"), ("d", 1, "Bilal", "b")], record)
+    new = spark.createDataFrame([("d", 1, "ALI", "new"), ("d", 1, "Faraj", "f")], record)
+    assert [(r.name, r.record) for r in people.upserted(stored, new, listed).orderBy("nth").collect()] == [("Faraj", "f"), ("ALI", "new"), ("Bilal", "b"), ("Zaid", "z")]
+
+
+def test_totals_and_summaries(spark):
+    calls = spark.createDataFrame([("d", 1, 2, 1, 1.25), ("d", 1, 4, 0, 2.5)], "doc_id string, page int, model_calls int, repair_calls int, elapsed_seconds double")
+    assert tuple(aggregate.page_totals(calls).first()) == ("d", 1, 6, 1, 3.75)
+    rows = [("a", 1, "done"), ("a", 2, "skipped"), ("b", 1, "done"), ("b", 2, "error"), ("c", 1, "done"), ("c", 2, "pending"), ("e", None, None)]
+    got = {r.doc_id: r.status for r in aggregate.stage_summary(spark.createDataFrame(rows, "doc_id string, page int, state string")).collect()}
+    assert got == {"a": "complete", "b": "partial_with_errors", "c": "partial", "e": "empty"}
+
+
+def test_events_as_a_stream(spark, tmp_path):
+    from foliant.streaming import events
+
+    folder = tmp_path / "events"
+    folder.mkdir()
+    lines = [{"seq": i, "job_id": "j", "page": 1 + i % 2, "stage": "names", "state": s, "ts": f"2020-01-01T00:00:0{i}Z"} for i, s in enumerate(["running", "running", "done", "failed"])]
+    for i in (0, 2):  # a file a batch of events
+        (folder / f"{i}.json").write_text("\n".join(map(json.dumps, lines[i : i + 2])))
+    states = events.stage_states(events.read_events(spark, str(folder)))
+    query = states.writeStream.outputMode("complete").format("memory").queryName("stage_states_test").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {r.page: (r.state, r.started_at is not None, r.finished_at is not None) for r in spark.table("stage_states_test").collect()}
+    assert got == {1: ("done", True, True), 2: ("failed", True, True)}
+    same = events.stage_states(spark.read.schema(events.EVENTS).json(str(folder)))
+    assert {r.page: r.state for r in same.collect()} == {1: "done", 2: "failed"}
