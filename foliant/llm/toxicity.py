@@ -19,7 +19,7 @@ from .common import Stash, table, text_of
 from .hashed import grams, sampled
 from .slices import sliced
 
-SIZES, BITS, SAMPLE, KEPT, SMOOTH, PENALTY, LIMIT = (3, 4, 5, 6), 18, 6000, 4000, 1.0, 0.005, 0.7
+SIZES, BITS, SAMPLE, KEPT, SMOOTH, PENALTY, BALANCE, LIMIT = (3, 4, 5, 6), 18, 6000, 4000, 1.0, 0.005, 0.5, 0.7
 
 
 def _characters(text: str | None) -> np.ndarray:
@@ -60,14 +60,17 @@ def _chosen(at):
     return run
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient steps."""
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300, balance: float = BALANCE) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated gradient steps; a row of label 1 counts as much more as the other label has more rows, to the power balance."""
     n, d = x.shape
+    ones = max(1, int(y.sum()))
+    own = np.where(y == 1, max(1, n - ones) / ones, 1.0) ** balance
+    own = (own / own.mean()).astype(np.float32)
     w, b, v, c = np.zeros(d, np.float32), 0.0, np.zeros(d, np.float32), 0.0
-    step = 1.0 / (0.25 * float(np.einsum("ij,ij->", x, x) / n + 1) + penalty)
+    step = 1.0 / (0.25 * float(np.einsum("ij,ij,i->", x, x, own) / n + own.max()) + penalty)
     for k in range(rounds):
         wz, bz = w + k / (k + 3) * v, b + k / (k + 3) * c
-        err = (1 / (1 + np.exp(-np.clip(x @ wz + bz, -30, 30))) - y).astype(np.float32)
+        err = ((1 / (1 + np.exp(-np.clip(x @ wz + bz, -30, 30))) - y) * own).astype(np.float32)
         new, newb = wz - step * (x.T @ err / n + penalty * wz), bz - step * float(err.mean())
         v, c, w, b = new - w, newb - b, new, newb
     return w, b
