@@ -160,12 +160,18 @@ def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return both.where(f"size(x) <> size(y) or {differ} <= n - 2 * ceil(3 * n / 7.0)").select("a", "b").distinct()
 
 
-def among(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows whose column is among the wanted keys, and some others whose hashes meet theirs; nulls count as a value."""
+def _marked(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """rows with __hit: whether the column's hash meets that of a wanted key, by a map that is broadcast; it is true for every wanted key, and for some others."""
     cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
     mask = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {CELLS}) % 64 as int))")
     cells = wanted.groupBy(F.shiftright(cell(key), 6).alias("__place")).agg(F.bit_or(mask(key)).alias("__cells"))
-    return rows.join(F.broadcast(cells), cells["__place"] == F.shiftright(cell(column), 6)).where(F.col("__cells").bitwiseAND(mask(column)) != 0).select(*rows.columns)
+    both = rows.join(F.broadcast(cells), cells["__place"] == F.shiftright(cell(column), 6), "left")
+    return both.withColumn("__hit", F.coalesce(F.col("__cells").bitwiseAND(mask(column)) != 0, F.lit(False))).drop("__place", "__cells")
+
+
+def among(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose column is among the wanted keys, and some others whose hashes meet theirs; nulls count as a value."""
+    return _marked(rows, column, wanted, key).where("__hit").drop("__hit")
 
 
 class _Join:
@@ -300,16 +306,22 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     best = classes.groupBy("component").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "sig")).alias("best")).select("best.sig", F.col("best.rep").alias("rep"))
     kept = rows.join(best.withColumn("best", F.lit(True)), "sig", "left").where((F.col("n") == 0) | F.col("best") & F.col("id").eqNullSafe(F.col("rep"))).select("id", "sig", "n")
     times = rows.groupBy(F.col("id").alias("of")).agg(F.count("*").alias("times"))
-    kept = stash.only(kept.join(times, F.col("id").eqNullSafe(F.col("of"))).select("id", "sig", "n", "times"))
-    key = F.col(f"`{id_col}`").cast("long")
+    kept = stash(kept.join(times, F.col("id").eqNullSafe(F.col("of"))).select("id", "sig", "n", "times"), "kept")
+    rows = stash(rows.select("id"), "rows")
+    stash.clear(*(x for _, x in list(stash.paths.values()) if x is not kept and x is not rows))
+    # Rows are dealt by id only if theirs goes, repeats or is null, as far as a map of those ids tells.
+    odd = kept.where("times > 1 or id is null")
     alone = kept.where("times = 1 and id is not null").select("id")
-    sure = docs.join(alone, key == alone["id"], "left_semi")
+    doubtful = rows.select("id").join(alone, "id", "left_anti").distinct()
+    doubtful = doubtful.unionByName(odd.select("id"))
+    marked = _marked(docs.withColumn("__id", F.col(f"`{id_col}`").cast("long")), "__id", doubtful, "id")
+    sure, rest = marked.where("not __hit").drop("__id", "__hit"), marked.where("__hit").drop("__hit")
+    single = rest.join(alone, F.col("__id") == alone["id"], "left_semi").drop("__id")
     # Ids that repeat and null ids: the row's own text decides, and of rows that repeat whole one stays.
-    odd = kept.where("times > 1 or id is null")
-    some = docs.join(odd, key.eqNullSafe(odd["id"]), "left_semi").withColumn("__digest", _digest(text_of(F.col(f"`{text_col}`"))))
-    empty = some.where("__digest is null").drop("__digest")
-    full = some.join(odd.select("id", "sig"), key.eqNullSafe(odd["id"]) & (F.col("__digest") == odd["sig"]), "left_semi").dropDuplicates(["__digest"]).drop("__digest")
-    return sure.unionByName(empty).unionByName(full)
+    some = rest.join(odd, F.col("__id").eqNullSafe(odd["id"]), "left_semi").withColumn("__digest", _digest(text_of(F.col(f"`{text_col}`"))))
+    empty = some.where("__digest is null").drop("__digest", "__id")
+    full = some.join(odd.select("id", "sig"), F.col("__id").eqNullSafe(odd["id"]) & (F.col("__digest") == odd["sig"]), "left_semi").dropDuplicates(["__digest"]).drop("__digest", "__id")
+    return sure.unionByName(single).unionByName(empty).unionByName(full)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
