@@ -72,6 +72,6 @@ def test_small_batches_respect_the_user(spark):
         assert spark.conf.get(key) == "12345b"
         spark.conf.unset(key)
         small_batches(spark)
-        assert spark.conf.get(key) in ("8388608", "8388608b")
+        assert spark.conf.get(key) in ("4194304", "4194304b")
     finally:
         spark.conf.set(key, before)
