@@ -40,8 +40,8 @@ from .slices import sliced
 SEEDS = (0, 101, 202)
 #: Tokens that a task holds before it counts them, and digests that it keeps to tell copies; how many buckets are broadcast at most, and from how many classes on; tokens of a prefix that
 #: tell whether a pair came earlier.
-ROOM, MOST, FLOOR, EARLIER = 1 << 19, 1 << 18, 8, 16
-SALTS = 16
+ROOM, MOST, FLOOR, EARLIER = 1 << 19, 1 << 18, 8, 8
+SALTS, SPARE = 16, 2
 #: Bits of the maps of ids and tokens that are broadcast: at most CELLS / 64 rows, whatever the input.
 CELLS = 1 << 24
 SIGNED = "id long, n int, sig binary, bits array<long>, often array<long>, times array<int>"
@@ -104,18 +104,20 @@ def _signed(batches):
     give_back()
 
 
-def _lists(found: list[np.ndarray]) -> pa.Array:
+def _lists(found: list[np.ndarray], short: bool) -> pa.Array:
+    """Lists of tokens; short: of the upper halves of their names."""
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+    tokens = np.concatenate([np.empty(0, np.uint64), *found])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((tokens >> np.uint64(32)).astype(np.uint32).view(np.int32) if short else tokens.view(np.int64)))
 
 
-def _prefixes(orders, seeds):
+def _prefixes(orders, seeds, short: bool):
     """(sig, n, the prefix's tokens in each order) of each text that has a set."""
 
     def run(batches):
         for batch in sliced(batches, 0):
             sets = [s for s in (shingles(t.as_py()) for t in batch.column(0)) if len(s)]
-            tokens = [_lists([orders.value.prefix(s, seed).view(np.int64) for s in sets]) for seed in seeds]
+            tokens = [_lists([orders.value.prefix(s, seed) for s in sets], short) for seed in seeds]
             yield pa.RecordBatch.from_arrays([pa.array(map(_sig, sets), pa.binary()), pa.array(map(len, sets), pa.int32()), *tokens], names=["sig", "n", *(f"p{k}" for k in range(len(seeds)))])
         give_back()
 
@@ -191,11 +193,12 @@ class _Join:
         pairs = self.stash(plausible(pairs, self.bits), "plausible")
         cids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
         asked, texts = self.texts_of(cids)
-        schema = "sig binary, n int, " + ", ".join(f"p{k} array<long>" for k in range(len(SEEDS)))
-        held = texts.mapInArrow(_prefixes(self.orders, SEEDS), schema).join(asked.select("cid", "sig"), "sig")
+        schema = "sig binary, n int, " + ", ".join(f"p{k} array<int>" for k in range(len(SEEDS)))
+        held = texts.mapInArrow(_prefixes(self.orders, SEEDS, True), schema).join(asked.select("cid", "sig"), "sig")
         side = lambda x: held.select(F.col("cid").alias(x), F.col("n").alias(f"{x}n"), *(F.col(f"p{k}").alias(f"{x}{k}") for k in range(len(SEEDS))))
-        # Under each order: what two linked sets share up to the end of the prefix that ends first; beyond it there is the rest of that set.
-        enough = " and ".join(f"size(array_intersect(a{k}, b{k})) + ceil(0.75D * greatest(an, bn)) - 1 >= ceil(3 * (an + bn) / 7.0)" for k in range(len(SEEDS)))
+        # Under each order: what two linked sets share up to the end of the prefix that ends first; beyond it there is the rest of that set. Of shared tokens, up to SPARE may have
+        # the same half of a name as another one.
+        enough = " and ".join(f"size(array_intersect(a{k}, b{k})) + {SPARE} + ceil(0.75D * greatest(an, bn)) - 1 >= ceil(3 * (an + bn) / 7.0)" for k in range(len(SEEDS)))
         pairs = self.stash(pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b").distinct(), "intersected")
         cids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
         asked, texts = self.texts_of(cids)
@@ -254,34 +257,38 @@ def class_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     join = _Join(stash, texts, classes, orders)
 
     asked, own = join.texts_of(classes.select("cid"))
-    held = own.mapInArrow(_prefixes(orders, SEEDS[:1]), "sig binary, n int, p0 array<long>").join(asked.select("cid", "sig"), "sig").select("cid", "n", F.col("p0").alias("tokens"))
+    held = own.mapInArrow(_prefixes(orders, SEEDS[:1], False), "sig binary, n int, p0 array<long>").join(asked.select("cid", "sig"), "sig").select("cid", "n", F.col("p0").alias("tokens"))
     prefixes = stash(held, "prefixes", heavy=True)  # a row that repeats whole, id and text, has its class twice
     tokens = prefixes.select("cid", "n", F.posexplode("tokens").alias("pos", "token"))
-    shared = stash(tokens.groupBy("token").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("token"), "shared", heavy=True)
+    shared = stash(tokens.groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token"), "shared", heavy=True)
     lists = stash(among(tokens, "token", shared, "token").join(shared, "token").distinct(), "lists", heavy=True)
     stash.clear(prefixes, shared)
 
     comps = None
 
-    def placed(star: Column) -> DataFrame:
+    def placed(rows: DataFrame, star: Column) -> DataFrame:
         """Lists whose classes lie in several components, each with its star; without the rows after whose token too little follows for a link with any of the list."""
-        rows = lists.withColumn("comp", F.col("cid")) if comps is None else lists.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
+        rows = rows.select("token", "cid", "n", "pos")
+        rows = rows.withColumn("comp", F.col("cid")) if comps is None else rows.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
         several = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.min(F.struct(star, F.xxhash64("cid", "token"), "cid", "comp")).alias("star")).where("lo <> hi")
-        rows = rows.select("token", "cid", "comp", "n", "pos").join(several.select("token", "least", F.col("star.cid").alias("a"), F.col("star.comp").alias("acomp")), "token")
-        return stash(rows.where("n - pos >= ceil(3 * (n + greatest(least, ceil(0.75D * n))) / 7.0)").drop("least"), "placed")
+        rows = rows.join(several.select("token", "least", F.col("star.cid").alias("a"), F.col("star.comp").alias("acomp")), "token")
+        out = stash(rows.where("n - pos >= ceil(3 * (n + greatest(least, ceil(0.75D * n))) / 7.0)").drop("least"), "placed", heavy=True)
+        return out
 
+    near = lists  # components only grow and lists only shrink, so what goes once is gone
     for star in (F.col("pos"), F.lit(0)):
-        near = placed(star)
+        before, near = near, placed(near, star)
+        stash.clear(before)
         comps = join.joined(comps, join.links(near.where("comp <> acomp").select("a", F.col("cid").alias("b")).distinct()))
-        stash.clear(near)
-    near = placed(F.lit(0))
+    before, near = near, placed(near, F.lit(0))
+    stash.clear(before)
     first = near.groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "token"))), 1, EARLIER).alias("first"))
     rows = near.drop("a", "acomp").join(first, "cid").withColumn("before", F.expr("transform(filter(first, t -> t.pos < pos), t -> t.token)")).drop("first")
     x, y = (rows.select("token", *(F.col(c).alias(p + c) for c in ("cid", "comp", "n", "pos", "before"))) for p in "xy")
     reach = "least(xn - xpos, yn - ypos) >= ceil(3 * (xn + yn) / 7.0)"
     pairs = x.join(y, "token").where(f"xcid < ycid and xcomp <> ycomp and 4 * least(xn, yn) >= 3 * greatest(xn, yn) and {reach} and not arrays_overlap(xbefore, ybefore)")
     comps = join.joined(comps, join.links(pairs.select(F.col("xcid").alias("a"), F.col("ycid").alias("b")).distinct()))
-    stash.clear(near, lists)
+    stash.clear(near)
     found = classes.join(comps.select(F.col("id").alias("cid"), "component"), "cid", "left").select("sig", "cid", "n", "rep", F.coalesce("component", "cid").alias("component"))
     return stash, sets.select("id", "n", "sig"), found
 
