@@ -92,6 +92,7 @@ def train(spark: SparkSession, rated: DataFrame, id_col: str, text_col: str, gra
     x, y = np.empty((n, FEATURES), np.float16), np.empty(n)
     for i, row in enumerate(seen.orderBy("grade", F.xxhash64("x")).toLocalIterator()):
         x[i], y[i] = np.frombuffer(row["x"], np.float16), row["grade"]
+    stash.clear(seen)
     return fit(x, y)
 
 

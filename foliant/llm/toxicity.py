@@ -107,6 +107,7 @@ def train(spark: SparkSession, labelled: DataFrame, id_col: str, text_col: str,
     at = np.argsort(-clear, kind="stable")[:KEPT]
     at = np.sort(at[clear[at] > 2.5])
     fed = seen.mapInArrow(_chosen(at), "y int, features array<int>").toPandas()
+    stash.clear(seen)
     fed["f"] = [tuple(x) for x in fed["features"]]
     fed = fed.sort_values(["y", "f"])
     x = np.zeros((len(fed), len(at)), np.float32)
