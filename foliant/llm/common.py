@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -73,7 +74,9 @@ class Stash:
         self.paths[id(back)] = (path, back)
         if heavy:
             gc.collect()
-            self.spark._jvm.System.gc()
+            for _ in range(2):  # the second call follows what the first has queued
+                self.spark._jvm.System.gc()
+                time.sleep(0.2)
         return back
 
     def clear(self, *frames: DataFrame) -> None:

@@ -16,7 +16,7 @@ Every string of LENGTH bytes is in one segment, so nothing is missed. Each task
 itself, so a passage in a third of all documents gives a row a batch.
 
 Ranks have 64 bits; rows are compared below an equal rank of an anchor, and single positions by two ranks made in different ways, so that strings that
-share nothing would have to agree in 128 bits to count as equal.
+share nothing would have to agree in 96 bits at least to count as equal.
 
 Nulls in text: empty. Documents with a null id take no part and come last with nothing removed. Rows that repeat an id with the same text are one document, whose rows all have its
 result; with other texts they are documents of their own, in the order of a hash of the text. Extra columns are not read. Empty tables give no rows.
@@ -173,7 +173,7 @@ def _positions(docs, poss, ranks):
     (doc, tag), pos, (rank, check) = np.concatenate(docs).T, np.concatenate(poss), np.concatenate(ranks, axis=1)
     keep = _first_of(rank, tag, doc, pos)
     key = np.where(keep, rank, mix(doc.view(np.uint64)))
-    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(check.view(np.int64)), pa.array(~keep), pa.array(doc), pa.array(tag), pa.array(pos)], names=["rank", "check", "again", "doc", "tag", "pos"])
+    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(~keep), pa.array(doc), pa.array(tag), pa.array(pos)], names=["rank", "check", "again", "doc", "tag", "pos"])
 
 
 def _cut(batches):
@@ -207,10 +207,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     stash = Stash(spark)
     text = text_of(F.col(f"`{text_col}`"))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
-    # Rows that repeat whole take part once; they are set apart, so that the others needn't be dealt by id.
-    again = stash(texts.where("id is not null").groupBy("id", "tag").agg(F.count("*").alias("n")).where("n > 1").select("id", "tag"), "again")
+    # Rows that repeat whole take part once; they are set apart, so that the others needn't be dealt by id. Where no id has several texts, the hash needn't be told.
+    repeats = stash(texts.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("n > 1"), "repeats")
+    if repeats.where("lo <> hi").isEmpty():
+        texts = texts.withColumn("tag", F.lit(0).cast("long"))
     own = texts
-    if not again.isEmpty():
+    if not repeats.isEmpty():
+        again = texts.join(repeats.select("id"), "id", "left_semi").groupBy("id", "tag").agg(F.count("*").alias("n")).where("n > 1").select("id", "tag")
         own = texts.join(again, ["id", "tag"], "left_anti").unionByName(texts.join(again, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]))
     segments = own.mapInArrow(_scan, "anchor long, rank long, sides long, doc long, tag long, span long")
     by = W.partitionBy("anchor")
@@ -223,7 +226,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     edges = found.where("not again").groupBy(F.col("doc").alias("id"), "tag").agg(F.collect_list(F.struct("span", "left", "right")).alias("spans"))
     asked = own.join(edges, ["id", "tag"]).select("id", "tag", "text", "spans")
-    places = asked.mapInArrow(_half_ranks, "rank long, check long, again boolean, doc long, tag long, pos long")
+    places = asked.mapInArrow(_half_ranks, "rank long, check int, again boolean, doc long, tag long, pos long")
     place = W.partitionBy("rank", "check", "again").orderBy("doc", "tag", "pos")
     twice = places.withColumn("nth", F.row_number().over(place)).where("again or nth > 1")
     # Neighbouring starts become one span before they are gathered.
