@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, lattice, mixing, ngram_join, pii, quality, suffix_dedup, telephony, toxicity
+from . import bpe, fill_middle, html_text, lattice, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, telephony, toxicity, vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         suffix_dedup.op8_suffix_array_dedup,
         mixing.op9_mix_sources,
         toxicity.op10_toxicity,
+        line_dedup.op11_line_dedup,
+        vector_codes.op12_vector_codes,
+        fill_middle.op13_fill_in_middle,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_line_dedup": line_dedup.SQL, "op12_vector_codes": vector_codes.SQL, "op13_fill_in_middle": fill_middle.SQL}
