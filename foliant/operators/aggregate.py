@@ -9,7 +9,8 @@ from pyspark.sql.window import Window as W
 from foliant.functions import columns as C
 from foliant.functions import plain
 from foliant.functions import scalar as S
-from foliant.operators.folds import canonical_names, fold_places
+from foliant.operators.clusters import canonical_names
+from foliant.operators.folds import fold_places
 from foliant.plans.dialect import SPARK
 
 #: Columns of the three tables.

@@ -1,13 +1,10 @@
-"""Operators that follow the order of their rows: the place fold, and first-fit clusters of names."""
+"""The place fold: an operator that follows the order of its rows."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions import plain
-
 _ROW = "ord bigint, name string, place string, pos int, arrival string, confidence string, time string, evidence string"
 _RANK = "case {r}.confidence when 'unknown' then 1 when 'derived_from_doc' then 2 when 'explicit' then 3 else 0 end"
 
@@ -34,20 +31,3 @@ def fold_places(rows: DataFrame, *keys: str) -> DataFrame:
     out = grouped.select(*keys, F.expr(folded).alias("r")).select(*keys, "r.*").where("pos >= 0")
     by = ", ".join([*keys, "pos > 0"])
     return out.withColumn("pos", F.expr(f"if(pos > 0, cast(row_number() over (partition by {by} order by pos, arrival, lower(place), ord) as int), 0)"))
-
-
-def canonical_names(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, name, canonical, cluster) for the distinct normalised names of each document, in the order of ord: a name joins the first cluster with a member that it matches, and the
-    cluster is called by its first member. Repeats are dropped before names meet, so a task holds a document's spellings and not its rows."""
-
-    def clusters(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        names = list(pdf["name"])
-        home, first = [0] * len(names), [""] * len(names)
-        for nth, members in enumerate(plain.clusters(names)):
-            for i in members:
-                home[i], first[i] = nth, names[members[0]]
-        return pdf.assign(canonical=first, cluster=home)[[key, "name", "canonical", "cluster"]]
-
-    first = rows.where("name <> ''").groupBy(key, "name").agg(F.min("ord").alias("ord"))
-    return first.groupBy(key).applyInPandas(clusters, f"{key} {dict(rows.dtypes)[key]}, name string, canonical string, cluster int")

@@ -21,6 +21,7 @@ from foliant.functions import columns as C
 from foliant.functions import plain
 from foliant.functions import scalar as S
 from foliant.operators import images, people, places
+from foliant.operators.steps import written
 from foliant.plans.dialect import SPARK
 
 REPLIES = "prompt_hash string, response string, error string, seconds double"
@@ -141,7 +142,7 @@ def classify(desk: Desk, pages: DataFrame, prompt: str, forced: str | None = Non
 
 def names(desk: Desk, pages: DataFrame, prompts: dict[str, str]) -> dict[str, DataFrame]:
     """LM3-LM7: the candidates of each page after pass1, pass1_filter, recall, recall_filter, merged, verify and rule_filter, and removed, the audit of all of them.
-    prompts: pass1, recall, filter, verify. Each page costs five calls, whatever is found."""
+    prompts: pass1, recall, filter, verify. Each page costs five calls, whatever is found. Each pass is written before the next one reads it."""
     out: dict[str, DataFrame] = {}
     text = C.page_text("text")
 
@@ -154,17 +155,18 @@ def names(desk: Desk, pages: DataFrame, prompts: dict[str, str]) -> dict[str, Da
         return people.restricted(people.from_replies(desk.ask(listed, prompt, BUDGETS[kind], FORMS["names"])), before)
 
     for stage in ("pass1", "recall"):
-        out[stage] = free(stage)
-        out[f"{stage}_filter"] = asked(f"{stage}_filter", "filter", out[stage])
+        out[stage] = written(free(stage))
+        out[f"{stage}_filter"] = written(asked(f"{stage}_filter", "filter", out[stage]))
     both = people.union(out["pass1_filter"], out["recall_filter"])
-    out["merged"] = people.merged(both)
-    out["verify"] = asked("verify", "verify", out["merged"])
-    out["rule_filter"], gone = people.rule_filter(out["verify"], pages)
+    out["merged"] = written(people.merged(both))
+    out["verify"] = written(asked("verify", "verify", out["merged"]))
+    out["rule_filter"], gone = map(written, people.rule_filter(out["verify"], pages))
     audits = [people.removed(out[s], out[f"{s}_filter"], f"{s}_filter") for s in ("pass1", "recall")] + [people.merge_audit(both, out["merged"]), people.removed(out["merged"], out["verify"], "verify"), gone]
     columns = [*people.PAGE, "ord", "name", "evidence", "stage", "reason_type", "reason", "excerpt"]
     out["removed"] = audits[0].select(columns)
     for a in audits[1:]:
         out["removed"] = out["removed"].unionByName(a.select(columns))
+    out["removed"] = written(out["removed"])
     return out
 
 
@@ -184,22 +186,23 @@ def routes(desk: Desk, persons: DataFrame, prompts: dict[str, str]) -> dict[str,
     fill = lambda kind, **more: C.filled(F.lit(prompts[kind]), name=F.col("name"), page=F.col("page"), **more, ocr=F.col("__text"))
     first = places.candidates(desk.ask(persons, fill("place_pass"), BUDGETS["place_pass"]))
     second = places.final(desk.ask(persons, fill("place_recall"), BUDGETS["place_recall"]))
-    out["candidates"] = places.folded(first, second)
+    out["candidates"] = written(places.folded(first, second))
     some = persons.join(places.for_prompt(out["candidates"]), keys)
 
     def verified(rows: DataFrame, extra: Column) -> DataFrame:
         return places.final(desk.ask(rows, F.concat(fill("place_verify", candidate_places_json=F.col("places_json")), extra), BUDGETS["place_verify"]))
 
-    once = verified(some, F.lit(""))
+    once = written(verified(some, F.lit("")))
     checks = some.select(*keys).join(places.gathered(once), keys, "left").withColumn("issue", issue("rows"))
     wrong = some.join(checks.where("issue is not null").select(*keys, "issue"), keys)
     twice = verified(wrong, F.concat(F.lit("\nIssues to fix:\n- "), F.col("issue")))
     last = twice.unionByName(once.join(wrong.select(*keys), keys, "left_anti"))
     # An empty answer leaves the candidates.
-    out["verify"] = last.unionByName(out["candidates"].select(last.columns).join(last.select(*keys).distinct(), keys, "left_anti"))
+    last = written(last)
+    out["verify"] = written(last.unionByName(out["candidates"].select(last.columns).join(last.select(*keys).distinct(), keys, "left_anti")))
     base = persons.join(places.for_prompt(out["verify"]), keys)
     more = places.final(desk.ask(base, fill("place_date", places_json=F.col("places_json")), BUDGETS["place_date"]))
-    out["enrich"] = places.enriched(out["verify"], more)
+    out["enrich"] = written(places.enriched(out["verify"], more))
     out["reconciled"] = places.reconciled(out["enrich"], persons.select("doc_id", "page", "text", "doc_year").dropDuplicates(["doc_id", "page"]))
     return out
 

@@ -221,7 +221,7 @@ def folded_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def canonical_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-fit clusters of the names of each document."""
-    from foliant.operators.folds import canonical_names
+    from foliant.operators.clusters import canonical_names
 
     for t in ("orders", "customer", "lineitem"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)

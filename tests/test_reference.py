@@ -5,7 +5,8 @@ import pytest
 
 import __spark_entry__
 from foliant.functions import scalar as S
-from foliant.operators.folds import canonical_names, fold_places
+from foliant.operators.clusters import canonical_names
+from foliant.operators.folds import fold_places
 from foliant.plans import catalogue
 from foliant.plans.dialect import SPARK
 
