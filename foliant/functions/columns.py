@@ -166,10 +166,6 @@ same_person = arrow(lambda a, b: plain.same_person(a or "", b or ""), "boolean")
 accents_off = arrow(plain.bare, "string")
 normal_name = arrow(plain.name, "string")
 normal_place = arrow(plain.place, "string")
-_rows = lambda rows: [r.asDict() if hasattr(r, "asDict") else r for r in rows or []]
-folded_places = arrow(lambda rows: plain.folded(_rows(rows)), f"array<{PLACE}>")
-enriched_places = arrow(lambda rows, more: plain.enriched(_rows(rows), _rows(more)), f"array<{PLACE}>")
-reconciled_places = arrow(lambda rows, page, person, year: plain.reconciled(_rows(rows), page, person or "", year), f"array<{PLACE}>")
 
 
 def register(spark: SparkSession) -> list[str]:

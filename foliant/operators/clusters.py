@@ -8,7 +8,7 @@ are alike. Names of one first word are dealt into chunks of at most about CHUNK
 characters and words is computed for all pairs of two chunks at once; only pairs that the bounds leave are compared letter by letter. Bounds never exclude a match,
 so the links are those of comparing all pairs. Documents of at most CHUNK spellings are clustered in one task each, by the same comparison.
 
-Null and empty names are left out; repeats of a name count once, at its least ord; names without a word to compare are clusters of their own."""
+Null and empty names are left out; repeats of a name count once, at its least ord; of names of one ord the first by letter comes first; names without a word to compare are clusters of their own."""
 
 from __future__ import annotations
 
@@ -195,11 +195,12 @@ def beginners(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def canonical_names(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, name, canonical, cluster) for the distinct normalised names of each document, in the order of ord: canonical is the name that began the cluster, cluster its ord."""
+    """(key, name, canonical, cluster) for the distinct normalised names of each document, in the order of ord: canonical is the name that began the cluster, cluster its number, which grows in that order."""
     kind = dict(rows.dtypes)[key]
     marked = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))  # a null key is a document too
-    once = rows.where("name <> ''").groupBy(marked.alias("__doc"), "name").agg(F.min("ord").cast("bigint").alias("ord"))
-    once = written(once)
+    once = rows.where("name <> ''").groupBy(marked.alias("__doc"), "name").agg(F.min("ord").alias("__at"))
+    # Numbers in the order of ord, of equal ones by name; a document's names may lie in several partitions.
+    once = written(once.orderBy("__doc", "__at", "name").select("__doc", F.monotonically_increasing_id().alias("ord"), "name"))
     many = once.groupBy("__doc").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("__doc")
     some = not many.isEmpty()
     small = (once.join(many, "__doc", "left_anti") if some else once).groupBy("__doc").applyInPandas(_small, "__doc string, ord bigint, begun bigint")

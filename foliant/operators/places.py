@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import columns as C
+from foliant.operators import routes
 
 KEYS = ["doc_id", "page", "name"]
 FIELDS = ["place", "order", "arrival_date", "date_confidence", "time_info", "evidence"]
@@ -40,19 +41,17 @@ def folded(*tables: DataFrame) -> DataFrame:
     for i, t in enumerate(tables):
         t = t.select(*KEYS, (F.col("ord") + F.lit(i) * F.lit(1 << 32)).cast("long").alias("ord"), *FIELDS)
         out = t if out is None else out.unionByName(t)
-    return _spread(gathered(out).withColumn("rows", C.folded_places("rows")))
+    return routes.folded(out)
 
 
 def enriched(rows: DataFrame, more: DataFrame) -> DataFrame:
     """JN10: dates where there are none and longer words of time, from rows of the same place; folded again."""
-    both = gathered(rows).join(gathered(more).withColumnRenamed("rows", "more"), KEYS, "left")
-    return _spread(both.withColumn("rows", C.enriched_places("rows", "more")))
+    return routes.enriched(rows, more)
 
 
 def reconciled(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows in the order of a route. pages: doc_id, page, text, doc_year."""
-    both = gathered(rows).join(pages.select("doc_id", "page", "text", "doc_year"), ["doc_id", "page"], "left")
-    return _spread(both.withColumn("rows", C.reconciled_places("rows", "text", "name", "doc_year")))
+    return routes.reconciled(rows, pages)
 
 
 def for_prompt(rows: DataFrame) -> DataFrame:

@@ -88,3 +88,12 @@ def test_pairs_are_cut_before_letters_are_compared():
     for _ in range(3000):
         i, j = sorted(rng.sample(range(len(names)), 2))
         assert ((j, i) in found) == plain.same_person(names[j], names[i])
+
+
+def test_names_of_one_place_in_the_order(spark, monkeypatch):
+    """Equal ord: the first by letter counts as the earlier, in small documents and in large ones."""
+    names = sorted(spellings(90, 6))
+    want = first_fit(names)
+    for chunk in (2048, 30):
+        monkeypatch.setattr(C, "CHUNK", chunk)
+        assert ran(spark, [("d", 7, n, 1, "") for n in names]) == {("d", n): c for n, c in want.items()}
