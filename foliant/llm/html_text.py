@@ -1,7 +1,8 @@
 """Main text of web pages: element subtrees that recur on many pages of a host go, and so do those that are named as furniture.
 
 Pages are parsed into flat lists of elements by a tolerant scan that reads each sign once. Every element's subtree has a hash of its tags and its text; Spark counts
-them per host and deletes those that stand on at least MIN_PAGES pages, in and outside of articles, wherever their class names stay silent. A host of many pages asks for more,
+them per host and deletes those that stand on at least MIN_PAGES pages, in and outside of articles, wherever their class names stay silent; a paragraph of an article that holds no other
+element stays, however often it is quoted. A host of many pages asks for more,
 in step with the root of its size (5 of 25 pages, 100 of 10,000), so that a section's menu goes on a hot host and a few copies of a page stay.
 Furniture goes by tag, role, class and id, too, for hosts with few pages: by class names that are furniture words as a whole (sidebar, site-footer; not
 page-with-sidebar or legal-analysis), never by one around an article or a heading of the first rank, nor, where a page has none of these, by one around most of its text (but for adverts and reader comments). Headers inside of an article or
@@ -213,18 +214,26 @@ def subtree_hashes(elements: list, items: list) -> list[int]:
     return out
 
 
+def _own(elements: list) -> list[bool]:
+    """Whether an element is an article or main element, or lies in one."""
+    own = [False] * len(elements)
+    for i, (tag, *_, parent) in enumerate(elements):
+        own[i] = tag in ("article", "main") or parent >= 0 and own[parent]
+    return own
+
+
 def main_text(page: str, recurring: set[int] = frozenset()) -> str:
     """Blocks of the text that lies in no furniture and in no subtree of a recurring hash."""
     elements, items = parse(page)
-    off, own = [False] * len(elements), [False] * len(elements)
-    for i, (tag, furniture, _, _, parent) in enumerate(elements):
+    off, own = [False] * len(elements), _own(elements)
+    for i, (_, furniture, _, _, parent) in enumerate(elements):
         off[i] = furniture > 0 or parent >= 0 and off[parent]
-        own[i] = tag in ("article", "main") or parent >= 0 and own[parent]
     gone = list(off)
     if recurring:
-        hashes = subtree_hashes(elements, items)
+        hashes, parents = subtree_hashes(elements, items), {e[4] for e in elements}
         for i, (tag, _, _, _, parent) in enumerate(elements):
-            gone[i] = off[i] or parent >= 0 and gone[parent] or hashes[i] in recurring and tag not in WHOLE
+            lone = own[i] and tag == "p" and i not in parents  # a paragraph of the article, which others may quote
+            gone[i] = off[i] or parent >= 0 and gone[parent] or hashes[i] in recurring and tag not in WHOLE and not lone
     for left in (gone, off):
         inside = _blocks(items, [a or not b for a, b in zip(left, own)])
         every = _blocks(items, left)
@@ -257,11 +266,12 @@ def _hashes(batches):
         hosts, pages, hashes = [], [], []
         for host, key, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             elements, items = parse(page.as_py())
-            off = [e[1] > 0 for e in elements]
-            found = {0}
+            off, own = [e[1] > 0 for e in elements], _own(elements)
+            parents, found = {e[4] for e in elements}, {0}
             for i, (h, e) in enumerate(zip(subtree_hashes(elements, items), elements)):
                 off[i] = off[i] or e[4] >= 0 and off[e[4]]
-                if h and e[0] in BLOCK and e[0] not in WHOLE and not off[i]:  # furniture goes anyway
+                lone = own[i] and e[0] == "p" and i not in parents
+                if h and e[0] in BLOCK and e[0] not in WHOLE and not off[i] and not lone:  # furniture goes anyway
                     found.add(h)
             hosts += [host] * len(found)
             pages += [key] * len(found)
@@ -286,11 +296,16 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", url_col: str = "
     rest = [c for c in pages.columns if c not in (html_col, "text")]
     src = pages.select(F.xxhash64(host).alias("__host"), F.xxhash64(host, page).alias("__page"), page.alias("__html"), *(F.col(f"`{c}`") for c in rest))
     held = stash(src.select("__host", "__page", "__html").mapInArrow(_hashes, "host long, page long, hash long"), "subtrees")
-    counts = held.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(f"pages >= {int(min_pages)}")
+    # Pages that stand in several rows of a host count once; where there are none, nothing is dealt out for it.
+    again = stash(held.where("hash = 0").groupBy("page").agg(F.count("*").alias("n")).where("n > 1").select("page"), "again")
+    once = held
+    if not again.isEmpty():
+        once = held.join(again, "page", "left_anti").unionByName(held.join(again, "page", "left_semi").distinct().select(*held.columns))
+    counts = once.groupBy("host", "hash").agg(F.count("*").alias("pages")).where(f"pages >= {int(min_pages)}")
     counts = stash(counts, "counts")
     total = counts.where("hash = 0").select("host", F.col("pages").alias("total"))
     often = counts.where("hash <> 0").join(total, "host").where(F.col("pages") >= F.sqrt(F.col("total") * F.lit(min_pages * share))).select("host", "hash")
-    marks = held.join(often, ["host", "hash"]).groupBy(F.col("page").alias("__page")).agg(F.collect_set("hash").alias("__hashes"))
+    marks = once.join(often, ["host", "hash"]).groupBy(F.col("page").alias("__page")).agg(F.collect_set("hash").alias("__hashes"))
     found = src.join(marks, "__page", "left").select(*(F.col(f"`{c}`") for c in rest), "__html", "__hashes")
     schema = found.drop("__html", "__hashes").withColumn("text", F.lit("").cast("string")).schema
     return found.mapInArrow(_extract, schema)

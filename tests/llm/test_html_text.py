@@ -96,3 +96,19 @@ def test_templates_of_a_section(spark):
     pages = [(i, "http://hot.org/x", shell.format(i, "<div>notice</div>" if i < 40 else "", "<div>rare</div>" if i >= 381 else "")) for i in range(400)]
     got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: f"page {i}" + ("\n\nrare" if i >= 381 else "") for i in range(400)}
+
+
+def test_rows_that_repeat_count_once(spark):
+    """Five equal rows make no template of a line that one other article has, too; nor do ten with ids of their own."""
+    page = lambda x, last: f"<html><body><article><h1>{x}</h1><div><p>{x} {x}.</p></div>{last}</article></body></html>"
+    for last in ("<p>Shared line of words.</p>", "<div><p>Shared line</p><p>of words.</p></div>"):
+        rows = [(k, "http://h.example/a", page("Alpha", last)) for k in range(5)] + [(9, "http://h.example/b", page("Beta", last))]
+        got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got[9].startswith("Beta") and "Shared line" in got[9] and got[9].rstrip(".").endswith("of words") and got[0] == got[4]
+
+
+def test_paragraphs_of_articles_stay_and_boxes_in_them_go(spark):
+    page = lambda k: f"<html><body><article><h1>Title {k}</h1><p>Own text of page {k}.</p><p>A passage that all quote.</p><div><p>More from</p><p>this site</p></div></article></body></html>"
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(12)]
+    for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"Title {r.page_id}\n\nOwn text of page {r.page_id}.\n\nA passage that all quote."
