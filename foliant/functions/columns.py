@@ -5,7 +5,6 @@ register() gives them names in SQL. Nulls count as empty texts unless said other
 from __future__ import annotations
 
 import functools
-import json
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -149,14 +148,75 @@ def checked(field: str, value, evidence) -> Column:
     return F.struct(status.alias("status"), message.alias("message"), raw.alias("input_value"), F.when(is_ok, good).otherwise("").alias("final_value"), F.when(is_ok, told).otherwise("").alias("evidence"))
 
 
+# --- replies in JSON ---
+
+#: Strings as a whole, brackets, and what lies between them; a quotation mark that nothing closes is a token, too.
+_TOKENS = r'(?s)"(?:[^"\\]++|\\.)*+"|[{}\[\]]|[^{}\[\]"]++|"'
+_FENCE = r"(?is)```(?:json)?\s*(.*?)```"
+#: A key that closes what a text is put into, so that nothing behind its first value is passed over.
+_CLOSE = "\u0001 end of the text"
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def balanced(c) -> Column:
+    """From the first bracket to the one that closes it; null if brackets cross or stay open. A fold over tokens: the brackets that are due, and the length so far."""
+    rest = lambda x: F.substring(x, F.regexp_instr(x, F.lit(r"[{\[]")), F.length(x))
+
+    def step(a: Column, t: Column) -> Column:
+        closes = t.isin("}", "]")
+        due = F.when(t == "{", F.concat(F.lit("}"), a["due"])).when(t == "[", F.concat(F.lit("]"), a["due"])).when(closes, F.substring(a["due"], 2, 1 << 30)).otherwise(a["due"])
+        state = F.when((t == '"') | closes & (F.left(a["due"], F.lit(1)) != t), 2).when(closes & (F.length(a["due"]) == 1), 1).otherwise(0)
+        return F.when(a["state"] != 0, a).otherwise(F.struct(due.alias("due"), (a["n"] + F.length(t)).alias("n"), state.alias("state")))
+
+    begin = F.struct(F.lit("").alias("due"), F.lit(0).alias("n"), F.lit(0).alias("state"))
+    cut = lambda text, end: F.when(end["state"] == 1, F.substring(text, F.lit(1), end["n"]))
+    of = lambda text: _let(F.aggregate(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), begin, step), lambda end: cut(text, end))
+    c = _column(c)
+    return F.when(F.regexp_instr(c, F.lit(r"[{\[]")) > 0, _let(rest(c), of))
+
+
+def json_value(c) -> Column:
+    """The value (VARIANT) of a text that is JSON as a whole; null if it isn't, and for null. An object that has a key twice isn't JSON here, nor are NaN and Infinity."""
+    put = F.concat(F.lit('{"v":'), _column(c), F.lit(f',"{_CLOSE}":0}}'.replace("\u0001", "\\u0001")))
+
+    def read(v: Column) -> Column:
+        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+        value = F.try_variant_get(v, "$.v", "variant")
+        return F.when((F.size(keys) == 2) & F.array_contains(keys, _CLOSE) & ~F.is_variant_null(value), value)
+
+    return _let(F.try_parse_json(put), read)
+
+
+def reply_value(c) -> Column:
+    """TX4: the value of a reply: the whole text, else what stands in its first fence, else its first balanced object or list; null if there is none."""
+    text = F.coalesce(_column(c), F.lit(""))
+    fence = F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1))
+    strip = lambda x: F.regexp_replace(x, f"^{S.SPACE}+|{S.SPACE}+\\z", "")
+    return F.coalesce(json_value(strip(text)), json_value(strip(fence)), json_value(balanced(fence)), json_value(balanced(text)))
+
+
+def found_json(c) -> Column:
+    """reply_value as text."""
+    return F.to_json(reply_value(c))
+
+
+def reply_items(value, key: str) -> Column:
+    """The objects of a reply's list."""
+    return F.filter(F.try_variant_get(value, f"$.{key}", "array<variant>"), lambda i: F.schema_of_variant(i).startswith("OBJECT"))
+
+
+def item_text(item, key: str) -> Column:
+    return F.coalesce(F.try_variant_get(item, f"$.{key}", "string"), F.lit(""))
+
+
 # --- in Python, an Arrow batch at a time ---
 
-found_json = arrow(lambda x: None if (v := plain.found_json(x)) is None else json.dumps(v, ensure_ascii=False), "string")
 _loads = lambda x: plain.found_json(x)
 page_decision = arrow(lambda x: plain.page_decision(_loads(x)), PAGE)
-named_people = arrow(lambda x: plain.named_people(_loads(x)), f"array<{PERSON}>")
-candidate_places = arrow(lambda x, person: plain.candidate_places(_loads(x), person or ""), f"array<{PLACE}>")
-final_places = arrow(lambda x, person, year: plain.final_places(_loads(x), person or "", year), f"array<{PLACE}>")
 detail_row = arrow(lambda x, person, page, kind, evidence: plain.detail_row(_loads(x), person or "", page, kind or "", evidence or ""), DETAIL)
 merged_people = arrow(lambda people: plain.merged([p.asDict() if hasattr(p, "asDict") else p for p in people or []]), f"array<{PERSON}>")
 decision = arrow(plain.decision, DECISION)
@@ -170,7 +230,7 @@ normal_place = arrow(plain.place, "string")
 
 def register(spark: SparkSession) -> list[str]:
     """Names of the functions, now known to SQL: Python's by their Arrow form, SQL's as functions of SQL."""
-    python = {"found_json": found_json, "page_decision": page_decision, "named_people": named_people, "candidate_places": candidate_places, "final_places": final_places, "name_decision": decision, "name_contexts": contexts, "first_date": first_date, "same_person": same_person}
+    python = {"page_decision": page_decision, "name_decision": decision, "name_contexts": contexts, "first_date": first_date, "same_person": same_person}
     for key, f in python.items():
         spark.udf.register(key, f.udf)
     own = {

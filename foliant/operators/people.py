@@ -10,6 +10,9 @@ from pyspark.sql.window import Window as W
 
 from foliant.functions import columns as C
 from foliant.functions import plain
+from foliant.functions import scalar as S
+from foliant.operators import routes
+from foliant.plans.dialect import SPARK
 
 PAGE = ["doc_id", "page"]
 AUDIT = "array<struct<name:string,evidence:string,stage:string,reason_type:string,reason:string,excerpt:string,kept_as:string>>"
@@ -18,8 +21,18 @@ FILTERED = ("llm_filtered", "Model filter did not keep this name.")
 
 
 def from_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """LM3, LM5 and AGG12: one candidate a name of each reply, in the order of the reply."""
-    return replies.select(*PAGE, F.posexplode(C.named_people(F.col(reply))).alias("ord", "p")).select(*PAGE, "ord", "p.name", "p.evidence")
+    """LM3, LM5 and AGG12: one candidate a name of each reply, in the order of the reply; a later one takes the place of an earlier one of its name if its name or its evidence is longer.
+    Equal replies about one page count once."""
+    value = replies.select(*PAGE, F.xxhash64(reply).alias("__r"), C.reply_value(F.col(reply)).alias("__v"))
+    items = value.select(*PAGE, "__r", F.posexplode(C.reply_items(F.col("__v"), "named_people")).alias("at", "i"))
+    told = routes.once(items.select(*PAGE, "__r", "at", C.item_text("i", "name").alias("raw"), C.item_text("i", "evidence").alias("said")), evidence=S.first_words(SPARK, "said"))
+    spelt = routes.once(routes.once(told.select(F.col("raw").alias("x")).distinct(), name=S.name(SPARK, "x")), fit=S.candidate_name(SPARK, "name")).where("fit")
+    named = told.join(spelt, told["raw"] == spelt["x"]).select(*PAGE, "__r", "at", "name", "evidence")
+    by = named.groupBy(*PAGE, "__r", F.lower("name")).agg(F.array_sort(F.collect_list(F.struct("at", "name", "evidence"))).alias("l"))
+    longer = lambda a, x: F.when((F.length(x["name"]) > F.length(a["name"])) | (F.length(x["evidence"]) > F.length(a["evidence"])), x).otherwise(a)
+    kept = by.select(*PAGE, "__r", F.col("l")[0]["at"].alias("at"), F.aggregate("l", F.col("l")[0], longer).alias("p"))
+    ord_ = F.row_number().over(W.partitionBy(*PAGE, "__r").orderBy("at")) - 1
+    return kept.select(*PAGE, ord_.alias("ord"), "p.name", "p.evidence")
 
 
 def key(name: str = "name") -> Column:

@@ -9,30 +9,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import columns as C
+from foliant.functions import scalar as S
 from foliant.operators import routes
+from foliant.plans.dialect import SPARK
 
 KEYS = ["doc_id", "page", "name"]
 FIELDS = ["place", "order", "arrival_date", "date_confidence", "time_info", "evidence"]
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    return rows.select(*KEYS, F.posexplode("rows").alias("ord", "r")).select(*KEYS, "ord", *(f"r.{c}" for c in FIELDS))
-
-
 def gathered(rows: DataFrame) -> DataFrame:
     """One row a person and page, with the place rows in order as rows."""
     one = F.array_sort(F.collect_list(F.struct("ord", "name", *FIELDS)))
     return rows.groupBy(*KEYS).agg(F.transform(one, lambda x: F.struct(x["name"].alias("name"), *(x[c].alias(c) for c in FIELDS))).alias("rows"))
 
 
+def _items(replies: DataFrame, reply: str, *more: str) -> DataFrame:
+    """The rows of each reply's places that have a valid place, in their order."""
+    value = replies.select(*KEYS, *more, C.reply_value(F.col(reply)).alias("__v"))
+    items = value.select(*KEYS, *more, F.posexplode(C.reply_items(F.col("__v"), "places")).alias("ord", "i"))
+    texts = [C.item_text("i", c).alias(f"__{c}") for c in ("place", "time_text", "evidence", "arrival_date", "date_confidence")]
+    rows = items.select(*KEYS, *more, F.col("ord").cast("long").alias("ord"), *texts, F.greatest(F.coalesce(F.try_variant_get("i", "$.order", "int"), F.lit(0)), F.lit(0)).alias("order"))
+    said = lambda c: S.cleaned(SPARK, S.spaced(SPARK, c))
+    rows = routes.once(rows, time_info=said("__time_text"), evidence=S.first_words(SPARK, "__evidence"), __day=said("__arrival_date"), __sure=said("__date_confidence"))
+    rows = routes.normal(rows.withColumnRenamed("__place", "__raw"), "__raw", "place", S.place(SPARK, "x"))
+    return rows.where(F.expr(S.valid_place(SPARK, "place")))
+
+
 def candidates(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Valid places of a reply, without order and dates, folded."""
-    return _spread(replies.withColumn("rows", C.candidate_places(F.col(reply), "name")))
+    none = F.lit("")
+    return routes.folded(_items(replies, reply).withColumns({"order": F.lit(0), "arrival_date": none, "date_confidence": none}).select(*KEYS, "ord", *FIELDS))
 
 
 def final(replies: DataFrame, reply: str = "reply", year: str = "doc_year") -> DataFrame:
-    """Places of a reply with order, date, confidence and words of time, folded."""
-    return _spread(replies.withColumn("rows", C.final_places(F.col(reply), "name", F.col(year))))
+    """Places of a reply with order, date, confidence and words of time, folded. What can't be read as a date goes into the words of time."""
+    rows = _items(replies.withColumn("__year", F.col(year).cast("int")), reply, "__year")
+    iso, sure = S.iso_date(SPARK, "d", "y")
+    days = rows.select(F.col("__day").alias("d"), F.col("__year").alias("y")).distinct()
+    days = routes.once(routes.once(days, arrival_date=iso), __read=sure)
+    dated = rows.join(days, F.col("__day").eqNullSafe(F.col("d")) & F.col("__year").eqNullSafe(F.col("y")))
+    unread = "__day <> '' and arrival_date = '' and instr(lower(time_info), lower(__day)) = 0"
+    told = dated.withColumns({
+        "date_confidence": F.expr(f"case when arrival_date = '' then '' when {S.one_of('__sure', S.CONFIDENCES)} then __sure else __read end"),
+        "time_info": F.expr(f"case when {unread} and time_info <> '' then concat(__day, '; ', time_info) when {unread} then __day else time_info end"),
+    })
+    return routes.folded(told.select(*KEYS, "ord", *FIELDS))
 
 
 def folded(*tables: DataFrame) -> DataFrame:

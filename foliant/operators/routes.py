@@ -24,7 +24,7 @@ FAR = plain.FAR
 AFTER = 1 << 48
 
 
-def _once(df: DataFrame, **made: str) -> DataFrame:
+def once(df: DataFrame, **made: str) -> DataFrame:
     """df with expressions over its columns; a generator, so that what reads them doesn't compute them again."""
     return df.select("*", F.inline(F.array(F.struct(*(F.expr(sql).alias(k) for k, sql in made.items())))))
 
@@ -35,21 +35,21 @@ def _java(pattern: str, flags: str = "idU") -> str:
 
 def normal(rows: DataFrame, column: str, out: str, sql: str) -> DataFrame:
     """rows with out, an expression over x, the text in column (null: empty); each distinct text is worked on once."""
-    once = _once(rows.select(F.coalesce(column, F.lit("")).alias("x")).distinct(), **{out: sql})
-    return rows.withColumn("__x", F.coalesce(column, F.lit(""))).join(once, F.col("__x") == F.col("x"), "left").drop("__x", "x")
+    each = once(rows.select(F.coalesce(column, F.lit("")).alias("x")).distinct(), **{out: sql})
+    return rows.withColumn("__x", F.coalesce(column, F.lit(""))).join(each, F.col("__x") == F.col("x"), "left").drop("__x", "x")
 
 
 def found_dates(texts: DataFrame, text: str = "text", year: str = "year") -> DataFrame:
     """DT4, DT5: texts with date (iso, confidence, raw, tried): of the patterns, in the order in which they count, the first that gives a date; else that of the whole text.
     tried are the patterns up to that one."""
     own = texts.select(F.coalesce(text, F.lit("")).alias("__t"), F.col(year).cast("int").alias("__y")).distinct()
-    own = _once(own, s=S.spaced(SPARK, "__t"))
-    own = _once(own, **{f"r{k}": f"regexp_extract(s, {_java(p)}, 0)" for k, (_, p) in enumerate(plain.DATES_IN_TEXT)})
+    own = once(own, s=S.spaced(SPARK, "__t"))
+    own = once(own, **{f"r{k}": f"regexp_extract(s, {_java(p)}, 0)" for k, (_, p) in enumerate(plain.DATES_IN_TEXT)})
     for k, source in enumerate(["r0", "r1", "r2", "r3", "s"]):
         iso, sure = S.iso_date(SPARK, source, "__y")
-        own = _once(_once(own, **{f"i{k}": iso}), **{f"c{k}": sure})
+        own = once(once(own, **{f"i{k}": iso}), **{f"c{k}": sure})
     tried = [f"struct('{label}' as pattern, r{k} <> '' as matched, r{k} as raw, i{k} as iso, c{k} as confidence)" for k, (label, _) in enumerate(plain.DATES_IN_TEXT)]
-    own = _once(own, hit=f"case {' '.join(f"when i{k} <> '' then {k}" for k in range(4))} else 4 end", all_tried=f"array({', '.join(tried)})")
+    own = once(own, hit=f"case {' '.join(f"when i{k} <> '' then {k}" for k in range(4))} else 4 end", all_tried=f"array({', '.join(tried)})")
     pick = lambda c: F.expr(f"case hit {' '.join(f'when {k} then {c}{k}' for k in range(4))} else {c}4 end")
     raw = F.expr("case hit when 0 then r0 when 1 then r1 when 2 then r2 when 3 then r3 else if(i4 <> '', s, '') end")
     date = F.struct(pick("i").alias("iso"), pick("c").alias("confidence"), raw.alias("raw"), F.expr("slice(all_tried, 1, least(hit + 1, 4))").alias("tried")).alias("date")
@@ -63,11 +63,11 @@ def forwarding(pages: DataFrame) -> DataFrame:
     first, second = (_java(sent[0], "imdU"), _java(sent[1], "imdU"))
     own = pages.select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_year").cast("int").alias("doc_year"))
     own = own.where(F.expr(f"text rlike {second} and text rlike {came}"))  # the second pattern takes all that the first takes
-    own = _once(own, sent0=f"if(text rlike {first}, regexp_extract(text, {first}, 0), regexp_extract(text, {second}, 0))", sent1=f"if(text rlike {first}, regexp_extract(text, {first}, 1), regexp_extract(text, {second}, 1))", **{f"came{k}": f"regexp_extract(text, {came}, {k})" for k in range(3)})
-    own = _once(own, origin=S.place(SPARK, "sent1"), goal=S.place(SPARK, "came1"))
+    own = once(own, sent0=f"if(text rlike {first}, regexp_extract(text, {first}, 0), regexp_extract(text, {second}, 0))", sent1=f"if(text rlike {first}, regexp_extract(text, {first}, 1), regexp_extract(text, {second}, 1))", **{f"came{k}": f"regexp_extract(text, {came}, {k})" for k in range(3)})
+    own = once(own, origin=S.place(SPARK, "sent1"), goal=S.place(SPARK, "came1"))
     own = own.where(F.expr(f"{S.plausible_place(SPARK, 'origin')} and {S.plausible_place(SPARK, 'goal')}"))
     own = found_dates(own, "came2", "doc_year")
-    own = _once(own, began=S.first_words(SPARK, "sent0"), ended=S.first_words(SPARK, "came0"), said=S.spaced(SPARK, "came2"))
+    own = once(own, began=S.first_words(SPARK, "sent0"), ended=S.first_words(SPARK, "came0"), said=S.spaced(SPARK, "came2"))
     stop = lambda n, place, iso, sure, time, told: f"struct({n} as `order`, {place} as place, {iso} as arrival_date, {sure} as date_confidence, {time} as time_info, {told} as evidence)"
     stops = F.expr(f"array({stop(1, 'origin', "''", "''", "''", 'began')}, {stop(2, 'goal', 'date.iso', 'date.confidence', "if(date.iso <> '', date.raw, said)", 'ended')})")
     return own.select("doc_id", "page", "text", stops.alias("stops"))
@@ -113,16 +113,16 @@ def enriched(rows: DataFrame, more: DataFrame) -> DataFrame:
 
 def _placed(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Folded rows with spot: where the page tells of the row, else names its place; FAR where it does neither, and where that is its very first sign."""
-    texts = _once(pages.select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text")).withColumn("key", C.match_key("text")), **{"empty": "text = ''"})
+    texts = once(pages.select("doc_id", "page", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text")).withColumn("key", C.match_key("text")), **{"empty": "text = ''"})
     own = rows.join(texts, ["doc_id", "page"], "left").fillna("", ["text", "low", "key"])
-    own = _once(own, told=S.spaced(SPARK, "concat(evidence, ' ', time)"), normal=S.name(SPARK, "place"))
+    own = once(own, told=S.spaced(SPARK, "concat(evidence, ' ', time)"), normal=S.name(SPARK, "place"))
     own = own.withColumn("told_key", C.match_key("told")).withColumn("place_key", C.match_key("place"))
     at = lambda part, key: f"case when {part} = '' or text = '' then {FAR} when instr(low, lower({part})) > 0 then instr(low, lower({part})) - 1 when instr(key, {key}) > 0 then instr(key, {key}) - 1 else {FAR} end"
     words = r"array_join(transform(filter(split(normal, ' '), w -> w <> ''), w -> regexp_replace(w, r'([^\p{L}\p{N}_])', r'\\$1')), r'" + plain.BETWEEN.replace("'", "\\x27") + "')"
-    own = _once(own, by_told=at("told", "told_key"), pattern=f"if(normal = '', '', concat(r'(?iU)\\b', {words}, r'\\b'))", by_place=at("place", "place_key"))
-    own = _once(own, named="if(pattern <> '', regexp_instr(text, pattern), 0)")
+    own = once(own, by_told=at("told", "told_key"), pattern=f"if(normal = '', '', concat(r'(?iU)\\b', {words}, r'\\b'))", by_place=at("place", "place_key"))
+    own = once(own, named="if(pattern <> '', regexp_instr(text, pattern), 0)")
     found = f"case when by_told <> {FAR} then by_told when named > 0 then named - 1 else by_place end"
-    own = _once(own, spot=f"coalesce(nullif({found}, 0), {FAR})", unsure=S.uncertain_move(SPARK, "told"), sure=S.confident_move(SPARK, "told"), fit=S.valid_place(SPARK, "place"))
+    own = once(own, spot=f"coalesce(nullif({found}, 0), {FAR})", unsure=S.uncertain_move(SPARK, "told"), sure=S.confident_move(SPARK, "told"), fit=S.valid_place(SPARK, "place"))
     return own.select(*rows.columns, "spot", F.expr("not unsure and (arrival <> '' or fit and sure)").alias("reached"))
 
 
