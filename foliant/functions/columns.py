@@ -43,6 +43,11 @@ def _column(c) -> Column:
 # --- in SQL ---
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def spaced(c) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_column(c), F.lit("")), S.SPACE + "+", " "))
 
@@ -148,6 +153,60 @@ def checked(field: str, value, evidence) -> Column:
     return F.struct(status.alias("status"), message.alias("message"), raw.alias("input_value"), F.when(is_ok, good).otherwise("").alias("final_value"), F.when(is_ok, told).otherwise("").alias("evidence"))
 
 
+# --- places in texts ---
+
+
+def name_regex(c) -> Column:
+    """A pattern of the words of a normalised name, apart by white space and signs; empty for an empty name."""
+    words = F.transform(F.filter(F.split(_column(c), " "), lambda w: w != ""), lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1"))
+    return F.when(_column(c) == "", "").otherwise(F.concat(F.lit(r"(?iU)\b"), F.array_join(words, plain.BETWEEN), F.lit(r"\b")))
+
+
+def offsets(text, pattern) -> Column:
+    """All places (s, e) where a pattern that isn't empty matches: what lies between matches and the matches tell where each begins."""
+    def of(parts: Column, hits: Column) -> Column:
+        start = lambda k: F.length(F.array_join(F.slice(parts, 1, k + 1), "")) + F.length(F.array_join(F.slice(hits, 1, k), ""))
+        begins = F.transform(hits, lambda h, k: F.struct(start(k).alias("s"), F.length(h).alias("n")))
+        return F.transform(begins, lambda x: F.struct(x["s"].alias("s"), (x["s"] + x["n"]).alias("e")))
+
+    text, pattern = _column(text), _column(pattern)
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    found = _let(F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hits")), lambda x: of(x["parts"], x["hits"]))
+    return F.when((pattern == "") | text.isNull(), none).otherwise(found)
+
+
+def contexts(text, pattern, window: int = plain.PROMPT_WINDOW) -> Column:
+    """F8: each match with so many signs before and after it, with single spaces."""
+    text = _column(text)
+    first = lambda o: F.greatest(o["s"] - window, F.lit(0))
+    return F.transform(offsets(text, pattern), lambda o: spaced(F.substring(text, first(o) + 1, o["e"] + window - first(o))))
+
+
+def chosen(spans) -> Column:
+    """of spans (s, e, label, priority), those that don't overlap: the least priority first, then by begin, longer ones first, of equal ones the first; in the order of the text."""
+    keyed = F.transform(_column(spans), lambda x, k: F.struct(x["priority"], x["s"], (x["s"] - x["e"]).alias("less"), k.alias("k"), x["e"], x["label"]))
+    free = lambda acc, x: ~F.exists(acc, lambda y: (x["e"] > y["s"]) & (y["e"] > x["s"]))
+    none = F.array().cast("array<struct<s:int,e:int,label:string,priority:int>>")
+    plainly = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["label"].alias("label"), x["priority"].alias("priority"))
+    return F.array_sort(F.aggregate(F.array_sort(keyed), none, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(plainly(x)))).otherwise(acc)))
+
+
+def escaped(c) -> Column:
+    out = _column(c)
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def marked(text, spans) -> Column:
+    """a text as HTML with its chosen spans in mark elements."""
+    text, spans = F.coalesce(_column(text), F.lit("")), _column(spans)
+    before = lambda k: F.when(k == 0, 0).otherwise(F.get(spans, k - 1)["e"])
+    piece = lambda x, k: F.concat(escaped(F.substring(text, before(k) + 1, x["s"] - before(k))), F.lit('<mark title="'), escaped(x["label"]), F.lit('">'), escaped(F.substring(text, x["s"] + 1, x["e"] - x["s"])), F.lit("</mark>"))
+    rest = escaped(F.substring(text, F.coalesce(F.get(spans, F.size(spans) - 1)["e"], F.lit(0)) + 1, F.length(text)))
+    return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+
+
 # --- replies in JSON ---
 
 #: Strings as a whole, brackets, and what lies between them; a quotation mark that nothing closes is a token, too.
@@ -157,11 +216,6 @@ _FENCE = r"(?is)```(?:json)?\s*(.*?)```"
 _CLOSE = "\u0001 end of the text"
 
 
-def _let(value: Column, body) -> Column:
-    """body of value, which is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def balanced(c) -> Column:
     """From the first bracket to the one that closes it; null if brackets cross or stay open. A fold over tokens: the brackets that are due, and the length so far."""
     rest = lambda x: F.substring(x, F.regexp_instr(x, F.lit(r"[{\[]")), F.length(x))
@@ -220,7 +274,6 @@ page_decision = arrow(lambda x: plain.page_decision(_loads(x)), PAGE)
 detail_row = arrow(lambda x, person, page, kind, evidence: plain.detail_row(_loads(x), person or "", page, kind or "", evidence or ""), DETAIL)
 merged_people = arrow(lambda people: plain.merged([p.asDict() if hasattr(p, "asDict") else p for p in people or []]), f"array<{PERSON}>")
 decision = arrow(plain.decision, DECISION)
-contexts = arrow(lambda n, text: plain.contexts(n or "", text or ""), "array<string>")
 first_date = arrow(lambda x, year: plain.date_trace(x, year), DATE)
 same_person = arrow(lambda a, b: plain.same_person(a or "", b or ""), "boolean")
 accents_off = arrow(plain.bare, "string")
@@ -230,7 +283,7 @@ normal_place = arrow(plain.place, "string")
 
 def register(spark: SparkSession) -> list[str]:
     """Names of the functions, now known to SQL: Python's by their Arrow form, SQL's as functions of SQL."""
-    python = {"page_decision": page_decision, "name_decision": decision, "name_contexts": contexts, "first_date": first_date, "same_person": same_person}
+    python = {"page_decision": page_decision, "name_decision": decision, "first_date": first_date, "same_person": same_person}
     for key, f in python.items():
         spark.udf.register(key, f.udf)
     own = {

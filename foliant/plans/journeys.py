@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import clusters, places, routes
+from foliant.operators import clusters, evidence, places, routes
 from foliant.plans.dialect import quoted
 
 #: Spellings, and which of them match, whichever comes first: Faraj matches two that don't match one another, and so does Mariam bint Yusuf.
@@ -79,7 +79,17 @@ def dates_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page", "date.iso", "date.confidence", "date.raw", F.size("date.tried").alias("n_tried"))
 
 
-QUERIES = {f.__name__: f for f in (first_fit_spellings, page_routes, dates_in_texts)}
+def quoted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotations without the accents, signs and line ends of their page; one lies inside of another, one stands twice, one nowhere."""
+    _views(spark, sf_dir, "customer")
+    rows = spark.sql("select c_custkey as page, 'doc' as doc_id, concat('The  ', c_mktsegment, ',\\n of <B\u016bshehr>: ', c_name, ' \u2014 the ', c_mktsegment) as text, c_mktsegment as segment, c_name as who from customer")
+    asked = F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(label).alias("label"), q.alias("quotation")) for k, (label, q) in enumerate((("inside", F.lower("segment")), ("words", F.concat(F.lit("the "), F.lower("segment"), F.lit(" of Bushehr"))), ('a "name"', F.upper("who")), ("none", F.lit("no such words")), ("empty", F.lit(" "))))))
+    told = rows.select("doc_id", "page", F.explode(asked).alias("a")).select("doc_id", "page", "a.*")
+    out = evidence.highlighted(rows.select("doc_id", "page", "text"), told)
+    return out.select("page", F.col("spans")[0]["s"].alias("s0"), F.col("spans")[0]["e"].alias("e0"), F.col("spans")[1]["s"].alias("s1"), F.col("spans")[1]["e"].alias("e1"), F.size("spans").alias("n"), "markup")
+
+
+QUERIES = {f.__name__: f for f in (first_fit_spellings, page_routes, dates_in_texts, quoted_spans)}
 
 _CAPITAL = "array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 _STOP = "select doc_id, page, 'Faraj' as name, {nth} as nth, {place} as place, {stop} as stop, {day} as arrival_date, {sure} as date_confidence, {time} as time_info, {told} as evidence from l where {when}"
@@ -111,6 +121,9 @@ SQL = {
         _stop("kind = 2", 1, "'Berbera'", 0, told="'find his own way to Berbera'"),
         _stop("kind = 3", 0, "'Zanzibar'", 0, told=_BORN),
     )),
+    "quoted_spans": """with t as (select c_custkey as page, c_name as who, c_mktsegment as seg, length(c_mktsegment) as l from customer)
+select page, 0 as s0, cast(5 + l + 6 + 10 as int) as e0, cast(5 + l + 6 + 10 + 1 as int) as s1, cast(5 + l + 6 + 10 + 1 + length(who) as int) as e1, 2 as n,
+concat('<mark title="words">The  ', seg, ',', chr(10), ' of &lt;Būshehr&gt;:</mark> <mark title="a &quot;name&quot;">', who, '</mark> — the ', seg) as markup from t""",
     "dates_in_texts": """with r as (select o_orderkey as page, cast(o_orderdate as date) as day, o_orderkey % 5 as kind, 1900 + o_custkey % 50 as year from orders),
 m as (select *, day(day) || '' as d, month(day) || '' as mm, year(day) || '' as y, monthname(day) as mn from r)
 select page, case when kind in (0, 1, 2) then strftime(day, '%Y-%m-%d') when kind = 3 then year || strftime(day, '-%m-%d') else '' end as iso,
