@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliant import sinks
 from foliant.functions import columns, plain
 from foliant.operators import aggregate, model
+from foliant.snapshots import Snapshots
 from foliant.sources import artifacts
 from foliant.streaming.jobs import Jobs
 
@@ -48,6 +49,14 @@ class Engine:
         out = {"details": aggregate.detail_table(details, names), "places": aggregate.place_table(places, names), "status": aggregate.status_table(artifacts.pages(files), details, places, artifacts.facts(files))}
         return out | {"stats": aggregate.stats(out["details"], out["places"], out["status"]), "actions": aggregate.actions(everyone, names)}
 
+    def commit_tables(self) -> int:
+        """SNK4 for all documents at once: the tables as one version of root/tables (snapshots.py); its number."""
+        return self.versions.update(lambda base: self.tables())
+
+    @property
+    def versions(self) -> Snapshots:
+        return Snapshots(self.spark, str(self.root / "tables"))
+
     def views(self, files: DataFrame | None = None) -> list[str]:
         """The tables as views of SQL: foliant_details and so on."""
         for name, df in self.tables(files).items():

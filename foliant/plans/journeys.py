@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import clusters, evidence, places, routes
+from foliant.operators import clusters, evidence, places, recompute, routes
 from foliant.plans.dialect import quoted
 
 #: Spellings, and which of them match, whichever comes first: Faraj matches two that don't match one another, and so does Mariam bint Yusuf.
@@ -89,7 +89,25 @@ def quoted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page", F.col("spans")[0]["s"].alias("s0"), F.col("spans")[0]["e"].alias("e0"), F.col("spans")[1]["s"].alias("s1"), F.col("spans")[1]["e"].alias("e1"), F.size("spans").alias("n"), "markup")
 
 
-QUERIES = {f.__name__: f for f in (first_fit_spellings, page_routes, dates_in_texts, quoted_spans)}
+def stages_to_make(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST6, ST7: of each page, the stages that have to be made anew after one was made again, or is missing."""
+    _views(spark, sf_dir, "orders")
+    rows = spark.sql("select concat('doc', o_custkey % 400) as doc_id, cast(o_orderkey as int) as page, (o_orderkey + o_custkey) % 9 as kind from orders where o_orderkey % 3 = 0")
+    made = {"ingest": (), "ocr": ("ingest",), "classify": ("ocr",), "names": ("classify", "ocr"), "meta": ("names", "ocr"), "places": ("names", "ocr")}
+    was = lambda s, k: F.concat(F.lit(s), F.when(F.col("kind") == k, " before").otherwise(""))
+    # Kind 1: names were made again since; kind 2: the text was read again; kind 3: places are missing; kind 4: classify was never made. Others are as they were.
+    again = {"names": 1, "ocr": 2}
+    one = lambda s: F.struct(F.lit(s).alias("stage"), F.lit(s).alias("hash"), F.create_map(*(x for u in made[s] for x in (F.lit(u), was(u, again.get(u, -1))))).cast("map<string,string>").alias("used"))
+    held = rows.select("doc_id", "page", "kind", F.explode(F.array(*map(one, made))).alias("a")).select("doc_id", "page", "kind", "a.*")
+    held = held.where("not (kind = 3 and stage = 'places') and not (kind = 4 and stage = 'classify')").drop("kind")
+    whole = recompute.pages_hash(held.where("stage in ('classify', 'meta', 'places')"))
+    # The tables of even documents were made of what is there now, those of odd ones of less.
+    total = whole.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", F.when(F.substring("doc_id", -1, 1).cast("int") % 2 == 0, F.col("hash")).otherwise("less")))).alias("used"))
+    held = held.unionByName(total.select("doc_id", F.lit(0).alias("page"), F.lit("aggregate").alias("stage"), F.lit("t").alias("hash"), "used"))
+    return recompute.to_make(rows, held)
+
+
+QUERIES = {f.__name__: f for f in (first_fit_spellings, page_routes, dates_in_texts, quoted_spans, stages_to_make)}
 
 _CAPITAL = "array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 _STOP = "select doc_id, page, 'Faraj' as name, {nth} as nth, {place} as place, {stop} as stop, {day} as arrival_date, {sure} as date_confidence, {time} as time_info, {told} as evidence from l where {when}"
@@ -121,6 +139,9 @@ SQL = {
         _stop("kind = 2", 1, "'Berbera'", 0, told="'find his own way to Berbera'"),
         _stop("kind = 3", 0, "'Zanzibar'", 0, told=_BORN),
     )),
+    "stages_to_make": """with p as (select concat('doc', o_custkey % 400) as doc_id, cast(o_orderkey as int) as page, (o_orderkey + o_custkey) % 9 as kind, o_custkey % 2 as odd from orders where o_orderkey % 3 = 0),
+w(kind, stage) as (values (1, 'meta'), (1, 'places'), (2, 'classify'), (2, 'names'), (2, 'meta'), (2, 'places'), (3, 'places'), (4, 'classify'), (4, 'names'), (4, 'meta'), (4, 'places'))
+select distinct doc_id, page, stage from p join w using (kind) union all select distinct doc_id, 0 as page, 'aggregate' as stage from p where odd = 1 or kind in (1, 2, 3, 4)""",
     "quoted_spans": """with t as (select c_custkey as page, c_name as who, c_mktsegment as seg, length(c_mktsegment) as l from customer)
 select page, 0 as s0, cast(5 + l + 6 + 10 as int) as e0, cast(5 + l + 6 + 10 + 1 as int) as s1, cast(5 + l + 6 + 10 + 1 + length(who) as int) as e1, 2 as n,
 concat('<mark title="words">The  ', seg, ',', chr(10), ' of &lt;Būshehr&gt;:</mark> <mark title="a &quot;name&quot;">', who, '</mark> — the ', seg) as markup from t""",
