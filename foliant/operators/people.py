@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from foliant.functions import columns as C
 from foliant.functions import plain
 from foliant.functions import scalar as S
-from foliant.operators import routes
+from foliant.operators import roles, routes
 from foliant.plans.dialect import SPARK
 
 PAGE = ["doc_id", "page"]
@@ -119,8 +119,11 @@ def merge_audit(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def judged(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows with keep, reason_type, reason and excerpt, from the evidence and each place of the page's text (doc_id, page, text) that names the candidate."""
-    both = rows.join(pages.select(*PAGE, F.col("text").alias("__text")), PAGE, "left")
-    return both.withColumn("__d", C.decision("name", "evidence", "__text")).select(*rows.columns, "__d.*")
+    asked = rows.select(*PAGE, "name", "evidence").distinct().join(pages.select(*PAGE, F.col("text").alias("page_text")), PAGE, "left")
+    keys = [*PAGE, "name", "evidence"]
+    told = roles.decisions(asked).select(*(F.col(c).alias(f"__{c}") for c in keys), "keep", "reason_type", "reason", "excerpt")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return rows.join(told, same).select(*rows.columns, "keep", "reason_type", "reason", "excerpt")
 
 
 def rule_filter(rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
