@@ -110,19 +110,21 @@ class Desk:
 
     def ask(self, rows: DataFrame, prompt: Column, budget: int, form: Column | str = "") -> DataFrame:
         """LM12: rows with reply (JSON or null), error, model_calls, repair_calls and elapsed_seconds; a reply without JSON is sent back once to be put right."""
-        got = self.answers(rows.withColumn("__prompt", prompt), "__prompt", budget).withColumn("reply", C.found_json("raw"))
+        # Generators keep the replies apart from functions in Python that read them.
+        got = self.answers(rows.withColumn("__prompt", prompt), "__prompt", budget)
+        got = got.select("*", F.inline(F.array(F.struct(C.found_json("raw").alias("reply")))))
         fix = C.filled(F.lit(self.repair or "{schema}\n{bad}"), schema=F.lit(form) if isinstance(form, str) else form, bad=F.col("raw"))
         got = got.withColumn("__fix", F.when(F.col("reply").isNull() & F.col("raw").isNotNull(), fix)).withColumnsRenamed({"raw": "__raw", "error": "__error", "seconds": "__seconds"})
         got = self.answers(got, "__fix", BUDGETS["repair"])
         again = F.col("__fix").isNotNull()
+        got = got.withColumnRenamed("reply", "__reply").select("*", F.inline(F.array(F.struct(F.coalesce("__reply", C.found_json("raw")).alias("reply")))))
         out = got.withColumns({
-            "reply": F.coalesce("reply", C.found_json("raw")),
             "error": F.coalesce("__error", "error"),
             "model_calls": F.lit(1) + again.cast("int"),
             "repair_calls": again.cast("int"),
             "elapsed_seconds": F.coalesce("__seconds", F.lit(0.0)) + F.coalesce("seconds", F.lit(0.0)),
         })
-        return out.drop("__prompt", "__fix", "__raw", "__error", "__seconds", "raw", "seconds")
+        return out.drop("__prompt", "__fix", "__raw", "__error", "__seconds", "__reply", "raw", "seconds")
 
 
 _json_list = C.arrow(lambda items: json.dumps([i.asDict() if hasattr(i, "asDict") else i for i in items or []], ensure_ascii=False, indent=2), "string")
