@@ -65,8 +65,9 @@ def _counts(batches):
 def _chosen(at):
     def run(batches):
         for batch in batches:
-            out = [np.flatnonzero(np.isin(at, x.values.to_numpy(), assume_unique=True)).astype(np.int32) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["y", "features"])
+            # As bytes: a list in a row that is collected holds an object for each number.
+            out = [np.flatnonzero(np.isin(at, x.values.to_numpy(), assume_unique=True)).astype(np.int32).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["y", "places"])
 
     return run
 
@@ -109,24 +110,20 @@ def train(spark: SparkSession, labelled: DataFrame, id_col: str, text_col: str,
         share = many.get(1, 0) / max(1, sum(many.values())) if many else 0.5
         share = min(0.99, max(0.01, share))
         return Model(np.empty(0, int), np.empty(0), float(np.log(share / (1 - share))))
-    got = seen.mapInArrow(_counts, "y int, feature int, n long").groupBy("y", "feature").agg(F.sum("n").alias("n")).toPandas()  # two rows a feature at most
-    n = np.zeros((2, len(TIMES) * BUCKETS))
-    n[got["y"], got["feature"]] = got["n"]
-    p, q = (n[1] + SMOOTH) / (many[1] + 2 * SMOOTH), (n[0] + SMOOTH) / (many[0] + 2 * SMOOTH)
-    ratio = np.log(p / q)
+    held = seen.mapInArrow(_counts, "y int, feature int, n long").groupBy("feature").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)))
+    p, q = ((F.col(f"n{y}") + SMOOTH) / (many[y] + 2 * SMOOTH) for y in (1, 0))
     # The clearest: many standard errors from no difference, and held by several documents.
-    clear = np.abs(p - q) / np.sqrt(p * (1 - p) / many[1] + q * (1 - q) / many[0] + 1e-9) * (n.sum(0) >= 5)
-    at = np.argsort(-clear, kind="stable")[:KEPT]
-    at = np.sort(at[clear[at] > 2.5])
-    fed = seen.mapInArrow(_chosen(at), "y int, features array<int>").toPandas()
+    clear = F.abs(p - q) / F.sqrt(p * (1 - p) / many[1] + q * (1 - q) / many[0] + 1e-9)
+    best = held.where("n0 + n1 >= 5").select("feature", F.log(p / q).alias("ratio"), clear.alias("clear")).where("clear > 2.5").orderBy(F.desc("clear"), "feature").limit(KEPT).toPandas().sort_values("feature")
+    at, ratio = best["feature"].to_numpy(np.int64), best["ratio"].to_numpy(np.float64)
+    fed = seen.mapInArrow(_chosen(at), "y int, places binary").toPandas().sort_values(["y", "places"])  # one order of the rows, one sum
     stash.clear(seen)
-    fed["f"] = [tuple(x) for x in fed["features"]]
-    fed = fed.sort_values(["y", "f"])
     x = np.zeros((len(fed), len(at)), np.float32)
-    for i, f in enumerate(fed["f"]):
-        x[i, list(f)] = ratio[at][list(f)]
+    for i, places in enumerate(fed["places"]):
+        f = np.frombuffer(places, np.int32)
+        x[i, f] = ratio[f]
     w, b = logistic(x, fed["y"].to_numpy(np.float32), PENALTY)
-    return Model(at, w * ratio[at], b)
+    return Model(at, w * ratio, b)
 
 
 def _score(model):
