@@ -13,7 +13,7 @@ and equality is all that removal asks of a rank. Spark sorts (rank, document, po
 4. The rest, at the edges of copies, are ranked position by position: pairs of the ranks at offsets 0 and HALF give
    that of 2 * HALF bytes, and pairs at 0 and LENGTH - 2 * HALF that of LENGTH bytes, past which no rank is asked for.
 Every string of LENGTH bytes is in one segment, so nothing is missed. Each task keeps one of the equal rows of a batch and marks the others
-itself, so a passage in a third of all documents gives a row a batch.
+itself, so a passage in a third of all documents gives a row a batch; marked neighbours are one row, so a text of one letter gives a few rows a block.
 
 Ranks have 64 bits; rows are compared below an equal rank of an anchor, and single positions by two ranks made in different ways, so that strings that
 share nothing would have to agree in 96 bits at least to count as equal.
@@ -38,6 +38,8 @@ from .shingles import mix
 LENGTH, SEED, HALF = 100, 36, 32
 #: Bytes that are ranked at once; positions within them have to fit BITS.
 BLOCK, BITS = 1 << 19, 20
+#: A span holds a position, in COUNT bits its number of starts (BLOCK at most) and in 8 bits the place of the anchor.
+COUNT = 20
 _BASE = 0x9E3779B97F4A7C15 | 5
 _POWERS = np.ones(BLOCK + 2 * LENGTH + 1, np.uint64)
 _POWERS[1:] = np.uint64(_BASE)
@@ -120,6 +122,16 @@ def _first_of(rank: np.ndarray, tag: np.ndarray, doc: np.ndarray, pos: np.ndarra
     return out
 
 
+def _runs(keep: np.ndarray, piece: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which segments begin a run, and the starts of each run: segments that stay are runs of their own, neighbours of one piece that are marked are one run."""
+    if not len(keep):
+        return np.empty(0, np.int64), count
+    new = np.ones(len(keep), bool)
+    new[1:] = keep[1:] | keep[:-1] | (piece[1:] != piece[:-1]) | (first[1:] != first[:-1] + count[:-1])
+    at = np.flatnonzero(new)
+    return at, np.add.reduceat(count, at)
+
+
 def _scan(batches):
     """Segments of each block; a null rank marks those of which the block holds an earlier equal one."""
     for batch in batches:
@@ -129,9 +141,12 @@ def _scan(batches):
             doc, tag = np.array(docs, np.int64)[piece].T
             pos = offsets[piece] + first - bounds[piece]
             keep = _first_of(rank, tag, doc, pos)
+            # Neighbours that are marked become one: in a text that repeats a few bytes each start may have its own anchor.
+            first_of_run, count = _runs(keep, piece, first, count)
+            keep, anchor, rank, sides, doc, tag, pos, place = (x[first_of_run] for x in (keep, anchor, rank, sides, doc, tag, pos, place))
             # Marked ones are dealt by document, not by a rank that many share.
             key = np.where(keep, anchor, mix(doc.view(np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rank.view(np.int64), mask=~keep), pa.array(sides.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(pos << 16 | count << 8 | place)], names=["anchor", "rank", "sides", "doc", "tag", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rank.view(np.int64), mask=~keep), pa.array(sides.view(np.int64)), pa.array(doc), pa.array(tag), pa.array(pos << COUNT + 8 | count << 8 | place)], names=["anchor", "rank", "sides", "doc", "tag", "span"])
 
 
 def _half_ranks(batches):
@@ -146,7 +161,7 @@ def _half_ranks(batches):
                 continue
             data = np.frombuffer(text.as_buffer(), np.uint8)
             for span, left, right in ((s["span"], s["left"], s["right"]) for s in spans):
-                p, n, middle = span >> 16, span >> 8 & 255, (span & 255) - HALF
+                p, n, middle = span >> COUNT + 8, span >> 8 & (1 << COUNT) - 1, (span & 255) - HALF
                 low, high = 0 if left else max(0, middle), n - 1 if right else min(n - 1, middle)
                 if low > high:
                     continue
@@ -232,7 +247,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     # Neighbouring starts become one span before they are gathered.
     run = twice.withColumn("run", F.col("pos") - F.row_number().over(W.partitionBy("doc", "tag").orderBy("pos")))
     runs = run.groupBy("doc", "tag", "run").agg(F.min("pos").alias("pos"), F.count("*").cast("int").alias("starts")).select("doc", "tag", "pos", "starts")
-    cuts = found.where("again").select("doc", "tag", F.expr("span >> 16 as pos"), F.expr("cast(span >> 8 & 255 as int) as starts")).unionByName(runs)
+    cuts = found.where("again").select("doc", "tag", F.expr(f"span >> {COUNT + 8} as pos"), F.expr(f"cast(span >> 8 & {(1 << COUNT) - 1} as int) as starts")).unionByName(runs)
     cuts = stash(cuts.groupBy(F.col("doc").alias("id"), "tag").agg(F.collect_list(F.struct("pos", "starts")).alias("spans")), "cuts", heavy=True)
     stash.clear(found)
     return texts.join(cuts, ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

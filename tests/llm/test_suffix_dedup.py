@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from foliant.llm import suffix_dedup
 
@@ -57,6 +58,27 @@ def test_long_texts_in_pieces(spark):
     assert [got[i] for i in range(3)] == brute(texts)
 
 
+def test_periodic_texts(spark):
+    """Texts of a short period, alone and beside others; a long one is few rows, and ends soon."""
+    short = ["x" * 700, "ab" * 400 + "c" * 300, "x" * 150 + "Ha " * 200, "Shti " * 90 + "end", "y" * 100, "y" * 101 + "x" * 120]
+    got = {r[0]: r[1:] for r in found(spark, list(enumerate(short)))}
+    assert [got[i] for i in range(len(short))] == brute(short)
+    long = ["q" * 3_000_000, "Ha " * 1_000_000, "pre" + "q" * 1_000_000 + "post" * 50]
+    for batch in suffix_dedup._scan([pa.RecordBatch.from_pylist([{"id": 1, "tag": 0, "text": x}]) for x in long[:2]]):
+        assert batch.num_rows < 300
+    got = {r[0]: r[1:] for r in found(spark, list(enumerate(long)))}
+    assert got[0][:3] == (3_000_000, 3_000_000 - 1, 1) and got[1][:3] == (3_000_000, 3_000_000 - 3, 1)
+    assert got[0][3] == hashlib.sha256(b"q").hexdigest() and got[1][3] == hashlib.sha256(b"Ha ").hexdigest()
+    assert got[2] == (1_000_203, *brute_tail())
+
+
+def brute_tail():
+    """(removed, spans, hash) of the last text after one that is all q: its q go, and of its end what repeats."""
+    last = "pre" + "q" * 300 + "post" * 50
+    n, removed, spans, sha = brute(["q" * 400, last])[1]
+    return removed + 999_700, spans, sha
+
+
 def test_repeated_and_null_ids(spark):
     x, y = prose(60), prose(60)
     rows = [(1, x), (1, x), (1, y), (2, x), (None, x), (None, None), (3, y), (1, x)]
