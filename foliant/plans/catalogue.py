@@ -167,11 +167,17 @@ def _validated(d: Spark) -> str:
     status = by(lambda rule, good, yes, no: f"case when places is null then 'empty' when {good} {fine} {broken} end")
     message = by(lambda rule, good, yes, no: f"case when places is null then 'No places extracted.' when {good} then {yes} else {no} end")
     rows = f"select page, name, rule_no, {by(lambda rule, *_: S.quoted(rule))} as rule, {status} as status, {message} as message from ruled"
+    fit, confidence = S.valid_place(d, "place"), "case when ord % 3 = 0 then 'explicit' else confidence end as confidence"
+    stops = f"listed as (select page, ord, name, place, pos, arrival, {confidence}, {fit} as fit from placed)"
+    persons = f"persons as (select distinct page, {S.name(d, 'name')} as name from people"
+    if d.name == "spark":
+        stops = f"listed as ({d.over('placed', f'page, ord, name, place, pos, arrival, {confidence}', fit=(('place',), fit))})"
+        persons = f"people_named as ({d.over('people', 'page', name=(('name',), S.name(d, 'name')))}),\npersons as (select distinct page, name from people_named"
     return f"""{_routed(d)},
-listed as (select page, ord, name, place, pos, arrival, case when ord % 3 = 0 then 'explicit' else confidence end as confidence, {S.valid_place(d, 'place')} as fit from placed),
+{stops},
 placed_at as (select *, case when pos > 0 then row_number() over (partition by page, name, pos > 0 order by ord) end as nth, lag(arrival) over (partition by page, name, pos > 0 and arrival <> '' order by ord) as before, row_number() over (partition by page, name, lower(place) order by ord) as again from listed),
 facts as (select page, name, count(*) as places, min(case when pos > 0 and pos <> nth then 0 else 1 end) as consecutive, min(case when pos > 0 and arrival <> '' and before > arrival then 0 else 1 end) as ascending, {listed('place', "place <> '' and (again = 2 or again > 2 and place <> lower(place))")} as repeated, {listed('place', "arrival = '' and confidence <> ''")} as undated, {listed('place', 'not fit')} as invalid from placed_at group by page, name),
-persons as (select distinct page, {S.name(d, 'name')} as name from people union select distinct page, name from placed),
+{persons} union select distinct page, name from placed),
 judged as (select p.page, p.name, f.places, f.consecutive, f.ascending, f.repeated, f.undated, f.invalid from persons p left join facts f on p.page = f.page and p.name = f.name),
 ruled as ({d.numbered('judged', len(rules), 'rule_no')}),
 checks as ({rows})"""

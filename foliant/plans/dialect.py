@@ -22,6 +22,10 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: How many sets of keys a table of values holds that is broadcast; rows with other keys are worked on where they are.
+COMMON = 20_000
+
+
 class Spark:
     name = "spark"
 
@@ -62,10 +66,32 @@ class Spark:
         return f"select {keep}, {', '.join(f't.{k}' for k in made)} from {source} lateral view inline(array(named_struct({named}))) t"
 
     def mapped(self, source: str, keep: str, keys: tuple[str, ...], **made: str) -> str:
-        """keep (of s, the source), and expressions over its keys, which are evaluated once for each distinct set of keys."""
-        named = ", ".join(f"'{k}', {v}" for k, v in made.items())
-        inner = f"select {', '.join(f'q.{k} as k_{k}' for k in keys)}, {', '.join(f't.{c} as {c}' for c in made)} from (select distinct {', '.join(keys)} from {source}) q lateral view inline(array(named_struct({named}))) t"
-        return f"select {keep}, {', '.join(f'm.{c}' for c in made)} from {source} s join ({inner}) m on {' and '.join(f's.{k} <=> m.k_{k}' for k in keys)}"
+        """keep (of s, the source), and expressions over its keys, which are evaluated once for each of the most common sets of keys."""
+        return self._looked_up(f"{source} s", source, "s.", keep, {k: (keys, v) for k, v in made.items()})
+
+    def over(self, source: str, keep: str, **made: tuple[tuple[str, ...], str]) -> str:
+        """keep, and expressions with the keys that they are over, each evaluated once for each of the most common sets of its keys; without keys, in each row."""
+        return self._looked_up(source, source, f"{source}.", keep, made)
+
+    def _looked_up(self, rows: str, source: str, of: str, keep: str, made: dict[str, tuple[tuple[str, ...], str]]) -> str:
+        """The COMMON most frequent sets of keys are a table that is broadcast, so that no row moves and no task gets all rows of a value; what a row has else is evaluated in place."""
+        groups: dict[tuple[str, ...], dict[str, str]] = {}
+        for k, (keys, v) in made.items():
+            groups.setdefault(keys, {})[k] = v
+        joins, views = [], []
+        for i, (keys, values) in enumerate(groups.items()):
+            named = ", ".join(f"'v{i}_{k}', {v}" for k, v in values.items())
+            if not keys:
+                views.append(f"lateral view inline(array(named_struct({named}))) t{i}")
+                continue
+            known = ", ".join(f"'v{i}_{k}', m{i}.w{i}_{k}" for k in values)
+            common = f"select {', '.join(keys)} from (select {', '.join(keys)}, count(*) as n_rows from {source} group by {', '.join(keys)} order by n_rows desc limit {COMMON})"
+            table = f"select {', '.join(f'q.{k} as k{i}_{k}' for k in keys)}, true as found{i}, {', '.join(f'u.v{i}_{k} as w{i}_{k}' for k in values)} from ({common}) q lateral view inline(array(named_struct({named}))) u"
+            joins.append(f"left join ({table}) m{i} on {' and '.join(f'{of}{k} <=> m{i}.k{i}_{k}' for k in keys)}")
+            views.append(f"lateral view inline(if(m{i}.found{i}, array(named_struct({known})), array(named_struct({named})))) t{i}")
+        place = {k: i for i, values in enumerate(groups.values()) for k in values}
+        hint = f"/*+ broadcast({', '.join(f'm{i}' for i, keys in enumerate(groups) if keys)}) */"
+        return f"select {hint} {keep}, {', '.join(f't{place[k]}.v{place[k]}_{k} as {k}' for k in made)} from {rows} {' '.join(joins)} {' '.join(views)}"
 
     def lookup(self, x: str, values: dict[str, str], other: str) -> str:
         """The value (an SQL literal) of x, else other; x is evaluated once, where a case would do so for each key."""
@@ -116,6 +142,9 @@ class Oracle(Spark):
     def mapped(self, source: str, keep: str, keys: tuple[str, ...], **made: str) -> str:
         return f"select {keep}, {', '.join(f'{v} as {k}' for k, v in made.items())} from {source} s"
 
+    def over(self, source: str, keep: str, **made: tuple[tuple[str, ...], str]) -> str:
+        return self.once(source, keep, **{k: v for k, (_, v) in made.items()})
+
     def lookup(self, x: str, values: dict[str, str], other: str) -> str:
         return f"case {x} {' '.join(f'when {quoted(k)} then {v}' for k, v in values.items())} else {other} end"
 

@@ -51,3 +51,24 @@ def test_routes_are_numbered(spark):
     df = records.QUERIES["reconciled_routes"](spark, SF)
     assert df.where("pos > 1").count() > 0 and df.where("pos = 0").count() > 0
     assert df.where("pos > 0").groupBy("page", "name").agg({"pos": "max", "*": "count"}).where("`max(pos)` <> `count(1)`").count() == 0
+
+
+def test_values_of_common_keys_are_broadcast_and_others_made_in_place(spark, monkeypatch):
+    """No join by a value with few keys moves the rows; keys beyond the common ones give the same."""
+    from foliant.plans import dialect
+    from foliant.plans.dialect import SPARK
+
+    spark.range(60).selectExpr("id", "concat('n', pmod(id * id, 7)) as raw", "if(id % 9 = 0, null, id % 4) as k").createOrReplaceTempView("given")
+    told = {"a": (("raw",), "upper(raw)"), "b": (("raw", "k"), "concat(raw, coalesce(k, -1))"), "c": ((), "id + 1")}
+    whole = {(r.id, r.raw.upper(), r.raw + str(-1 if r.k is None else r.k), r.id + 1) for r in spark.table("given").collect()}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (20_000, 2):
+            monkeypatch.setattr(dialect, "COMMON", most)
+            for sql in (SPARK.over("given", "id", **told), f"select id, a, b, id + 1 as c from ({SPARK.mapped('given', 's.id, s.b', ('raw',), a='upper(raw)').replace('s.b', 's.raw, s.k')}) join (select id as i, concat(raw, coalesce(k, -1)) as b from given) on id = i"):
+                assert {tuple(r) for r in spark.sql(sql).select("id", "a", "b", "c").collect()} == whole
+        plan = spark.sql(SPARK.over("given", "id", **told))._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
