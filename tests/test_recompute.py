@@ -60,3 +60,10 @@ def test_names_made_again_leave_meta_and_places_stale(spark):
     again = spark.createDataFrame([(d, p, s, "names made again" if (p, s) == (1, "names") else h, u) for d, p, s, h, u in base] + total, R.ARTIFACTS)
     assert {(r.page, r.stage, r.because) for r in R.stale(again).collect()} == {(1, "meta", "names"), (1, "places", "names"), (0, "aggregate", "names")}
     assert R.to_make(df.select("doc_id", "page"), spark.createDataFrame([], R.ARTIFACTS)).count() == 13
+
+
+def test_fingerprints_are_not_brought_to_the_driver(spark):
+    """Only the graph of stages is broadcast, however small the artifacts are as files."""
+    held = spark.range(20).selectExpr("concat('d', id % 3) as doc_id", "cast(id as int) as page", "'ocr' as stage", "'h' as hash", "map('ingest', 'old') as used")
+    plan = R.to_make(held.select("doc_id", "page"), held)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 5 and plan.count("BroadcastHashJoin") == 2
