@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foliant import sinks
 from foliant.functions import columns, plain
 from foliant.operators import aggregate, model
+from foliant.operators.steps import written
 from foliant.snapshots import Snapshots
 from foliant.sources import artifacts
 from foliant.streaming.jobs import Jobs
@@ -43,7 +44,7 @@ class Engine:
     def tables(self, files: DataFrame | None = None) -> dict[str, DataFrame]:
         """details, places, status, stats and actions of all documents that files (doc_id, page, kind, content) has artifacts of."""
         files = self.artifacts() if files is None else files
-        details, places = artifacts.details(files), artifacts.places(files)
+        details, places = written(artifacts.details(files)), written(artifacts.places(files))  # read by several tables
         everyone = aggregate.all_names(details, places)
         names = aggregate.name_map(everyone)
         out = {"details": aggregate.detail_table(details, names), "places": aggregate.place_table(places, names), "status": aggregate.status_table(artifacts.pages(files), details, places, artifacts.facts(files))}

@@ -12,6 +12,7 @@ from foliant.functions import columns as C
 from foliant.functions import plain
 from foliant.functions import scalar as S
 from foliant.operators import roles, routes
+from foliant.operators.steps import written
 from foliant.plans.dialect import SPARK
 
 PAGE = ["doc_id", "page"]
@@ -26,8 +27,8 @@ def from_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     value = replies.select(*PAGE, F.xxhash64(reply).alias("__r"), C.reply_value(F.col(reply)).alias("__v"))
     items = value.select(*PAGE, "__r", F.posexplode(C.reply_items(F.col("__v"), "named_people")).alias("at", "i"))
     told = routes.once(items.select(*PAGE, "__r", "at", C.item_text("i", "name").alias("raw"), C.item_text("i", "evidence").alias("said")), evidence=S.first_words(SPARK, "said"))
-    spelt = routes.once(routes.once(told.select(F.col("raw").alias("x")).distinct(), name=S.name(SPARK, "x")), fit=S.candidate_name(SPARK, "name")).where("fit")
-    named = told.join(spelt, told["raw"] == spelt["x"]).select(*PAGE, "__r", "at", "name", "evidence")
+    # Replies are read once, then names made of them.
+    named = routes.shared(written(told), {"x": F.col("raw")}, lambda t: routes.once(routes.once(t, name=S.name(SPARK, "x")), fit=S.candidate_name(SPARK, "name"))).where("fit")
     by = named.groupBy(*PAGE, "__r", F.lower("name")).agg(F.array_sort(F.collect_list(F.struct("at", "name", "evidence"))).alias("l"))
     longer = lambda a, x: F.when((F.length(x["name"]) > F.length(a["name"])) | (F.length(x["evidence"]) > F.length(a["evidence"])), x).otherwise(a)
     kept = by.select(*PAGE, "__r", F.col("l")[0]["at"].alias("at"), F.aggregate("l", F.col("l")[0], longer).alias("p"))
@@ -119,9 +120,10 @@ def merge_audit(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def judged(rows: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows with keep, reason_type, reason and excerpt, from the evidence and each place of the page's text (doc_id, page, text) that names the candidate."""
-    asked = rows.select(*PAGE, "name", "evidence").distinct().join(pages.select(*PAGE, F.col("text").alias("page_text")), PAGE, "left")
+    asked = written(rows.select(*PAGE, "name", "evidence").distinct().join(pages.select(*PAGE, F.col("text").alias("page_text")), PAGE, "left"))
     keys = [*PAGE, "name", "evidence"]
-    told = roles.decisions(asked).select(*(F.col(c).alias(f"__{c}") for c in keys), "keep", "reason_type", "reason", "excerpt")
+    decided = routes.shared(asked, {"name": F.col("name"), "evidence": F.col("evidence"), "page_text": F.col("page_text")}, roles.decisions)
+    told = decided.select(*(F.col(c).alias(f"__{c}") for c in keys), "keep", "reason_type", "reason", "excerpt")
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
     return rows.join(told, same).select(*rows.columns, "keep", "reason_type", "reason", "excerpt")
 

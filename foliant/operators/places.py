@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from foliant.functions import columns as C
 from foliant.functions import scalar as S
 from foliant.operators import routes
+from foliant.operators.steps import written
 from foliant.plans.dialect import SPARK
 
 KEYS = ["doc_id", "page", "name"]
@@ -31,7 +32,7 @@ def _items(replies: DataFrame, reply: str, *more: str) -> DataFrame:
     rows = items.select(*KEYS, *more, F.col("ord").cast("long").alias("ord"), *texts, F.greatest(F.coalesce(F.try_variant_get("i", "$.order", "int"), F.lit(0)), F.lit(0)).alias("order"))
     said = lambda c: S.cleaned(SPARK, S.spaced(SPARK, c))
     rows = routes.once(rows, time_info=said("__time_text"), evidence=S.first_words(SPARK, "__evidence"), __day=said("__arrival_date"), __sure=said("__date_confidence"))
-    rows = routes.normal(rows.withColumnRenamed("__place", "__raw"), "__raw", "place", S.place(SPARK, "x"))
+    rows = routes.normal(written(rows).withColumnRenamed("__place", "__raw"), "__raw", "place", S.place(SPARK, "x"))
     return rows.where(F.expr(S.valid_place(SPARK, "place")))
 
 
@@ -45,9 +46,7 @@ def final(replies: DataFrame, reply: str = "reply", year: str = "doc_year") -> D
     """Places of a reply with order, date, confidence and words of time, folded. What can't be read as a date goes into the words of time."""
     rows = _items(replies.withColumn("__year", F.col(year).cast("int")), reply, "__year")
     iso, sure = S.iso_date(SPARK, "d", "y")
-    days = rows.select(F.col("__day").alias("d"), F.col("__year").alias("y")).distinct()
-    days = routes.once(routes.once(days, arrival_date=iso), __read=sure)
-    dated = rows.join(days, F.col("__day").eqNullSafe(F.col("d")) & F.col("__year").eqNullSafe(F.col("y")))
+    dated = routes.shared(rows.drop("arrival_date"), {"d": F.col("__day"), "y": F.col("__year")}, lambda t: routes.once(routes.once(t, arrival_date=iso), __read=sure))
     unread = "__day <> '' and arrival_date = '' and instr(lower(time_info), lower(__day)) = 0"
     told = dated.withColumns({
         "date_confidence": F.expr(f"case when arrival_date = '' then '' when {S.one_of('__sure', S.CONFIDENCES)} then __sure else __read end"),

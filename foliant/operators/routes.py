@@ -6,7 +6,7 @@ one exchange. Lower case is Spark's, accents are those below U+0250, and white s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -15,13 +15,15 @@ from foliant.functions import plain
 from foliant.functions import scalar as S
 from foliant.operators.folds import fold_places
 from foliant.operators.steps import written
-from foliant.plans.dialect import SPARK
+from foliant.plans.dialect import COMMON, SPARK
 
 KEYS = ["doc_id", "page", "name"]
 FIELDS = ["place", "order", "arrival_date", "date_confidence", "time_info", "evidence"]
 FAR = plain.FAR
 #: Where inferred rows stand after those that a person has.
 AFTER = 1 << 48
+#: Signs of keys that are worked on once; COMMON of them are broadcast.
+SHORT = 300
 
 
 def once(df: DataFrame, **made: str) -> DataFrame:
@@ -34,16 +36,42 @@ def _java(pattern: str, flags: str = "idU") -> str:
 
 
 def normal(rows: DataFrame, column: str, out: str, sql: str) -> DataFrame:
-    """rows with out, an expression over x, the text in column (null: empty); each distinct text is worked on once."""
-    each = once(rows.select(F.coalesce(column, F.lit("")).alias("x")).distinct(), **{out: sql})
-    return rows.withColumn("__x", F.coalesce(column, F.lit(""))).join(each, F.col("__x") == F.col("x"), "left").drop("__x", "x")
+    """rows with out, an expression over x, the text in column (null: empty). The COMMON most frequent texts are worked on once and broadcast, so that no row moves; others where they are."""
+    own = rows.withColumn("x", F.coalesce(column, F.lit("")))
+    common = own.groupBy("x").count().orderBy(F.desc("count")).limit(COMMON).select("x")
+    each = once(common, **{out: sql}).select(F.col("x").alias("__x"), F.col(out).alias("__made"), F.lit(True).alias("__found"))
+    met = own.join(F.broadcast(each), F.col("x") == F.col("__x"), "left")
+    return once(met, **{out: f"if(__found, __made, {sql})"}).drop("x", "__x", "__made", "__found")
+
+
+def shared(rows: DataFrame, keys: dict[str, Column], work) -> DataFrame:
+    """rows with what work adds to a table of its keys, all of these short: the COMMON most frequent keys are worked on once and broadcast, the other rows where they are; no row moves.
+    rows are read three times."""
+    own = rows.withColumns({f"__k{i}": k for i, k in enumerate(keys.values())})
+    names = [f"__k{i}" for i in range(len(keys))]
+    short = own.where(sum((F.coalesce(F.length(F.col(k).cast("string")), F.lit(0)) for k in names), F.lit(0)) <= SHORT)
+    common = short.groupBy(*names).count().orderBy(F.desc("count")).limit(COMMON).select(*(F.col(k).alias(c) for k, c in zip(names, keys)))
+    made = written(work(common))  # so that both joins read the same keys
+    more = [c for c in made.columns if c not in keys]
+    made = made.withColumnsRenamed({c: f"__c{i}" for i, c in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"__c{i}")) for i, k in enumerate(names)]
+    hits = own.join(F.broadcast(made), same).select(*rows.columns, *more)
+    rest = own.join(F.broadcast(made), same, "left_anti")
+    # Columns have names of their own beside the keys.
+    apart = {c: f"__row{i}" for i, c in enumerate(rows.columns)}
+    rest = work(rest.select(*(F.col(c).alias(r) for c, r in apart.items()), *(F.col(k).alias(c) for k, c in zip(names, keys))))
+    return hits.unionByName(rest.select(*(F.col(r).alias(c) for c, r in apart.items()), *more))
 
 
 def found_dates(texts: DataFrame, text: str = "text", year: str = "year") -> DataFrame:
     """DT4, DT5: texts with date (iso, confidence, raw, tried): of the patterns, in the order in which they count, the first that gives a date; else that of the whole text.
     tried are the patterns up to that one."""
-    own = texts.select(F.coalesce(text, F.lit("")).alias("__t"), F.col(year).cast("int").alias("__y")).distinct()
-    own = once(own, s=S.spaced(SPARK, "__t"))
+    return shared(texts, {"__t": F.coalesce(text, F.lit("")), "__y": F.col(year).cast("int")}, _dates)
+
+
+def _dates(rows: DataFrame) -> DataFrame:
+    """rows (__t, __y and others) with date."""
+    own = once(rows, s=S.spaced(SPARK, "__t"))
     own = once(own, **{f"r{k}": f"regexp_extract(s, {_java(p)}, 0)" for k, (_, p) in enumerate(plain.DATES_IN_TEXT)})
     for k, source in enumerate(["r0", "r1", "r2", "r3", "s"]):
         iso, sure = S.iso_date(SPARK, source, "__y")
@@ -53,8 +81,7 @@ def found_dates(texts: DataFrame, text: str = "text", year: str = "year") -> Dat
     pick = lambda c: F.expr(f"case hit {' '.join(f'when {k} then {c}{k}' for k in range(4))} else {c}4 end")
     raw = F.expr("case hit when 0 then r0 when 1 then r1 when 2 then r2 when 3 then r3 else if(i4 <> '', s, '') end")
     date = F.struct(pick("i").alias("iso"), pick("c").alias("confidence"), raw.alias("raw"), F.expr("slice(all_tried, 1, least(hit + 1, 4))").alias("tried")).alias("date")
-    told = own.select("__t", "__y", date)
-    return texts.join(told, F.coalesce(text, F.lit("")).eqNullSafe(F.col("__t")) & F.col(year).cast("int").eqNullSafe(F.col("__y")), "left").drop("__t", "__y")
+    return own.select(*rows.columns, date)
 
 
 def forwarding(pages: DataFrame) -> DataFrame:
@@ -66,7 +93,7 @@ def forwarding(pages: DataFrame) -> DataFrame:
     own = once(own, sent0=f"if(text rlike {first}, regexp_extract(text, {first}, 0), regexp_extract(text, {second}, 0))", sent1=f"if(text rlike {first}, regexp_extract(text, {first}, 1), regexp_extract(text, {second}, 1))", **{f"came{k}": f"regexp_extract(text, {came}, {k})" for k in range(3)})
     own = once(own, origin=S.place(SPARK, "sent1"), goal=S.place(SPARK, "came1"))
     own = own.where(F.expr(f"{S.plausible_place(SPARK, 'origin')} and {S.plausible_place(SPARK, 'goal')}"))
-    own = found_dates(own, "came2", "doc_year")
+    own = found_dates(written(own), "came2", "doc_year")
     own = once(own, began=S.first_words(SPARK, "sent0"), ended=S.first_words(SPARK, "came0"), said=S.spaced(SPARK, "came2"))
     stop = lambda n, place, iso, sure, time, told: f"struct({n} as `order`, {place} as place, {iso} as arrival_date, {sure} as date_confidence, {time} as time_info, {told} as evidence)"
     stops = F.expr(f"array({stop(1, 'origin', "''", "''", "''", 'began')}, {stop(2, 'goal', 'date.iso', 'date.confidence', "if(date.iso <> '', date.raw, said)", 'ended')})")

@@ -3,11 +3,14 @@ and shares no expression with the operators."""
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import columns as C
 from foliant.operators import aggregate, evidence, people, places
+from foliant.operators.steps import written
 from foliant.sources import artifacts
 
 TABLES = ("customer", "orders", "lineitem")
@@ -49,13 +52,36 @@ def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files
 
 
-def _engine(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    files = artifact_files(spark, sf_dir)
-    details, place_rows = artifacts.details(files), artifacts.places(files)
-    everyone = aggregate.all_names(details, place_rows)
-    names = aggregate.name_map(everyone)
-    out = {"details": aggregate.detail_table(details, names), "places": aggregate.place_table(place_rows, names), "status": aggregate.status_table(artifacts.pages(files), details, place_rows, artifacts.facts(files))}
-    return out | {"actions": aggregate.actions(everyone, names), "everyone": everyone}
+class _Engine:
+    """The tables of the artifacts, each made when it is first asked for; artifacts and their rows are written once, since several steps read them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.files = written(artifact_files(spark, sf_dir))
+
+    @cached_property
+    def details(self) -> DataFrame:
+        return written(artifacts.details(self.files))
+
+    @cached_property
+    def places(self) -> DataFrame:
+        return written(artifacts.places(self.files))
+
+    @cached_property
+    def everyone(self) -> DataFrame:
+        return aggregate.all_names(self.details, self.places)
+
+    @cached_property
+    def names(self) -> DataFrame:
+        return aggregate.name_map(self.everyone)
+
+    def detail_table(self) -> DataFrame:
+        return aggregate.detail_table(self.details, self.names)
+
+    def place_table(self) -> DataFrame:
+        return aggregate.place_table(self.places, self.names)
+
+    def status_table(self) -> DataFrame:
+        return aggregate.status_table(artifacts.pages(self.files), self.details, self.places, artifacts.facts(self.files))
 
 
 _PLAIN = [c.lower().replace(" ", "_") for c in aggregate.DETAIL]
@@ -63,26 +89,28 @@ _PLACE = [c.lower().replace(" ", "_") for c in aggregate.PLACE]
 
 
 def aggregate_details(spark, sf_dir):
-    return _engine(spark, sf_dir)["details"].toDF("doc_id", "nth", *_PLAIN).select("doc_id", "nth", *_PLAIN[:4])
+    return _Engine(spark, sf_dir).detail_table().toDF("doc_id", "nth", *_PLAIN).select("doc_id", "nth", *_PLAIN[:4])
 
 
 def aggregate_places(spark, sf_dir):
-    return _engine(spark, sf_dir)["places"].toDF("doc_id", "nth", *_PLACE).withColumnRenamed("order", "stop").drop("time_info", "nth")
+    return _Engine(spark, sf_dir).place_table().toDF("doc_id", "nth", *_PLACE).withColumnRenamed("order", "stop").drop("time_info", "nth")
 
 
 def aggregate_status(spark, sf_dir):
-    return _engine(spark, sf_dir)["status"]
+    return _Engine(spark, sf_dir).status_table()
 
 
 def aggregate_stats(spark, sf_dir):
-    t = _engine(spark, sf_dir)
-    out = aggregate.stats(t["details"], t["places"], t["status"])
+    t = _Engine(spark, sf_dir)
+    # Histograms and counts read these several times.
+    out = aggregate.stats(*map(written, (t.detail_table(), t.place_table(), t.status_table())))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
     return out.select("doc_id", "pages_processed", "skip_rate", "unique_people", "unique_places", "detail_rows", "place_rows", "status_rows", listed("report_types"), listed("crime_types"), listed("statuses"))
 
 
 def aggregate_actions(spark, sf_dir):
-    return _engine(spark, sf_dir)["actions"].select("doc_id", "canonical", "action")
+    t = _Engine(spark, sf_dir)
+    return aggregate.actions(t.everyone, t.names).select("doc_id", "canonical", "action")
 
 
 def _replies(spark, sf_dir) -> DataFrame:
@@ -116,7 +144,7 @@ def reply_candidates(spark, sf_dir):
 
 def allowed_people(spark, sf_dir):
     """JN11 and JN12: of the people of each reply, those that an allowed list keeps, and those that it doesn't."""
-    found = people.from_replies(_replies(spark, sf_dir))
+    found = written(people.from_replies(_replies(spark, sf_dir)))
     allowed = found.where("name not like 'Faraj%' and name not like 'Amina%'")
     kept = people.restricted(found, allowed, fall_back=False)
     gone = people.removed(found, kept, "filter")
@@ -125,7 +153,7 @@ def allowed_people(spark, sf_dir):
 
 def judged_people(spark, sf_dir):
     """R5, R6 by the evidence of each candidate."""
-    found = people.from_replies(_replies(spark, sf_dir))
+    found = written(people.from_replies(_replies(spark, sf_dir)))
     pages = found.select("doc_id", "page").distinct().withColumn("text", F.lit(""))
     return people.judged(found, pages).select("doc_id", "page", "name", "keep", "reason_type", "reason")
 

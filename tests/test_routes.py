@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from foliant.functions import plain
 from foliant.operators import places, routes
 
@@ -100,3 +102,17 @@ def test_no_rows_and_no_python(spark):
     assert df.count() == 0
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_common_keys_are_worked_on_once_and_others_in_place(spark, monkeypatch):
+    """routes.shared and routes.normal give the same with few, many and no common keys, and move no row by its key."""
+    from foliant.operators import routes
+
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else "ab"[i % 2] * (1 + i % 3), i % 2) for i in range(40)], "id int, t string, y int")
+    told = {(r.id, None if r.t is None else r.t.upper() + str(r.y)) for r in rows.collect()}
+    for most, short in ((20_000, 300), (2, 300), (20_000, 2), (1, 0)):
+        monkeypatch.setattr(routes, "COMMON", most)
+        monkeypatch.setattr(routes, "SHORT", short)
+        out = routes.shared(rows, {"t": F.col("t"), "k": F.col("y")}, lambda d: routes.once(d, made="upper(concat(t, k))"))
+        assert out.columns == ["id", "t", "y", "made"] and {(r.id, r.made) for r in out.collect()} == told and out.count() == 40
+        assert {(r.id, r.n) for r in routes.normal(rows, "t", "n", "upper(x)").collect()} == {(r.id, (r.t or "").upper()) for r in rows.collect()}
