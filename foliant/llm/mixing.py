@@ -125,17 +125,18 @@ def _prefix(spark: SparkSession, sized: DataFrame, asked: dict[str, tuple]) -> d
     dealt = sized.join(rows, "key").where("size <= most and struct(h, id) > struct(h0, id0)").withColumn("bucket", bucket)
     by = dealt.groupBy("key", "room", "bucket").agg(F.sum("size").alias("size"))
     by = by.withColumn("upto", F.sum("size").over(W.partitionBy("key").orderBy("bucket")))
-    edge = by.where("upto > room").groupBy("key").agg(F.min("bucket").alias("bucket"), F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before")))["before"].alias("before")).collect()
-    every = {r["key"]: r["upto"] for r in by.where("upto <= room").groupBy("key").agg(F.max("upto").alias("upto")).collect()}
+    cuts = by.groupBy("key").agg(F.min(F.when(F.col("upto") > F.col("room"), F.struct("bucket", (F.col("upto") - F.col("size")).alias("before")))).alias("edge"), F.max(F.when(F.col("upto") <= F.col("room"), F.col("upto"))).alias("upto")).collect()
+    edge = [(r["key"], *r["edge"]) for r in cuts if r["edge"]]
+    every = {r["key"]: r["upto"] for r in cuts if r["upto"] is not None}
     out = {k: (_LAST, every.get(k, 0)) for k in asked}
     if edge:
-        at = F.broadcast(spark.createDataFrame([tuple(r) for r in edge], "key string, bucket int, before long"))
+        at = F.broadcast(spark.createDataFrame(edge, "key string, bucket int, before long"))
         near = dealt.join(at, ["key", "bucket"]).withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("key").orderBy("h", "id"))).where("upto <= room")
         last = {r["key"]: r["last"] for r in near.groupBy("key").agg(F.max(F.struct("h", "id", "upto")).alias("last")).collect()}
-        for r in edge:  # none of the range: the cut is before it
-            found = last.get(r["key"])
-            begin = (int((r["bucket"] / BUCKETS - 0.5) * 2**64) - 1, 2**63 - 1) if r["bucket"] else _FIRST
-            out[r["key"]] = ((found["h"], found["id"]), found["upto"]) if found else (max(begin, asked[r["key"]][2]), r["before"])
+        for key, bucket, before in edge:  # none of the range: the cut is before it
+            found = last.get(key)
+            begin = (int((bucket / BUCKETS - 0.5) * 2**64) - 1, 2**63 - 1) if bucket else _FIRST
+            out[key] = ((found["h"], found["id"]), found["upto"]) if found else (max(begin, asked[key][2]), before)
     return out
 
 

@@ -42,8 +42,8 @@ SEEDS = (0, 101, 202)
 #: tell whether a pair came earlier.
 ROOM, MOST, FLOOR, EARLIER = 1 << 19, 1 << 18, 8, 8
 SALTS, SPARE = 16, 2
-#: Bits of the maps of ids and tokens that are broadcast: at most CELLS / 64 rows, whatever the input.
-CELLS = 1 << 24
+#: Bits of the maps of ids and tokens that are broadcast, whatever the input; they come in rows of BLOCK words of 64 bits.
+CELLS, BLOCK = 1 << 24, 512
 SIGNED = "id long, n int, sig binary, bits array<long>, often array<long>, times array<int>"
 _LISTS = pa.list_(pa.int64())
 
@@ -163,12 +163,16 @@ def plausible(pairs: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def _marked(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
-    """rows with __hit: whether the column's hash meets that of a wanted key, by a map that is broadcast; it is true for every wanted key, and for some others."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS))
-    mask = lambda c: F.expr(f"shiftleft(1L, cast(pmod(xxhash64({c}), {CELLS}) % 64 as int))")
-    cells = wanted.groupBy(F.shiftright(cell(key), 6).alias("__place")).agg(F.bit_or(mask(key)).alias("__cells"))
-    both = rows.join(F.broadcast(cells), cells["__place"] == F.shiftright(cell(column), 6), "left")
-    return both.withColumn("__hit", F.coalesce(F.col("__cells").bitwiseAND(mask(column)) != 0, F.lit(False))).drop("__place", "__cells")
+    """rows with __hit: whether the column's hash meets that of a wanted key, by a map that is broadcast; it is true for every wanted key, and for some others.
+
+    The map comes as CELLS / 64 / BLOCK rows of BLOCK words each: as a row a word, the driver would hold some ten times its bytes."""
+    word = lambda c: f"shiftright(pmod(xxhash64({c}), {CELLS}L), 6)"
+    mask = lambda c: f"shiftleft(1L, cast(pmod(xxhash64({c}), 64L) as int))"
+    empty = rows.sparkSession.range(CELLS // 64).selectExpr("id as __word", "0L as __bits")  # so that no word of a block is missing
+    words = wanted.selectExpr(f"{word(key)} as __word", f"{mask(key)} as __bits").unionByName(empty).groupBy("__word").agg(F.bit_or("__bits").alias("__bits"))
+    cells = words.groupBy(F.expr(f"__word div {BLOCK}").alias("__place")).agg(F.array_sort(F.collect_list(F.struct("__word", "__bits")))["__bits"].alias("__cells"))
+    both = rows.join(F.broadcast(cells), cells["__place"] == F.expr(f"{word(column)} div {BLOCK}"), "left")
+    return both.withColumn("__hit", F.expr(f"coalesce(__cells[cast({word(column)} % {BLOCK} as int)] & {mask(column)}, 0L) <> 0")).drop("__place", "__cells")
 
 
 def among(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
@@ -191,6 +195,8 @@ class _Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """The linked pairs (u, v) of the candidates (a, b)."""
         pairs = self.stash(plausible(pairs, self.bits), "plausible")
+        if pairs.isEmpty():
+            return pairs.toDF("u", "v")
         cids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
         asked, texts = self.texts_of(cids)
         schema = "sig binary, n int, " + ", ".join(f"p{k} array<int>" for k in range(len(SEEDS)))
@@ -213,6 +219,8 @@ class _Join:
 
     def joined(self, comps: DataFrame | None, links: DataFrame) -> DataFrame:
         """(id, component) of the classes that links join, beside those joined before."""
+        if comps is not None and links.isEmpty():
+            return comps
         if comps is None:
             return self.stash(components(self.stash, links), "components")
         of = lambda x: comps.select(F.col("id").alias(x), F.col("component").alias(f"{x}c"))
