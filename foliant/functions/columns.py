@@ -212,8 +212,11 @@ def marked(text, spans) -> Column:
 #: Strings as a whole, brackets, and what lies between them; a quotation mark that nothing closes is a token, too.
 _TOKENS = r'(?s)"(?:[^"\\]++|\\.)*+"|[{}\[\]]|[^{}\[\]"]++|"'
 _FENCE = r"(?is)```(?:json)?\s*(.*?)```"
-#: A key that closes what a text is put into, so that nothing behind its first value is passed over.
+#: An item that closes the list that a text is put into, so that nothing behind its first value is passed over.
 _CLOSE = "\u0001 end of the text"
+#: Signs that a value of JSON begins with, and the white space of S.SPACE as signs.
+_BEGINS = '{["-0123456789tfn'
+_BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def balanced(c) -> Column:
@@ -235,21 +238,22 @@ def balanced(c) -> Column:
 
 def json_value(c) -> Column:
     """The value (VARIANT) of a text that is JSON as a whole; null if it isn't, and for null. An object that has a key twice isn't JSON here, nor are NaN and Infinity."""
-    put = F.concat(F.lit('{"v":'), _column(c), F.lit(f',"{_CLOSE}":0}}'.replace("\u0001", "\\u0001")))
+    put = lambda x: F.concat(F.lit("["), x, F.lit(f',"{_CLOSE}"]'.replace("\u0001", "\\u0001")))
 
     def read(v: Column) -> Column:
-        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-        value = F.try_variant_get(v, "$.v", "variant")
-        return F.when((F.size(keys) == 2) & F.array_contains(keys, _CLOSE) & ~F.is_variant_null(value), value)
+        at = lambda k, kind="variant": F.try_variant_get(v, f"$[{k}]", kind)
+        alone = (at(1, "string") == _CLOSE) & at(2).isNull()
+        return F.when(alone & ~F.is_variant_null(at(0)), at(0))
 
-    return _let(F.try_parse_json(put), read)
+    # Most replies begin with words: these are told without parsing.
+    return _let(_column(c), lambda x: F.when(F.instr(F.lit(_BEGINS), F.substring(x, 1, 1)) > 0, _let(F.try_parse_json(put(x)), read)))
 
 
 def reply_value(c) -> Column:
     """TX4: the value of a reply: the whole text, else what stands in its first fence, else its first balanced object or list; null if there is none."""
     text = F.coalesce(_column(c), F.lit(""))
-    fence = F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1))
-    strip = lambda x: F.regexp_replace(x, f"^{S.SPACE}+|{S.SPACE}+\\z", "")
+    fence = F.regexp_extract(text, _FENCE, 1)  # empty without one, which has no value either
+    strip = lambda x: F.btrim(x, F.lit(_BLANKS))
     return F.coalesce(json_value(strip(text)), json_value(strip(fence)), json_value(balanced(fence)), json_value(balanced(text)))
 
 

@@ -29,9 +29,10 @@ def from_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
     told = routes.once(items.select(*PAGE, "__r", "at", C.item_text("i", "name").alias("raw"), C.item_text("i", "evidence").alias("said")), evidence=S.first_words(SPARK, "said"))
     # Replies are read once, then names made of them.
     named = routes.shared(written(told), {"x": F.col("raw")}, lambda t: routes.once(routes.once(t, name=S.name(SPARK, "x")), fit=S.candidate_name(SPARK, "name"))).where("fit")
-    by = named.groupBy(*PAGE, "__r", F.lower("name")).agg(F.array_sort(F.collect_list(F.struct("at", "name", "evidence"))).alias("l"))
+    # Names, and then the order of their reply, are told where the reply's rows are.
+    by = named.repartition(*PAGE, "__r").groupBy(*PAGE, "__r", F.lower("name")).agg(F.sort_array(F.collect_list(F.struct("at", "name", "evidence"))).alias("l"))
     longer = lambda a, x: F.when((F.length(x["name"]) > F.length(a["name"])) | (F.length(x["evidence"]) > F.length(a["evidence"])), x).otherwise(a)
-    kept = by.select(*PAGE, "__r", F.col("l")[0]["at"].alias("at"), F.aggregate("l", F.col("l")[0], longer).alias("p"))
+    kept = by.select(*PAGE, "__r", F.col("l")[0]["at"].alias("at"), F.when(F.size("l") == 1, F.col("l")[0]).otherwise(F.aggregate("l", F.col("l")[0], longer)).alias("p"))
     ord_ = F.row_number().over(W.partitionBy(*PAGE, "__r").orderBy("at")) - 1
     return kept.select(*PAGE, ord_.alias("ord"), "p.name", "p.evidence")
 
@@ -40,6 +41,23 @@ def key(name: str = "name") -> Column:
     return F.lower(C.normal_name(F.col(name)))
 
 
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows with key; each common name is worked on once. rows are read three times."""
+    return routes.shared(rows, {"__name": F.col("name")}, lambda t: t.withColumn("key", key("__name")))
+
+
+def sifted(picks: DataFrame, allowed: DataFrame) -> DataFrame:
+    """What restricted without fall_back keeps and what removed then tells as gone, of rows that have their key: PAGE, ord, name, evidence, kept. The rows of a key meet once."""
+    one = lambda rows, side: rows.where("key <> ''").select(*PAGE, "key", F.lit(side).alias("side"), "ord", "name", "evidence")
+    by = W.partitionBy(*PAGE, "key").orderBy("side", "ord")
+    own = F.max(F.when(F.col("side") == 1, F.struct("ord", "name", "evidence"))).over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    seen = one(picks, 0).unionByName(one(allowed, 1)).withColumns({"own": own, "nth": F.row_number().over(by)}).where("side = 0")
+    seen = seen.withColumn("kept", F.expr("own is not null and doc_id is not null and page is not null")).where("not kept or nth = 1")
+    evidence = F.when(F.col("kept"), F.coalesce(F.nullif("evidence", F.lit("")), "own.evidence")).otherwise(F.col("evidence"))
+    told = F.array_join(F.slice(F.split(C.spaced(evidence), " "), 1, 25), " ")
+    return seen.select(*PAGE, "ord", F.when(F.col("kept"), F.col("own.name")).otherwise(F.col("name")).alias("name"), told.alias("evidence"), "kept")
+
+
 def restricted(picks: DataFrame, allowed: DataFrame, fall_back: bool = True) -> DataFrame:
     """JN11: picks that the allowed list has, in its spelling, the first pick of each; evidence of the pick, else of the list (of names that repeat there, the last).
     With fall_back, a page where nothing is left keeps its allowed list (LM4, LM6, LM7)."""

@@ -42,7 +42,7 @@ def artifact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page, kind, content): a JSON artifact of each kind a page, with alternate keys and rows that stand twice; some decisions are broken or not there."""
     _tables(spark, sf_dir)
     rows = spark.sql(f"with {LINES} select *, {_pick('who', [a for a, _ in NAMES])} as raw_name, {_pick('spot', [a for a, _ in PLACES])} as raw_place, {_pick('kind', TYPES)} as raw_type, {_pick('crime', CRIMES)} as raw_crime, {_pick('day', [b for _, b in DATES])} as raw_day from lines")
-    listed = lambda item: F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("item")))), lambda x: x["item"])
+    listed = lambda item: F.sort_array(F.collect_list(F.struct("n", item.alias("item"))))["item"]
     detail = F.struct(F.when(F.col("n") % 2 == 0, F.col("raw_name")).alias("Name"), F.when(F.col("n") % 2 == 1, F.col("raw_name")).alias("name"), F.col("raw_type").alias("Report Type"), F.col("raw_crime").alias("crime_type"))
     place = F.struct(F.col("raw_name").alias("Name"), F.col("raw_place").alias("Place"), F.col("stop").alias("Order"), F.col("raw_day").alias("Arrival Date"), F.when(F.col("raw_day") != "", "explicit").alias("Date Confidence"))
     by = rows.groupBy("doc_id", "page", "given").agg(listed(detail).alias("details"), listed(place).alias("places"), F.count("*").alias("lines"), F.min("kind").alias("kind"))
@@ -119,7 +119,7 @@ def _replies(spark, sf_dir) -> DataFrame:
     rows = spark.sql(f"with {LINES} select *, {_pick('who', [a for a, _ in NAMES])} as raw_name, {_pick('spot', [a for a, _ in PLACES])} as raw_place, {_pick('day', [a for a, _ in DATES])} as raw_day, replace({_pick('who', EVIDENCE)}, '{{n}}', {_pick('who', [b for _, b in NAMES])}) as told from lines")
     who = F.struct(F.col("raw_name").alias("name"), F.col("told").alias("evidence"))
     where = F.struct(F.col("raw_place").alias("place"), F.col("stop").alias("order"), F.col("raw_day").alias("arrival_date"))
-    listed = lambda item: F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("item")))), lambda x: x["item"])
+    listed = lambda item: F.sort_array(F.collect_list(F.struct("n", item.alias("item"))))["item"]
     by = rows.groupBy("doc_id", "page").agg(listed(who).alias("named_people"), listed(where).alias("places"))
     wrapped = lambda key: F.concat(F.lit("Here is {the} answer:\n```json\n"), F.to_json(F.struct(key)), F.lit("\n``` done }"))
     return by.select("doc_id", F.col("page").cast("int").alias("page"), wrapped("named_people").alias("reply"), wrapped("places").alias("places_reply"))
@@ -144,11 +144,9 @@ def reply_candidates(spark, sf_dir):
 
 def allowed_people(spark, sf_dir):
     """JN11 and JN12: of the people of each reply, those that an allowed list keeps, and those that it doesn't."""
-    found = written(people.from_replies(_replies(spark, sf_dir)))
+    found = written(people.keyed(written(people.from_replies(_replies(spark, sf_dir)))))
     allowed = found.where("name not like 'Faraj%' and name not like 'Amina%'")
-    kept = people.restricted(found, allowed, fall_back=False)
-    gone = people.removed(found, kept, "filter")
-    return kept.select("doc_id", "page", "name", F.lit("kept").alias("state")).unionByName(gone.select("doc_id", "page", "name", "stage").withColumnRenamed("stage", "state"))
+    return people.sifted(found, allowed).select("doc_id", "page", "name", F.when(F.col("kept"), "kept").otherwise("filter").alias("state"))
 
 
 def judged_people(spark, sf_dir):
