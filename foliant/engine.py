@@ -45,9 +45,10 @@ class Engine:
         """details, places, status, stats and actions of all documents that files (doc_id, page, kind, content) has artifacts of."""
         files = self.artifacts() if files is None else files
         details, places = written(artifacts.details(files)), written(artifacts.places(files))  # read by several tables
-        everyone = aggregate.all_names(details, places)
+        everyone = written(aggregate.all_names(details, places))
         names = aggregate.name_map(everyone)
-        out = {"details": aggregate.detail_table(details, names), "places": aggregate.place_table(places, names), "status": aggregate.status_table(artifacts.pages(files), details, places, artifacts.facts(files))}
+        spelt = written(aggregate.spellings(everyone, names))
+        out = {"details": aggregate.detail_table(details, spelt), "places": aggregate.place_table(places, spelt), "status": aggregate.status_table(artifacts.pages(files), details, places, artifacts.facts(files))}
         return out | {"stats": aggregate.stats(out["details"], out["places"], out["status"]), "actions": aggregate.actions(everyone, names)}
 
     def commit_tables(self) -> int:

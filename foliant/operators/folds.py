@@ -25,9 +25,10 @@ def fold_places(rows: DataFrame, *keys: str) -> DataFrame:
     zeroes stay, negative ones go. Null strings count as empty. A fold's group is the repeats of one place of one person of a page."""
     text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "place", "arrival", "confidence", "time", "evidence")]
     src = rows.select(*keys, F.col("ord").cast("bigint").alias("ord"), F.coalesce(F.col("pos").cast("int"), F.lit(0)).alias("pos"), *text).where("place <> ''")
-    grouped = src.groupBy(*keys, F.lower("name").alias("__n"), F.lower("place").alias("__p")).agg(F.array_sort(F.collect_list(F.expr("struct(ord, name, place, pos, arrival, confidence, time, evidence)"))).alias("l"))
+    grouped = src.groupBy(*keys, F.lower("name").alias("__n"), F.lower("place").alias("__p")).agg(F.sort_array(F.collect_list(F.expr("struct(ord, name, place, pos, arrival, confidence, time, evidence)"))).alias("l"))
     step = f"named_struct('first_ord', acc.first_ord, 'row', if({_score('x')} > {_score('acc.row')}, {_filled('x', 'acc.row')}, {_filled('acc.row', 'x')}))"
-    folded = f"aggregate(slice(l, 2, greatest(size(l) - 1, 0)), named_struct('first_ord', l[0].ord, 'row', cast(l[0] as struct<{_ROW.replace(' bigint', ':bigint').replace(' string', ':string').replace(' int', ':int')}>)), (acc, x) -> {step}).row"
+    only = f"cast(l[0] as struct<{_ROW.replace(' bigint', ':bigint').replace(' string', ':string').replace(' int', ':int')}>)"
+    folded = f"if(size(l) = 1, {only}, aggregate(slice(l, 2, greatest(size(l) - 1, 0)), named_struct('first_ord', l[0].ord, 'row', {only}), (acc, x) -> {step}).row)"
     out = grouped.select(*keys, F.expr(folded).alias("r")).select(*keys, "r.*").where("pos >= 0")
     by = ", ".join([*keys, "pos > 0"])
     return out.withColumn("pos", F.expr(f"if(pos > 0, cast(row_number() over (partition by {by} order by pos, arrival, lower(place), ord) as int), 0)"))

@@ -68,17 +68,22 @@ class _Engine:
 
     @cached_property
     def everyone(self) -> DataFrame:
-        return aggregate.all_names(self.details, self.places)
+        return written(aggregate.all_names(self.details, self.places))
 
     @cached_property
     def names(self) -> DataFrame:
         return aggregate.name_map(self.everyone)
 
+    @cached_property
+    def spelt(self) -> DataFrame:
+        # Written, so that Spark knows whether it is small enough to be broadcast.
+        return written(aggregate.spellings(self.everyone, self.names))
+
     def detail_table(self) -> DataFrame:
-        return aggregate.detail_table(self.details, self.names)
+        return aggregate.detail_table(self.details, self.spelt)
 
     def place_table(self) -> DataFrame:
-        return aggregate.place_table(self.places, self.names)
+        return aggregate.place_table(self.places, self.spelt)
 
     def status_table(self) -> DataFrame:
         return aggregate.status_table(artifacts.pages(self.files), self.details, self.places, artifacts.facts(self.files))
@@ -102,8 +107,9 @@ def aggregate_status(spark, sf_dir):
 
 def aggregate_stats(spark, sf_dir):
     t = _Engine(spark, sf_dir)
-    # Histograms and counts read these several times.
-    out = aggregate.stats(*map(written, (t.detail_table(), t.place_table(), t.status_table())))
+    # Histograms and counts read these several times; places in tables, orders of routes and counts of pages aren't needed, and not made.
+    needed = ((t.detail_table(), ("Name", "Report Type", "Crime Type")), (t.place_table(), ("Place",)), (t.status_table(), ("status",)))
+    out = aggregate.stats(*(written(table.select("doc_id", *columns)) for table, columns in needed))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
     return out.select("doc_id", "pages_processed", "skip_rate", "unique_people", "unique_places", "detail_rows", "place_rows", "status_rows", listed("report_types"), listed("crime_types"), listed("statuses"))
 

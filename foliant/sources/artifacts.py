@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,21 +15,43 @@ from foliant.functions import plain
 from foliant.sources.scans import page_of
 
 KINDS = ("classify", "names", "meta", "places")
-DETAIL = "struct<name:string,page:int," + ",".join(f"{f}:string" for f in plain.FIELDS) + ">"
-FACTS = "struct<status:string,named_people:int,model_calls:int,repair_calls:int,elapsed_seconds:double,note:string>"
+DETAIL = {"name": "string", "page": "int"} | dict.fromkeys(plain.FIELDS, "string")
+PLACE = {"name": "string", "page": "int", "place": "string", "order": "int"} | dict.fromkeys(("arrival_date", "date_confidence", "time_info", "evidence"), "string")
+FACTS = {"status": "string", "named_people": "int", "model_calls": "int", "repair_calls": "int", "elapsed_seconds": "double", "note": "string"}
 FILES = "doc_id string, page int, kind string, content string"
 
 
 def _json(x: str | None):
+    if not x:
+        return None
     try:
-        return json.loads((x or "").removeprefix("﻿"))
+        return json.loads(x.removeprefix("﻿"))
     except ValueError:
         return None
 
 
-_details = C.arrow(lambda x, page: plain.detail_items(_json(x), page), f"array<{DETAIL}>")
-_places = C.arrow(lambda x, page: plain.place_items(_json(x), page), f"array<{C.PLACE.replace('struct<', 'struct<page:int,')}>")
-_facts = C.arrow(lambda classify, names: plain.page_facts(_json(classify), _json(names)), FACTS)
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
+def _rows(pages: DataFrame, items, fields: dict[str, str], **keys: str) -> DataFrame:
+    """The rows (fields) that items makes of the other columns of each page, beside its keys (a type each: doc_id, then the page) and ord. Rows come and go as columns of Arrow batches."""
+    keep = len(keys)
+
+    def made(batches):
+        for batch in batches:
+            own, ords, rows = [], [], []
+            for i, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[keep - 1 :]))):
+                found = items(*values)
+                own += [i] * len(found)
+                ords += range(len(found))
+                rows += found
+            at = pa.array(own, pa.int64())
+            columns = [c.take(at) for c in batch.columns[:keep]] + [pa.array(ords, pa.int32())] + [pa.array([r[f] for r in rows], _ARROW[t]) for f, t in fields.items()]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "ord", *fields])
+
+    return pages.mapInArrow(made, ", ".join(f"`{k}` {t}" for k, t in (keys | {"ord": "int"} | fields).items()))
+
+
 is_object = C.arrow(lambda x: isinstance(_json(x), dict), "boolean")
 is_json = C.arrow(lambda x: x is not None and (x.strip() == "null" or _json(x) is not None), "boolean")
 
@@ -53,20 +76,18 @@ def _of(files: DataFrame, kind: str) -> DataFrame:
 
 def details(files: DataFrame) -> DataFrame:
     """SRC10, SRC11: rows of metadata artifacts: doc_id, file_page, ord, name, page and the fields."""
-    rows = _of(files, "meta").select("doc_id", F.col("page").alias("file_page"), F.posexplode(_details("content", "page")).alias("ord", "r"))
-    return rows.select("doc_id", "file_page", "ord", "r.*")
+    return _rows(_of(files, "meta"), lambda page, x: plain.detail_items(_json(x), page), DETAIL, doc_id="string", file_page="int")
 
 
 def places(files: DataFrame) -> DataFrame:
     """SRC12: rows of place artifacts: those of the page, of its people, and an empty one for each person without any."""
-    rows = _of(files, "places").select("doc_id", F.col("page").alias("file_page"), F.posexplode(_places("content", "page")).alias("ord", "r"))
-    return rows.select("doc_id", "file_page", "ord", "r.*")
+    return _rows(_of(files, "places"), lambda page, x: plain.place_items(_json(x), page), PLACE, doc_id="string", file_page="int")
 
 
 def facts(files: DataFrame) -> DataFrame:
     """What the status row of each page takes from its decision and its names; pages without either have no status, no people and no calls."""
     by = files.groupBy("doc_id", "page").agg(*(F.max(F.when(F.col("kind") == k, F.col("content"))).alias(k) for k in ("classify", "names")))
-    return by.select("doc_id", "page", _facts("classify", "names").alias("f")).select("doc_id", "page", "f.*")
+    return _rows(by, lambda page, classify, names: [plain.page_facts(_json(classify), _json(names))], FACTS, doc_id="string", page="int").drop("ord")
 
 
 def named(files: DataFrame) -> DataFrame:
