@@ -211,7 +211,6 @@ def marked(text, spans) -> Column:
 
 #: Strings as a whole, brackets, and what lies between them; a quotation mark that nothing closes is a token, too.
 _TOKENS = r'(?s)"(?:[^"\\]++|\\.)*+"|[{}\[\]]|[^{}\[\]"]++|"'
-_FENCE = r"(?is)```(?:json)?\s*(.*?)```"
 #: An item that closes the list that a text is put into, so that nothing behind its first value is passed over.
 _CLOSE = "\u0001 end of the text"
 #: Signs that a value of JSON begins with, and the white space of S.SPACE as signs.
@@ -243,7 +242,7 @@ def json_value(c) -> Column:
     def read(v: Column) -> Column:
         at = lambda k, kind="variant": F.try_variant_get(v, f"$[{k}]", kind)
         alone = (at(1, "string") == _CLOSE) & at(2).isNull()
-        return F.when(alone & ~F.is_variant_null(at(0)), at(0))
+        return F.when(alone, _let(at(0), lambda x: F.when(~F.is_variant_null(x), x)))
 
     # Most replies begin with words: these are told without parsing.
     return _let(_column(c), lambda x: F.when(F.instr(F.lit(_BEGINS), F.substring(x, 1, 1)) > 0, _let(F.try_parse_json(put(x)), read)))
@@ -252,7 +251,7 @@ def json_value(c) -> Column:
 def reply_value(c) -> Column:
     """TX4: the value of a reply: the whole text, else what stands in its first fence, else its first balanced object or list; null if there is none."""
     text = F.coalesce(_column(c), F.lit(""))
-    fence = F.regexp_extract(text, _FENCE, 1)  # empty without one, which has no value either
+    fence = _let(F.split(text, "```", 3), lambda p: F.when(F.size(p) == 3, F.when(F.lower(F.substring(p[1], 1, 4)) == "json", F.substring(p[1], 5, 1 << 30)).otherwise(p[1])))
     strip = lambda x: F.btrim(x, F.lit(_BLANKS))
     return F.coalesce(json_value(strip(text)), json_value(strip(fence)), json_value(balanced(fence)), json_value(balanced(text)))
 

@@ -62,6 +62,8 @@ EMPTY_PAGE = "[OCR_EMPTY]"
 EDGES = " ,.;:[]{}\"'"
 #: Unicode's white space, as a class that both engines read alike.
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Runs of white space that aren't one space.
+ODD_SPACE = f"{SPACE.replace('\\x1c-\\x20', '\\x1c-\\x1f')}{SPACE}*| {SPACE}+"
 
 
 def one_of(x: str, words) -> str:
@@ -70,6 +72,8 @@ def one_of(x: str, words) -> str:
 
 def spaced(d: Spark, x: str) -> str:
     """White space runs become one space, none at the ends."""
+    if d.name == "spark":  # where words are one space apart nothing is replaced
+        return f"trim({d.replace(f"coalesce({x}, '')", ODD_SPACE, ' ')})"
     return f"trim({d.replace(f"coalesce({x}, '')", SPACE + '+', ' ')})"
 
 
@@ -78,6 +82,8 @@ def stripped(d: Spark, x: str) -> str:
 
 
 def first_words(d: Spark, x: str, n: int = 25) -> str:
+    if d.name == "spark":
+        return f"substring_index({spaced(d, x)}, ' ', {n})"
     return d.each(d.words(spaced(d, x), n), "w")
 
 
